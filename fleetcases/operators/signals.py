@@ -59,11 +59,14 @@ def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFram
                         fallback_entity: str = "client_resource_id",
                         fallback_ts: str = "poll_last_utc",
                         case_primary_entity: str = "client_id",
-                        case_fallback_entity: str = "source_system_id") -> DataFrame:
+                        case_fallback_entity: str = "source_system_id",
+                        cluster_by: Sequence[str] | None = None) -> DataFrame:
     """``case_key`` columns + ``days_with_no_heartbeat`` (may be -1 under D3).
 
     ``cases`` needs the ``case_key`` columns and both entity columns. ``last_day`` (latest case
-    start) only prunes the signal scans; it does not change the result.
+    start) only prunes the signal scans; it does not change the result. ``cluster_by`` (a
+    subset of ``case_key``) hashes the matches once on those columns, so both aggregations and
+    a later join on them need no further shuffle.
     """
     key = list(case_key)
     midnight = dt.datetime.combine(first_day, dt.time())
@@ -89,6 +92,8 @@ def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFram
     matched = (hb_days.select(*key, F.lit("primary").alias("signal"), "day")
                .unionByName(poll_days.select(*key, F.lit("fallback").alias("signal"), "day"))
                .unionByName(marks))
+    if cluster_by:
+        matched = matched.repartition(*cluster_by)
     # one row per (case, signal, day), then a plain sum per case: no distinct-count expansion
     per_day = matched.groupBy(*key, "signal", "day").agg(F.lit(1).alias("one"))
     counts = per_day.groupBy(*key).agg(

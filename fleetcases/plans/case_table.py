@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from fleetcases.functions.dates import day_span
 from fleetcases.operators.cases import ENRICHED_COLUMNS, build_cases, build_cases_legacy, enrich_cases
 from fleetcases.operators.signals import missing_signal_days
+from fleetcases.plans.sinks import stage_table
 
 CASE_TABLE_COLUMNS = (*ENRICHED_COLUMNS, "days_with_no_heartbeat")
 
@@ -16,18 +17,27 @@ CASE_TABLE_COLUMNS = (*ENRICHED_COLUMNS, "days_with_no_heartbeat")
 def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, devices: DataFrame,
                      heartbeats: DataFrame, polls: DataFrame, as_of: dt.date, *,
                      legacy: bool = False, dedupe: bool = True, lookback: int = 5,
-                     strict_days: bool = False, day: str = "date") -> DataFrame:
+                     strict_days: bool = False, day: str = "date",
+                     staged: bool = True) -> DataFrame:
     """Cases -> enriched cases -> missing signal days, one row per distinct result.
 
     The gap count is attached on (asset_tag, start_date) only, as in the source (D19): where
     one pair has several gap groups, rows multiply; a null asset tag gets a null gap.
+
+    The enriched cases feed four branches (two signals, the per-case marks, the final join);
+    with ``staged`` they are written once to the shared folder and read back, so the log's
+    window pass runs once. The gap counts are clustered on the final join key, so their two
+    aggregations and the join share one shuffle.
     """
     first_day, last_day = day_span(log, day)
     builder = build_cases_legacy if legacy else build_cases
     cases = builder(log, as_of, day=day, dedupe=dedupe, first_day=first_day)
     clinic = enrich_cases(cases, assets, accounts, devices, as_of)
+    if staged:
+        clinic = stage_table(clinic, "enriched_cases")
     gaps = missing_signal_days(clinic, heartbeats, polls, first_day, lookback=lookback,
-                               strict_days=strict_days, last_day=last_day)
+                               strict_days=strict_days, last_day=last_day,
+                               cluster_by=("asset_tag", "start_date"))
     return (clinic.join(gaps.select("asset_tag", "start_date", "days_with_no_heartbeat"),
                         ["asset_tag", "start_date"], "left")
             .select(*CASE_TABLE_COLUMNS)

@@ -9,6 +9,7 @@ pipeline, and a lost executor costs a re-read, not a recomputation from the raw
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,13 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and read it back: its consumers scan a small file
+    set instead of each re-running its lineage, and a lost executor re-reads, not recomputes."""
+    path = f"{work_dir(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex}"
+    return write_table(df, path)
+
+
 def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Build ``name`` once per session and key (the inputs and parameters), then reuse it."""
     app = spark.sparkContext.applicationId
