@@ -31,9 +31,14 @@ def installed_base(assets_history: DataFrame, accounts: DataFrame, asset: DataFr
     """
     h = assets_history.filter((F.col("product") == product) & (F.col("status") == status))
     h = as_of_filter(h, "export_date", bounds)
-    ranked = accounts.filter(F.col("ranking").isNotNull()).select("cmh_id")
-    h = h.select("ams_id", "asset_tag", "source_system_id", "cmh_id").join(ranked, "cmh_id", "left_semi")
-    a = asset.select("field_services_tag", "sku_id")
+    # The history holds one row per asset and export day; every consumer counts distinct
+    # assets, so the daily copies collapse here, map-side, before any join.
+    h = h.select("ams_id", "asset_tag", "source_system_id", "cmh_id").distinct()
+    ranked = accounts.filter(F.col("ranking").isNotNull()).select("cmh_id").distinct()
+    h = h.join(ranked, "cmh_id", "left_semi").drop("cmh_id")
+    # One row per (tag, SKU) on the lookup side: a tag shared by many rows (a placeholder
+    # value) then matches each history row once per SKU, not once per duplicate.
+    a = asset.select("field_services_tag", "sku_id").distinct()
     s = sku.select(F.col("id").alias("sku_id"), "sku_type_id", "sku_code")
     t = sku_type.select(F.col("id").alias("sku_type_id"), "name")
     out = (join_ignore_case(h, a, "asset_tag", "field_services_tag", "left")
@@ -63,5 +68,5 @@ def installed_base_totals(base: DataFrame, dims: Sequence[str] = (), key: str =
 def restrict_to_cohort(base: DataFrame, cases: DataFrame, base_key: str = "asset_tag",
                        case_key: str = "asset_tag") -> DataFrame:
     """Base rows whose upper-cased tag is one of the case table's tags (a semi join)."""
-    tags = cases.select(F.col(case_key).alias("_tag"))
+    tags = cases.select(F.col(case_key).alias("_tag")).distinct()
     return base.join(tags, F.upper(base[base_key]) == tags["_tag"], "left_semi")

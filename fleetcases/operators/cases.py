@@ -2,9 +2,10 @@
 
 A *case* is a run of consecutive days on which a device appears in the log: it starts on the
 first day of the run and closes on its last day, unless the run reaches ``as_of`` (still open,
-close is null). Every window is partitioned by the device key, so the log is shuffled once and
-each task holds whole devices; a device holds at most one row per day, so no partition can
-grow beyond the number of days in the log.
+close is null). The log is first de-duplicated by a map-side aggregate (so a device that logs
+a day many times is collapsed before any shuffle), then hashed once on the device key: both
+windows share that shuffle and each task holds whole devices, at most one row per device and
+day, so no window partition grows beyond the number of days in the log.
 """
 
 from __future__ import annotations
@@ -46,6 +47,25 @@ def flag_case_boundaries(log: DataFrame, as_of: dt.date, key: str = "asset_id",
             .withColumn("rn", F.row_number().over(w)))
 
 
+# Copies of one log row that can still change the distinct set of cases: the first copy, a
+# second that opens a case, a third and fourth whose close the next boundary row decides.
+# Every further copy yields a (day, no close) case already produced by the earlier ones.
+MAX_REPEATS = 4
+
+
+def _bounded_repeats(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Repeated identical log rows (D2, kept) as at most ``MAX_REPEATS`` copies.
+
+    Counted with a partial aggregate first, so a device repeating one day millions of times
+    never reaches a single window partition as millions of rows; the distinct case set is the
+    same as over all copies (checked against a row-by-row simulation in the tests).
+    """
+    n = F.least(F.count(F.lit(1)), F.lit(MAX_REPEATS)).cast("int")
+    counted = rows.groupBy(*cols).agg(n.alias("_copies"))
+    return (counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+            .drop("_copies", "_copy"))
+
+
 def _boundary_rows(log: DataFrame, as_of: dt.date, key: str, day: str, attrs: Sequence[str],
                    dedupe: bool, first_day: dt.date | None) -> tuple[DataFrame, dt.date]:
     cols = list(dict.fromkeys([*attrs, key, day]))
@@ -53,9 +73,11 @@ def _boundary_rows(log: DataFrame, as_of: dt.date, key: str, day: str, attrs: Se
     if first_day is None:
         first_day = min_day(rows, day)
     if dedupe:
-        # Hash on the device first: the de-duplication and both windows then reuse this one
-        # shuffle (its partitioning satisfies the clustering all three need).
-        rows = rows.repartition(key).distinct()
+        # Map-side distinct before any shuffle: a device logging many rows per day is collapsed
+        # in its own tasks, so the window's per-device partitions hold at most one row per day.
+        rows = rows.distinct()
+    else:
+        rows = _bounded_repeats(rows, cols)
     flagged = flag_case_boundaries(rows, as_of, key, day, first_day)
     d = F.col(day)
     bounds = (flagged.filter(F.col("opens") | F.col("closes"))

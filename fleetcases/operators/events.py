@@ -80,9 +80,13 @@ def attach_events(cases: DataFrame, devices: DataFrame, reboots: DataFrame, as_o
     reboot keep one row with null reboot columns.
     """
     cols = cases.columns
-    dev = devices.select(F.col("asset_id").alias("asset_tag"), F.col("client_id").alias("_client"))
-    rb = reboots.select(F.col("client_id").alias("_client"),
-                        event_day("reboot_time").alias("reboot_date"))
+    # Both lookups reduced to the distinct pairs the result can see (the output is distinct):
+    # a client with many reboot rows on one day multiplies its cases once per day, not per row.
+    dev = (devices.select(F.col("asset_id").alias("asset_tag"), F.col("client_id").alias("_client"))
+           .distinct())
+    rb = (reboots.select(F.col("client_id").alias("_client"),
+                         event_day("reboot_time").alias("reboot_date"))
+          .distinct())
     rd, start = F.col("reboot_date"), F.col("start_date")
     inside = (rd >= start) & (rd <= F.coalesce(F.col("close_date"), F.lit(as_of)))
     return (cases.filter(F.col("device_type") == device_type)
@@ -164,8 +168,9 @@ def recently_seen_hosts(hosts: DataFrame, bags: DataFrame, polls: DataFrame,
     """O29 (S34): active hosts with screens and a poll since ``since``, with the TV maker
     taken from their profile bag name by the ordered rules (O28)."""
     live = hosts.filter(F.col("active") & (F.col("nscreens") > 0))
+    # distinct host ids, map-side first: a host polling all day is one row per task
     recent = (polls.filter(F.col("poll_last_utc") >= _ts(since, polls, "poll_last_utc"))
-              .select(F.col("client_resource_id").alias("id")))
+              .select(F.col("client_resource_id").alias("id")).distinct())
     bag = bags.select(F.col("id").alias("config_profile_bag_id"), F.col("name").alias("_bag"))
     return (live.join(bag, "config_profile_bag_id", "inner")
             .join(recent, "id", "left_semi")

@@ -75,7 +75,7 @@ def closed_single_case_join(df: DataFrame, key: str = "asset_tag", dim: str = "d
     The closed rows are matched on the device alone, not on ``dim`` (D20).
     """
     singles = _single_case_devices(df, key, dim, counted)
-    closed = df.filter(F.col(close).isNotNull()).select(key)
+    closed = df.filter(F.col(close).isNotNull()).select(key).distinct()
     return (singles.join(closed, key, "left_semi")
             .groupBy("case_cnt", dim).agg(F.count(key).alias("device_cnt")))
 

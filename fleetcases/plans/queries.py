@@ -255,7 +255,7 @@ def _s29(c: Context) -> DataFrame:
 
 @query("reboots_by_time_with_case")
 def _s30(c: Context) -> DataFrame:
-    tags = c.case_table().select(F.col("asset_tag").alias("asset_id"))
+    tags = c.case_table().select(F.col("asset_tag").alias("asset_id")).distinct()
     rb = c.fx.reboots.join(tags, "asset_id", "left_semi")
     return E.distinct_per(rb, ["reboot_time"], "asset_id")
 

@@ -92,3 +92,53 @@ def test_fixture_anchor_counts(spark):
         assert c.filter(F.col("close_date").isNull()).count() == n_open
         assert build_cases(fx.issue_log_dup, PARAMS.as_of, dedupe=False).count() == n_dup
         assert build_cases_legacy(fx.issue_log, PARAMS.as_of).count() == n_legacy
+
+
+def _simulate(days_by_key, as_of, first_day, legacy=False):
+    """Row-by-row model of the case rules over every log row (repeats included)."""
+    out = set()
+    for k, days in days_by_key.items():
+        ds = sorted(days)
+        n = len(ds)
+        bounds = []
+        for i, d in enumerate(ds):
+            prev = ds[i - 1] if i else None
+            nxt = ds[i + 1] if i + 1 < n else None
+            opens = d == first_day or prev is None or d - prev != 1
+            closes = (nxt is None and OCT(d) != as_of) or (nxt is not None and nxt - d > 1)
+            if opens or closes:
+                bounds.append((d if opens else None, d if closes else None))
+        for j, (s, c) in enumerate(bounds):
+            nxt_close = bounds[j + 1][1] if j + 1 < len(bounds) else None
+            if legacy:
+                close = nxt_close
+                if s is None and close is None:
+                    continue
+                s = first_day if s is None else s
+            else:
+                if s is None:
+                    continue
+                close = c if c is not None else nxt_close
+            out.add((k, OCT(s), None if close is None else OCT(close)))
+    return srt(out)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.dictionaries(st.sampled_from("pqrs"),
+                       st.lists(st.tuples(st.integers(8, 20), st.integers(1, 7)), min_size=1,
+                                max_size=6), min_size=1, max_size=3),
+       st.booleans())
+def test_repeated_rows_match_row_by_row_model(spark, spec, legacy):
+    days = {k: [d for d, m in v for _ in range(m)] for k, v in spec.items()}
+    first = min(d for v in days.values() for d in v)
+    builder = build_cases_legacy if legacy else build_cases
+    got = _pairs(builder(_log(spark, days), AS_OF, dedupe=False))
+    assert got == _simulate(days, AS_OF, first, legacy)
+
+
+def test_many_repeats_of_a_closing_day(spark):
+    days = {"Z": [10] * 6 + [15], "Y": [12] * 5, "W": [9, 10, 10, 10, 10, 10, 11]}
+    for legacy in (False, True):
+        builder = build_cases_legacy if legacy else build_cases
+        got = _pairs(builder(_log(spark, days), AS_OF, dedupe=False))
+        assert got == _simulate(days, AS_OF, 9, legacy)
