@@ -12,14 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcases.functions.dates import days_inclusive
+from fleetcases.functions.dates import day_span, days_inclusive
 from fleetcases.operators import base as B
 from fleetcases.operators import events as E
 from fleetcases.operators import reports as R
-from fleetcases.operators.cases import build_cases, build_cases_legacy
+from fleetcases.operators.cases import build_cases, build_cases_legacy, flag_case_boundaries
 from fleetcases.operators.lookup import device_age_years
 from fleetcases.operators.signals import missing_signal_days
-from fleetcases.functions.dates import day_span
 from fleetcases.plans.context import Context, context
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +37,13 @@ def query(name: str):
 
 
 # ---- building blocks ---------------------------------------------------------------------
+@query("case_boundaries")
+def _case_boundaries(c: Context) -> DataFrame:
+    """O1 on the issue log: every row with its open/close flags and position."""
+    f = flag_case_boundaries(c.log("full"), c.p.as_of)
+    return f.select("asset_id", "date", "opens", "closes", F.col("rn").cast("long").alias("rn"))
+
+
 @query("cases")
 def _cases(c: Context) -> DataFrame:
     """O2 on the issue log."""
@@ -175,6 +181,12 @@ def _s15(c: Context) -> DataFrame:
 
 
 # ---- installed base (S16-S19) -------------------------------------------------------------
+@query("installed_base")
+def _installed_base(c: Context) -> DataFrame:
+    """The installed base at the as-of bounds, one row per distinct result."""
+    return c.base().distinct()
+
+
 @query("base_total")
 def _s16(c: Context) -> DataFrame:
     return B.installed_base_totals(c.base())

@@ -38,7 +38,7 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
     digest = hashlib.sha1(key.encode()).hexdigest()[:12]
     path = _WRITTEN.get((app, name + digest))
     if path is None:
-        path = f"{work_dir(spark)}/{name}-{digest}"
+        path = f"{work_dir(spark)}/{app}/{name}-{digest}"
         write_table(build(), path)
         _WRITTEN[(app, name + digest)] = path
     return spark.read.parquet(path)

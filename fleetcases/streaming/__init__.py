@@ -1 +1,3 @@
+from fleetcases.streaming.refresh import refresh_on_new_log_files
 
+__all__ = ["refresh_on_new_log_files"]

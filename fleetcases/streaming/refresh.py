@@ -1,0 +1,45 @@
+"""Re-create the case table whenever new daily log files land (S01/S02 on a trigger).
+
+The source rebuilds its case table from the whole log each day (drop + create table as): a
+case can change on any later day of its device (a run that continues, closes, or is followed by
+a new one), so the result is a function of the whole log, not of the new rows. Structured
+Streaming provides the trigger and the bookkeeping of which files were seen: a file-source
+stream over the log folder, whose ``foreachBatch`` re-runs the batch build over the full folder
+and overwrites the table. The stream's checkpoint lives in the shared folder, so a restarted
+driver resumes after the last completed rebuild.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from fleetcases.plans.sinks import write_table
+from fleetcases.session import work_dir
+
+
+def refresh_on_new_log_files(spark: SparkSession, log_dir: str, log_schema: StructType,
+                             build: Callable[[DataFrame], DataFrame], out_path: str,
+                             checkpoint: str | None = None, available_now: bool = True,
+                             interval: str = "1 hour") -> StreamingQuery:
+    """Start the refresh stream; ``build`` maps the whole log to the case table.
+
+    ``available_now=True`` processes what has arrived and stops (a scheduled daily job);
+    ``False`` keeps polling every ``interval``.
+    """
+    checkpoint = checkpoint or f"{work_dir(spark)}/streams/case_table_refresh"
+
+    def rebuild(new_rows: DataFrame, batch_id: int) -> None:
+        if new_rows.isEmpty():
+            return
+        whole_log = spark.read.schema(log_schema).parquet(log_dir)
+        write_table(build(whole_log), out_path)
+
+    writer = (spark.readStream.schema(log_schema).parquet(log_dir)
+              .writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
+        processingTime=interval)
+    return writer.start()
