@@ -109,6 +109,20 @@ def case_breakdown(df: DataFrame, dims: Sequence[str], device: str = "asset_tag"
                                       F.sum(n).cast("long").alias(case_name))
 
 
+def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str = "n_rows") -> DataFrame:
+    """Key values carried by more than one row, with their row count (a QC output)."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+            .filter(F.col(name) > 1))
+
+
+def order_like_source(df: DataFrame, spec: Sequence[str]) -> DataFrame:
+    """ORDER BY with the source's null placement (D8): ascending puts nulls last, descending
+    (a ``-`` prefix) puts them first. Applied to final report outputs, which are small."""
+    cols = [F.col(c[1:]).desc_nulls_first() if c.startswith("-") else F.col(c).asc_nulls_last()
+            for c in spec]
+    return df.orderBy(*cols)
+
+
 def date_span(df: DataFrame, column: str = "start_date") -> DataFrame:
     """First and last value of a date column."""
     return df.agg(F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"))

@@ -25,10 +25,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str):
+def query(name: str, order: tuple[str, ...] = ()):
+    """Register a query; ``order`` is the statement's ORDER BY (``-`` = descending), with the
+    remaining output columns appended where the source leaves ties unordered (D29)."""
     def register(fn: Callable[[Context], DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(context(spark, sf_dir))
+            df = fn(context(spark, sf_dir))
+            return R.order_like_source(df, order) if order else df
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -101,6 +104,12 @@ def _case_table_sparse(c: Context) -> DataFrame:
     return c.case_table("sparse")
 
 
+@query("case_key_duplicates", order=("asset_tag", "start_date"))
+def _case_key_duplicates(c: Context) -> DataFrame:
+    """QC for D19: (asset_tag, start_date) pairs with several case-table rows."""
+    return R.duplicate_keys(c.case_table(), ["asset_tag", "start_date"])
+
+
 @query("case_view_legacy")
 def _case_view_legacy(c: Context) -> DataFrame:
     """The older view, O3 in place of O2."""
@@ -117,17 +126,17 @@ def _s04(c: Context) -> DataFrame:
     return R.devices_and_missing(c.case_table())
 
 
-@query("case_frequency")
+@query("case_frequency", order=('case_cnt',))
 def _s05(c: Context) -> DataFrame:
     return R.frequency_of_counts(c.case_table())
 
 
-@query("case_frequency_by_type")
+@query("case_frequency_by_type", order=('case_cnt', 'device_type'))
 def _s06(c: Context) -> DataFrame:
     return R.frequency_of_counts(c.case_table(), dims=["device_type"])
 
 
-@query("single_closed_join")
+@query("single_closed_join", order=('case_cnt', 'device_type'))
 def _s07(c: Context) -> DataFrame:
     return R.closed_single_case_join(c.case_table("sparse"))
 
@@ -143,24 +152,24 @@ def _with_latest_version(df: DataFrame, c: Context, name: str = "software_versio
     return df.join(v, df["asset_tag"] == v["_asset"], "left").drop("_asset")
 
 
-@query("cases_by_version")
+@query("cases_by_version", order=('device_type', 'software_version'))
 def _s09(c: Context) -> DataFrame:
     ct = c.case_table().drop("software_version")
     return R.case_breakdown(_with_latest_version(ct, c), ["software_version", "device_type"])
 
 
-@query("cases_by_sku")
+@query("cases_by_sku", order=('device_type', 'sku'))
 def _s10(c: Context) -> DataFrame:
     return R.case_breakdown(c.case_table(), ["sku", "device_type"])
 
 
-@query("cases_by_sku_version")
+@query("cases_by_sku_version", order=('sku', 'software_version'))
 def _s11(c: Context) -> DataFrame:
     ct = c.case_table().filter(F.col("device_type") == "LMP").drop("software_version")
     return R.case_breakdown(_with_latest_version(ct, c), ["sku", "software_version"])
 
 
-@query("cases_by_ranking")
+@query("cases_by_ranking", order=('-clinic_ranking', 'device_type'))
 def _s12(c: Context) -> DataFrame:
     return R.case_breakdown(c.case_table(), ["clinic_ranking", "device_type"])
 
@@ -192,18 +201,18 @@ def _s16(c: Context) -> DataFrame:
     return B.installed_base_totals(c.base())
 
 
-@query("base_by_sku")
+@query("base_by_sku", order=('sku_code',))
 def _s17(c: Context) -> DataFrame:
     return B.installed_base_totals(c.base(), ["sku_code"])
 
 
-@query("base_by_version")
+@query("base_by_version", order=('device_apk_version',))
 def _s18(c: Context) -> DataFrame:
     base = _with_latest_version(c.base(), c, "device_apk_version")
     return B.installed_base_totals(base, ["device_apk_version"])
 
 
-@query("base_by_sku_version")
+@query("base_by_sku_version", order=('sku_code', 'device_apk_version'))
 def _s19(c: Context) -> DataFrame:
     base = _with_latest_version(c.base(), c, "device_apk_version")
     return B.installed_base_totals(base, ["sku_code", "device_apk_version"])
@@ -221,12 +230,12 @@ def _s22(c: Context) -> DataFrame:
     return c.reboot_cases()
 
 
-@query("reboot_gap_hist")
+@query("reboot_gap_hist", order=('days_btw_reboot_new_case',))
 def _s23(c: Context) -> DataFrame:
     return E.repeat_histogram(c.reboot_cases(), c.p.horizon)
 
 
-@query("reboot_flag_frequency")
+@query("reboot_flag_frequency", order=('-reboots',))
 def _s24(c: Context) -> DataFrame:
     return R.frequency_of_sums(c.reboot_cases(), "asset_tag", "reboot_flag", "reboots")
 
@@ -259,13 +268,13 @@ def _s28(c: Context) -> DataFrame:
     return E.distinct_per(c.fx.reboots, ["reboot_time"], "asset_id")
 
 
-@query("reboots_by_day_flagged")
+@query("reboots_by_day_flagged", order=('reboot_date',))
 def _s29(c: Context) -> DataFrame:
     rb = c.reboot_cases().filter(F.col("reboot_flag") == 1)
     return E.distinct_per(rb, ["reboot_date"], "asset_tag")
 
 
-@query("reboots_by_time_with_case")
+@query("reboots_by_time_with_case", order=('reboot_time',))
 def _s30(c: Context) -> DataFrame:
     tags = c.case_table().select(F.col("asset_tag").alias("asset_id")).distinct()
     rb = c.fx.reboots.join(tags, "asset_id", "left_semi")
@@ -311,28 +320,28 @@ def _lmp_cases(c: Context) -> DataFrame:
     return c.case_table().filter(F.col("device_type") == "LMP")
 
 
-@query("cases_by_sku_tv")
+@query("cases_by_sku_tv", order=('tv_manufacturer', 'sku'))
 def _s35(c: Context) -> DataFrame:
     return R.case_breakdown(_with_tv(_lmp_cases(c), c, "inner"), ["sku", "tv_manufacturer"])
 
 
-@query("base_by_sku_tv")
+@query("base_by_sku_tv", order=('sku_code', 'tv_manufacturer'))
 def _s36(c: Context) -> DataFrame:
     return B.installed_base_totals(_with_tv(c.base(), c, "left"), ["sku_code", "tv_manufacturer"])
 
 
-@query("cases_by_sku_age")
+@query("cases_by_sku_age", order=('sku', 'device_age'))
 def _s37(c: Context) -> DataFrame:
     return R.case_breakdown(_with_age(_lmp_cases(c), c), ["sku", "device_age"],
                             case_count="distinct", device_name="device_cnt")
 
 
-@query("base_by_sku_age")
+@query("base_by_sku_age", order=('sku_code', 'device_age'))
 def _s38(c: Context) -> DataFrame:
     return B.installed_base_totals(_with_age(c.base(), c), ["sku_code", "device_age"])
 
 
-@query("cases_by_four")
+@query("cases_by_four", order=('sku', 'tv_manufacturer', 'device_age', 'software_version'))
 def _s39(c: Context) -> DataFrame:
     ct = _with_tv(_lmp_cases(c).drop("software_version"), c, "inner")
     ct = _with_latest_version(_with_age(ct, c), c)
@@ -340,7 +349,7 @@ def _s39(c: Context) -> DataFrame:
                             case_count="distinct", device_name="device_cnt")
 
 
-@query("base_by_four")
+@query("base_by_four", order=('sku_code', 'tv_manufacturer', 'device_age', 'device_apk_version'))
 def _s40(c: Context) -> DataFrame:
     base = _with_tv(_with_age(c.base(), c), c, "left")
     base = _with_latest_version(base, c, "device_apk_version")
@@ -349,13 +358,13 @@ def _s40(c: Context) -> DataFrame:
 
 
 # ---- commented-out statements (C1, C2) -----------------------------------------------------
-@query("base_in_cohort")
+@query("base_in_cohort", order=('name', 'sku_code'))
 def _c1(c: Context) -> DataFrame:
     return B.installed_base_totals(B.restrict_to_cohort(c.base(), c.case_table()),
                                    ["sku_code", "name"])
 
 
-@query("cases_reconciled_sku")
+@query("cases_reconciled_sku", order=('device_type', '-sku_2'))
 def _c2(c: Context) -> DataFrame:
     ct = c.case_table()
     return R.reconcile_sku(ct, B.restrict_to_cohort(c.base(), ct))
