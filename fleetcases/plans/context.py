@@ -17,6 +17,7 @@ from fleetcases.operators.events import attach_events, recently_seen_hosts
 from fleetcases.operators.lookup import earliest_known, latest_known
 from fleetcases.plans.case_table import build_case_table
 from fleetcases.plans.sinks import materialized
+from fleetcases.session import app_id
 from fleetcases.sources.fixtures import PARAMS, FixtureParams, Fixtures
 
 
@@ -84,11 +85,12 @@ class Context:
         return self._keep("earliest_dates", build)
 
 
-_CONTEXTS: dict[tuple[str, str], Context] = {}
+_CONTEXTS: dict[tuple[int, str, str], Context] = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    k = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    """One context per session and input folder (its fixture frames belong to that session)."""
+    k = (id(spark), app_id(spark), sf_dir.rstrip("/"))
     if k not in _CONTEXTS:
         _CONTEXTS[k] = Context(spark, sf_dir)
     return _CONTEXTS[k]

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetcases.session import work_dir
+from fleetcases.session import app_id, work_dir
 
 _WRITTEN: dict[tuple[str, str], str] = {}
 
@@ -34,7 +34,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Build ``name`` once per session and key (the inputs and parameters), then reuse it."""
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     digest = hashlib.sha1(key.encode()).hexdigest()[:12]
     path = _WRITTEN.get((app, name + digest))
     if path is None:

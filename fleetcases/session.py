@@ -46,18 +46,55 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _conf(spark: SparkSession, key: str) -> str | None:
+    try:
+        value = spark.conf.get(key, None)
+    except Exception:  # noqa: BLE001 - some keys are not readable through the runtime conf
+        value = None
+    if value:
+        return value
+    try:
+        return spark.sparkContext.getConf().get(key, None)
+    except Exception:  # noqa: BLE001 - no SparkContext on a remote (Connect) session
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (tables written by it are keyed by it)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return _conf(spark, "spark.app.id") or "app"
+
+
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written tables: the session's ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the launcher to storage every executor can reach. Only a
     local-mode session (tests, bench) without one gets a fresh folder of its own.
     """
-    sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = _conf(spark, "spark.checkpoint.dir")
+    if not d:
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001
+            d = None
     if d:
         return d.rstrip("/")
-    if not sc.master.startswith("local"):
+    app = app_id(spark)
+    if app in _LOCAL_DIRS:
+        return _LOCAL_DIRS[app]
+    master = _conf(spark, "spark.master") or ""
+    if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder "
                            "(e.g. on the cluster's distributed file system)")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetcases-"))
-    return sc.getCheckpointDir().rstrip("/")
+    d = tempfile.mkdtemp(prefix="fleetcases-")
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001
+        pass
+    _LOCAL_DIRS[app] = d
+    return d
