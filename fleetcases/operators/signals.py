@@ -69,9 +69,11 @@ def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFram
     a later join on them need no further shuffle.
     """
     key = list(case_key)
-    midnight = dt.datetime.combine(first_day, dt.time())
+    # an empty log has no first day: then there are no cases and no cut-off to apply
+    midnight = dt.datetime.combine(first_day, dt.time()) if first_day else None
     until = dt.datetime.combine(last_day, dt.time()) if last_day else None
-    fb_since = dt.datetime.combine(first_day - dt.timedelta(days=lookback + 1), dt.time())
+    fb_since = (dt.datetime.combine(first_day - dt.timedelta(days=lookback + 1), dt.time())
+                if first_day else None)
 
     hb = daily_last_signal(primary, primary_entity, primary_ts, since=midnight, until=until)
     polls = daily_last_signal(fallback, fallback_entity, fallback_ts, since=fb_since, until=until)

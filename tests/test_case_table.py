@@ -42,3 +42,9 @@ def test_two_clients_share_the_gap_and_multiply_rows(spark):
         # the gap join on the tag misses; ams 3 is retired, so its case is gone
         (None, D(18), D(18), 1, None, None, 2, None),
     ]
+
+
+def test_empty_log_gives_empty_table(spark):
+    log, assets, accounts, devices, hb, polls = _inputs(spark)
+    ct = build_case_table(log.limit(0), assets, accounts, devices, hb, polls, AS_OF, staged=False)
+    assert ct.count() == 0 and "days_with_no_heartbeat" in ct.columns

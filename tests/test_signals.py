@@ -52,3 +52,43 @@ def test_strict_days(spark):
 
 def test_pruning_bound_does_not_change_result(spark):
     assert _run(spark, last_day=D(10, 20)) == _run(spark)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+def _model(cases, hbs, polls, first, lookback=5):
+    """The source's range conditions, row by row."""
+    out = {}
+    for tag, src, start, client in cases:
+        lo = dt.datetime.combine(start - dt.timedelta(days=lookback + 1), dt.time())
+        hi = dt.datetime.combine(start, dt.time())
+        cut = dt.datetime.combine(first, dt.time())
+        h = {t.date() for c, t in hbs if c == client and t >= cut and lo < t < hi}
+        p = {t.date() for c, t in polls if c == src
+             and t.date() >= first - dt.timedelta(days=lookback + 1)
+             and start - dt.timedelta(days=lookback + 1) < t.date() < start}
+        out[tag] = lookback - (len(p) if not h else len(h))
+    return out
+
+
+stamp = st.builds(lambda d, s: dt.datetime(2020, 10, 1) + dt.timedelta(days=d, seconds=s),
+                  st.integers(0, 20), st.sampled_from([0, 1, 3600, 86399]))
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), stamp), max_size=25),
+       st.lists(st.tuples(st.integers(1, 3), stamp), max_size=25),
+       st.lists(st.integers(3, 20), min_size=1, max_size=4, unique=True))
+def test_random_signals_match_range_model(spark, hbs, polls, starts):
+    first = D(10, 3)
+    cases = [(f"T{i}", 1 + i % 3, D(10, s), 1 + (i + 1) % 3) for i, s in enumerate(starts)]
+    cdf = spark.createDataFrame([(t, src, s, None, 1, c) for t, src, s, c in cases],
+                                "asset_tag string, source_system_id long, start_date date, "
+                                "close_date date, case_duration long, client_id long")
+    hb = spark.createDataFrame(hbs or [(0, T(10, 1))], "client_id long, created_at timestamp_ntz")
+    pl = spark.createDataFrame(polls or [(0, T(10, 1))],
+                               "client_resource_id long, poll_last_utc timestamp_ntz")
+    got = dict((r[0], r[1]) for r in rows(missing_signal_days(cdf, hb, pl, first),
+                                          "asset_tag", "days_with_no_heartbeat"))
+    assert got == _model(cases, hbs, polls, first)
