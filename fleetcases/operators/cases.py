@@ -31,7 +31,9 @@ def flag_case_boundaries(log: DataFrame, as_of: dt.date, key: str = "asset_id",
 
     Adds ``opens`` (first day of the whole log, no earlier row, or the previous row is not the
     day before), ``closes`` (no later row and the day is not ``as_of``, or the next row is more
-    than a day later) and ``rn`` (position of the row within its device).
+    than a day later) and ``rn`` (position of the row within its device). Rows with a null
+    day can neither open nor close a case and are left out. Rows with a null device key form
+    one device, as in the source; a log with many such rows should be cleaned upstream.
     """
     if first_day is None:
         first_day = min_day(log, day)

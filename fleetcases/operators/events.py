@@ -78,6 +78,10 @@ def attach_events(cases: DataFrame, devices: DataFrame, reboots: DataFrame, as_o
     ``reboot_flag`` = 1 when the reboot day lies within [start, close or ``as_of``];
     ``days_btw_reboot_new_case`` = start - reboot day (signed). Cases without a device or a
     reboot keep one row with null reboot columns.
+
+    The table is by definition one row per (case, reboot day) of the same client. With reboots
+    reduced to distinct days first, a client contributes at most (its cases) x (its reboot
+    days) rows, both bounded by the days in the period, whatever the volume of raw rows.
     """
     cols = cases.columns
     # Both lookups reduced to the distinct pairs the result can see (the output is distinct):
