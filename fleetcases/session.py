@@ -23,19 +23,40 @@ SESSION_CONF = {
 }
 
 
+# Sizing for the full data (about 100 TB over about 1000 executors): start shuffles wide and let
+# AQE coalesce them to ~256 MB partitions, split scans at 512 MB, and treat partitions over 1 GB
+# (and 5x the median) as skewed. spark.checkpoint.dir must point at shared storage.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "fleetcases",
-                extra: dict[str, str] | None = None) -> SparkSession:
-    """Build (or reuse) a session with the library's settings. Used by tests and bench."""
+                extra: dict[str, str] | None = None, profile: str = "local") -> SparkSession:
+    """Build (or reuse) a session with the library's settings.
+
+    ``profile="local"`` (tests, bench) sizes shuffles for one machine; ``profile="cluster"``
+    applies ``CLUSTER_CONF``.
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(SESSION_CONF)
-    conf.update({
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": os.environ.get("FLEETCASES_DRIVER_MEMORY", "8g"),
-    })
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
+    else:
+        conf.update({
+            "spark.sql.shuffle.partitions": str(shuffle_partitions),
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": os.environ.get("FLEETCASES_DRIVER_MEMORY", "8g"),
+        })
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -43,6 +64,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     spark.sparkContext.setLogLevel("ERROR")
     for k, v in SESSION_CONF.items():
         spark.conf.set(k, v)
+    if profile == "cluster":
+        for k, v in CLUSTER_CONF.items():
+            spark.conf.set(k, v)
     return spark
 
 
