@@ -3,7 +3,6 @@ as-of bounds (D5), rule order (D21)."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from conftest import rows
 from fleetcases.functions.dates import as_of_filter, day_diff, year_diff
