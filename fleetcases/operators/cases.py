@@ -102,10 +102,12 @@ def build_cases(log: DataFrame, as_of: dt.date, key: str = "asset_id", day: str
     start, close = F.col("start_date"), F.col("close_date")
     handed_back = F.lead(close).over(w)
     close_date = F.when(F.col("closes"), close).otherwise(handed_back)
-    return (bounds.withColumn("close_date", F.when(F.col("opens"), close_date))
-            .filter(start.isNotNull())
-            .select(*attrs, "start_date", "close_date")
-            .distinct())
+    cases = (bounds.withColumn("close_date", F.when(F.col("opens"), close_date))
+             .filter(start.isNotNull())
+             .select(*attrs, "start_date", "close_date"))
+    # After de-duplication each case comes from its own distinct (attrs, device, day) row, so
+    # the result is already distinct; repeated rows (D2) can repeat a case and need the pass.
+    return cases if dedupe else cases.distinct()
 
 
 def build_cases_legacy(log: DataFrame, as_of: dt.date, key: str = "asset_id", day: str = "date",

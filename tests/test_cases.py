@@ -142,3 +142,11 @@ def test_many_repeats_of_a_closing_day(spark):
         builder = build_cases_legacy if legacy else build_cases
         got = _pairs(builder(_log(spark, days), AS_OF, dedupe=False))
         assert got == _simulate(days, AS_OF, 9, legacy)
+
+
+def test_deduped_cases_are_unique_with_attribute_variants(spark):
+    data = [(a, "V", 1, 1, t, OCT(d)) for a, t in ((1, "LMP"), (2, "AMP"))
+            for d in (9, 10, 10, 12)]
+    log = spark.createDataFrame(data, SCHEMA)
+    c = build_cases(log, AS_OF)
+    assert c.count() == c.distinct().count() > 0
