@@ -97,7 +97,7 @@ def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFram
     if cluster_by:
         matched = matched.repartition(*cluster_by)
     # one row per (case, signal, day), then a plain sum per case: no distinct-count expansion
-    per_day = matched.groupBy(*key, "signal", "day").agg(F.lit(1).alias("one"))
+    per_day = matched.select(*key, "signal", "day").distinct()
     counts = per_day.groupBy(*key).agg(
         F.sum(F.when(F.col("signal") == "primary", 1).otherwise(0)).alias("hb_days"),
         F.sum(F.when(F.col("signal") == "fallback", 1).otherwise(0)).alias("poll_days"))
