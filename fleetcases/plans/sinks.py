@@ -44,6 +44,12 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
     return spark.read.parquet(path)
 
 
+def save_as_table(df: DataFrame, name: str) -> DataFrame:
+    """``drop table`` + ``create table as``: overwrite a catalog table, return a scan of it."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def as_view(df: DataFrame, name: str) -> DataFrame:
     """``create or replace view``: a session view over the lazy plan."""
     df.createOrReplaceTempView(name)
