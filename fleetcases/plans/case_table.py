@@ -18,7 +18,8 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
                      heartbeats: DataFrame, polls: DataFrame, as_of: dt.date, *,
                      legacy: bool = False, dedupe: bool = True, lookback: int = 5,
                      strict_days: bool = False, day: str = "date",
-                     staged: bool = True) -> DataFrame:
+                     staged: bool = True, first_day: dt.date | None = None,
+                     last_day: dt.date | None = None) -> DataFrame:
     """Cases -> enriched cases -> missing signal days, one row per distinct result.
 
     The gap count is attached on (asset_tag, start_date) only, as in the source (D19): where
@@ -28,8 +29,12 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
     with ``staged`` they are written once to the shared folder and read back, so the log's
     window pass runs once. The gap counts are clustered on the final join key, so their two
     aggregations and the join share one shuffle.
+
+    ``first_day``/``last_day`` are the log's first and last day; when both are known (a
+    date-partitioned log) the aggregate over the log that finds them is skipped.
     """
-    first_day, last_day = day_span(log, day)
+    if first_day is None or last_day is None:
+        first_day, last_day = day_span(log, day)
     builder = build_cases_legacy if legacy else build_cases
     cases = builder(log, as_of, day=day, dedupe=dedupe, first_day=first_day)
     clinic = enrich_cases(cases, assets, accounts, devices, as_of)

@@ -48,3 +48,10 @@ def test_empty_log_gives_empty_table(spark):
     log, assets, accounts, devices, hb, polls = _inputs(spark)
     ct = build_case_table(log.limit(0), assets, accounts, devices, hb, polls, AS_OF, staged=False)
     assert ct.count() == 0 and "days_with_no_heartbeat" in ct.columns
+
+
+def test_known_day_span_gives_same_table(spark):
+    args = _inputs(spark)
+    a = build_case_table(*args, AS_OF, staged=False)
+    b = build_case_table(*args, AS_OF, staged=False, first_day=D(8), last_day=D(19))
+    assert rows(a) == rows(b)
