@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetcases.session import app_id, work_dir
 
 _WRITTEN: dict[tuple[str, str], str] = {}
+_SCANS: dict[tuple[int, tuple[str, str]], DataFrame] = {}
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -36,12 +37,16 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
     """Build ``name`` once per session and key (the inputs and parameters), then reuse it."""
     app = app_id(spark)
     digest = hashlib.sha1(key.encode()).hexdigest()[:12]
-    path = _WRITTEN.get((app, name + digest))
-    if path is None:
+    k = (app, name + digest)
+    if k not in _WRITTEN:
         path = f"{work_dir(spark)}/{app}/{name}-{digest}"
         write_table(build(), path)
-        _WRITTEN[(app, name + digest)] = path
-    return spark.read.parquet(path)
+        _WRITTEN[k] = path
+    scan = _SCANS.get((id(spark), k))
+    if scan is None:
+        # one scan per session: later calls skip listing the folder and reading the footers
+        scan = _SCANS[(id(spark), k)] = spark.read.parquet(_WRITTEN[k])
+    return scan
 
 
 def save_as_table(df: DataFrame, name: str) -> DataFrame:
