@@ -6,7 +6,8 @@ a new one), so the result is a function of the whole log, not of the new rows. S
 Streaming provides the trigger and the bookkeeping of which files were seen: a file-source
 stream over the log folder, whose ``foreachBatch`` re-runs the batch build over the full folder
 and overwrites the table. The stream's checkpoint lives in the shared folder, so a restarted
-driver resumes after the last completed rebuild.
+driver resumes after the last completed rebuild; a batch that is replayed after a failure
+writes the same table again (the overwrite is idempotent), so the sink is exactly-once.
 """
 
 from __future__ import annotations
