@@ -55,3 +55,24 @@ def test_known_day_span_gives_same_table(spark):
     a = build_case_table(*args, AS_OF, staged=False)
     b = build_case_table(*args, AS_OF, staged=False, first_day=D(8), last_day=D(19))
     assert rows(a) == rows(b)
+
+
+def test_two_assets_one_tag_multiply_on_the_gap_join(spark):
+    from fleetcases.operators.reports import duplicate_keys
+    log = spark.createDataFrame([(1, 11, 1, 101, "LMP", D(10)), (2, 12, 1, 102, "LMP", D(10))],
+                                "ams_id long, asset_id long, cmh_id long, source_system_id long, "
+                                "device_type string, date date")
+    assets = spark.createDataFrame([(1, "T", "S1", "Installed"), (2, "T", "S2", "Installed")],
+                                   "ams_id long, asset_tag string, sku string, status string")
+    _, _, accounts, _, _, _ = _inputs(spark)
+    devices = spark.createDataFrame([], "asset_id string, client_id long, device_apk_version string")
+    hb = spark.createDataFrame([], "client_id long, created_at timestamp_ntz")
+    polls = spark.createDataFrame([(101, T(7)), (101, T(8))],
+                                  "client_resource_id long, poll_last_utc timestamp_ntz")
+    ct = build_case_table(log, assets, accounts, devices, hb, polls, AS_OF, staged=False,
+                          first_day=D(1), last_day=D(10))
+    # two gap groups for (T, 10th): source 101 saw polls on 2 days (gap 3), 102 none (gap 5);
+    # each of the two case rows takes both
+    assert rows(ct, "ams_id", "sku", "days_with_no_heartbeat") == [
+        (1, "S1", 3), (1, "S1", 5), (2, "S2", 3), (2, "S2", 5)]
+    assert rows(duplicate_keys(ct, ["asset_tag", "start_date"])) == [("T", D(10), 4)]
