@@ -143,14 +143,16 @@ def enrich_cases(cases: DataFrame, assets: DataFrame, accounts: DataFrame, devic
     with several devices yields one row per device. ``case_duration`` counts both end days; an
     open case runs to ``as_of``. Not de-duplicated here: the case table does that once, last.
     """
+    # Lookups reduced to distinct rows first: the case table ends in a distinct and gaps count
+    # distinct days, so a repeated dimension row changes nothing but the work it would cause.
     a = (assets.filter(F.upper("status") == installed_status.upper())
-         .select("ams_id", "asset_tag", "sku"))
+         .select("ams_id", "asset_tag", "sku").distinct())
     acc = accounts.select("cmh_id", "account_name", F.col("ranking").alias("clinic_ranking"),
                           F.col("billing_street").alias("street"),
                           F.col("billing_city").alias("city"),
                           F.col("billing_state_province").alias("state"))
     dev = devices.select(F.col("asset_id").alias("asset_tag"), "client_id",
-                         F.col("device_apk_version").alias("software_version"))
+                         F.col("device_apk_version").alias("software_version")).distinct()
     out = (cases.join(a, "ams_id", "inner")
            .join(acc, "cmh_id", "left")
            .join(dev, "asset_tag", "left")

@@ -36,53 +36,68 @@ class Context:
         return {"full": self.fx.issue_log, "sparse": self.fx.issue_log_sparse,
                 "dup": self.fx.issue_log_dup}[which]
 
-    def case_table(self, which: str = "full", legacy: bool = False) -> DataFrame:
-        """S02 (``legacy=True``: the S41 view's rule), materialised."""
+    # ---- lazy builders (plans only; ``scripts/plan_summary.py`` prints them) ----------------
+    def build_case_table(self, which: str = "full", legacy: bool = False,
+                         staged: bool = True) -> DataFrame:
+        fx = self.fx
+        return build_case_table(self.log(which), fx.assets, fx.accounts, fx.devices,
+                                fx.heartbeats, fx.polls, self.p.as_of, legacy=legacy,
+                                dedupe=which != "dup", staged=staged)
+
+    def build_reboot_cases(self, which: str = "full") -> DataFrame:
+        return attach_events(self.case_table(which), self.fx.devices, self.fx.reboots,
+                             self.p.as_of)
+
+    def build_tv(self) -> DataFrame:
         fx = self.fx
+        return recently_seen_hosts(fx.host, fx.bag, fx.monitor_poll, self.p.poll_since)
+
+    def build_base(self) -> DataFrame:
+        fx = self.fx
+        return installed_base(fx.assets_history, fx.accounts, fx.asset, fx.sku, fx.sku_type,
+                              self.p.base_bounds)
+
+    def build_latest_version(self) -> DataFrame:
+        return latest_known(self.fx.devices_history, "asset_id", "device_apk_version",
+                            "export_date", out_value="software_version")
 
-        def build():
-            return build_case_table(self.log(which), fx.assets, fx.accounts, fx.devices,
-                                    fx.heartbeats, fx.polls, self.p.as_of, legacy=legacy,
-                                    dedupe=which != "dup")
-        return self._keep("case_table", build, which, legacy)
+    def build_earliest_dates(self) -> DataFrame:
+        """O12 twice: first install day (devices history) and first deployment day (assets
+        history) per asset tag, as one table. A union then one grouping, no outer join."""
+        inst = earliest_known(self.fx.devices_history, "asset_id", "installed_date",
+                              out_key="asset_tag")
+        dep = earliest_known(self.fx.assets_history, "asset_tag", "deployment_date")
+        both = (inst.select("asset_tag", "installed_date",
+                            F.lit(None).cast("date").alias("deployment_date"))
+                .unionByName(dep.select("asset_tag", F.lit(None).cast("date").alias("installed_date"),
+                                        "deployment_date")))
+        return both.groupBy("asset_tag").agg(F.min("installed_date").alias("installed_date"),
+                                             F.min("deployment_date").alias("deployment_date"))
+
+    # ---- materialised tables -------------------------------------------------------------
+    def case_table(self, which: str = "full", legacy: bool = False) -> DataFrame:
+        """S02 (``legacy=True``: the S41 view's rule)."""
+        return self._keep("case_table", lambda: self.build_case_table(which, legacy), which, legacy)
 
     def reboot_cases(self, which: str = "full") -> DataFrame:
-        """Reboot x case table, materialised."""
-        return self._keep("reboot_cases", lambda: attach_events(
-            self.case_table(which), self.fx.devices, self.fx.reboots, self.p.as_of), which)
+        """Reboot x case table."""
+        return self._keep("reboot_cases", lambda: self.build_reboot_cases(which), which)
 
     def tv(self) -> DataFrame:
         """S34 result, kept as the TV-maker extract the later statements read."""
-        fx = self.fx
-        return self._keep("host_tv", lambda: recently_seen_hosts(
-            fx.host, fx.bag, fx.monitor_poll, self.p.poll_since))
+        return self._keep("host_tv", self.build_tv)
 
     def base(self) -> DataFrame:
         """O14 installed base at the fixture's as-of bounds."""
-        fx = self.fx
-        return self._keep("installed_base", lambda: installed_base(
-            fx.assets_history, fx.accounts, fx.asset, fx.sku, fx.sku_type, self.p.base_bounds))
+        return self._keep("installed_base", self.build_base)
 
     def latest_version(self) -> DataFrame:
         """O11 over the devices history: asset_id, software_version."""
-        return self._keep("latest_version", lambda: latest_known(
-            self.fx.devices_history, "asset_id", "device_apk_version", "export_date",
-            out_value="software_version"))
+        return self._keep("latest_version", self.build_latest_version)
 
     def earliest_dates(self) -> DataFrame:
-        """O12 twice: first install day (devices history) and first deployment day (assets
-        history) per asset tag, as one table. A union then one grouping, no outer join."""
-        def build():
-            inst = earliest_known(self.fx.devices_history, "asset_id", "installed_date",
-                                  out_key="asset_tag")
-            dep = earliest_known(self.fx.assets_history, "asset_tag", "deployment_date")
-            both = (inst.select("asset_tag", "installed_date",
-                                F.lit(None).cast("date").alias("deployment_date"))
-                    .unionByName(dep.select("asset_tag", F.lit(None).cast("date").alias("installed_date"),
-                                            "deployment_date")))
-            return both.groupBy("asset_tag").agg(F.min("installed_date").alias("installed_date"),
-                                                 F.min("deployment_date").alias("deployment_date"))
-        return self._keep("earliest_dates", build)
+        """asset_tag, installed_date, deployment_date."""
+        return self._keep("earliest_dates", self.build_earliest_dates)
 
 
 _CONTEXTS: dict[tuple[int, str, str], Context] = {}

@@ -20,6 +20,7 @@ from fleetcases.operators.cases import build_cases, build_cases_legacy, flag_cas
 from fleetcases.operators.lookup import device_age_years
 from fleetcases.operators.signals import missing_signal_days
 from fleetcases.plans.context import Context, context
+from fleetcases.plans.sinks import stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,7 @@ def _missing_signal_days(c: Context) -> DataFrame:
              .withColumn("client_id", F.col("asset_id"))
              .withColumn("case_duration",
                          days_inclusive("start_date", "close_date", c.p.as_of).cast("long")))
+    cases = stage_table(cases, "signal_cases")     # read by three branches: build it once
     key = ("asset_id", "source_system_id", "start_date", "close_date", "case_duration")
     return missing_signal_days(cases, c.fx.heartbeats, c.fx.polls, first, last_day=last,
                                case_key=key)
