@@ -9,6 +9,7 @@ pipeline, and a lost executor costs a re-read, not a recomputation from the raw
 from __future__ import annotations
 
 import hashlib
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +19,8 @@ from fleetcases.session import app_id, work_dir
 
 _WRITTEN: dict[tuple[str, str], str] = {}
 _SCANS: dict[tuple[int, tuple[str, str]], DataFrame] = {}
+_GUARD = threading.Lock()
+_BUILDING: dict[tuple[str, str], threading.Lock] = {}
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -38,14 +41,17 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
     app = app_id(spark)
     digest = hashlib.sha1(key.encode()).hexdigest()[:12]
     k = (app, name + digest)
-    if k not in _WRITTEN:
-        path = f"{work_dir(spark)}/{app}/{name}-{digest}"
-        write_table(build(), path)
-        _WRITTEN[k] = path
-    scan = _SCANS.get((id(spark), k))
-    if scan is None:
-        # one scan per session: later calls skip listing the folder and reading the footers
-        scan = _SCANS[(id(spark), k)] = spark.read.parquet(_WRITTEN[k])
+    with _GUARD:
+        lock = _BUILDING.setdefault(k, threading.Lock())
+    with lock:   # queries run from several threads build each table once, not concurrently
+        if k not in _WRITTEN:
+            path = f"{work_dir(spark)}/{app}/{name}-{digest}"
+            write_table(build(), path)
+            _WRITTEN[k] = path
+        scan = _SCANS.get((id(spark), k))
+        if scan is None:
+            # one scan per session: later calls skip listing the folder and reading the footers
+            scan = _SCANS[(id(spark), k)] = spark.read.parquet(_WRITTEN[k])
     return scan
 
 

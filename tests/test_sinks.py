@@ -22,3 +22,12 @@ def test_view_sink(spark):
     as_view(df, "fc_devices_by_type")
     assert rows(spark.table("fc_devices_by_type")) == rows(df)
     spark.catalog.dropTempView("fc_devices_by_type")
+
+
+def test_concurrent_queries_build_tables_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    names = ["cases_by_type_total", "devices_by_type_total", "case_frequency", "cases_by_sku"]
+    sf = "/root/testdata/sf0.01"
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: rows(QUERIES[n](spark, sf)), names))
+    assert got == [rows(QUERIES[n](spark, sf)) for n in names]
