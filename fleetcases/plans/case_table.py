@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetcases.functions.dates import day_span
 from fleetcases.operators.cases import ENRICHED_COLUMNS, build_cases, build_cases_legacy, enrich_cases
@@ -40,7 +41,11 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
     clinic = enrich_cases(cases, assets, accounts, devices, as_of)
     if staged:
         clinic = stage_table(clinic, "enriched_cases")
-    gaps = missing_signal_days(clinic, heartbeats, polls, first_day, lookback=lookback,
+    # a null tag or start never meets the gap join below, so its gap would be discarded: leave
+    # those rows out of the count (exact), which also keeps a null tag from piling up its cases
+    # in one partition of the gap aggregation
+    joinable = clinic.filter(F.col("asset_tag").isNotNull() & F.col("start_date").isNotNull())
+    gaps = missing_signal_days(joinable, heartbeats, polls, first_day, lookback=lookback,
                                strict_days=strict_days, last_day=last_day,
                                cluster_by=("asset_tag", "start_date"))
     return (clinic.join(gaps.select("asset_tag", "start_date", "days_with_no_heartbeat"),
