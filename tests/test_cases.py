@@ -150,3 +150,9 @@ def test_deduped_cases_are_unique_with_attribute_variants(spark):
     log = spark.createDataFrame(data, SCHEMA)
     c = build_cases(log, AS_OF)
     assert c.count() == c.distinct().count() > 0
+
+
+def test_case_counts_at_the_bench_scale(spark):
+    c = build_cases(Fixtures(spark, "/root/testdata/sf0.1").issue_log, PARAMS.as_of)
+    r = c.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("close_date").isNull().cast("int")).alias("o")).first()
+    assert (r.n, r.o) == (10478, 517)
