@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetcases.functions.rules import conditional_count, conditional_count_distinct
+from fleetcases.functions.rules import conditional_count
 
 
 def breakdown_with_total(df: DataFrame, dim: str, measures: Mapping[str, Column],
@@ -40,12 +40,30 @@ def cases_and_missing(df: DataFrame, dim: str = "device_type",
 
 
 def devices_and_missing(df: DataFrame, dim: str = "device_type", device: str = "asset_tag",
-                        gap: str = "days_with_no_heartbeat") -> DataFrame:
-    """Devices and devices with a missing-signal case, per ``dim`` and overall."""
-    return breakdown_with_total(df, dim, {
-        "total_devices": F.count_distinct(device),
-        "heartbeat_missing": conditional_count_distinct(device, F.col(gap) > 0),
-    })
+                        gap: str = "days_with_no_heartbeat",
+                        total_label: str = "ALL_CASES") -> DataFrame:
+    """Devices and devices with a missing-signal case, per ``dim`` and overall.
+
+    Plain aggregates instead of distinct counts over grouping sets (which copy every row once
+    per set and per distinct expression): one row per (dim, device) with a missing flag, counted
+    per dim; and one row per device, counted for the total, so a device seen under two ``dim``
+    values still counts once there. The total row is told apart by its own branch (D7).
+    """
+    miss = F.max(F.when(F.col(gap) > 0, 1).otherwise(0))
+    known = F.col(device).isNotNull()
+
+    def counts(frame: DataFrame, *keys: str) -> DataFrame:
+        return frame.groupBy(*keys).agg(
+            F.count(device).alias("total_devices"),
+            F.sum(F.when(known, F.col("_miss")).otherwise(0)).cast("long").alias("heartbeat_missing"))
+
+    per_dim = df.groupBy(dim, device).agg(miss.alias("_miss"))
+    per_device = per_dim.groupBy(device).agg(F.max("_miss").alias("_miss"))
+    groups = counts(per_dim, dim).select(F.col(dim).cast("string").alias(dim),
+                                         "total_devices", "heartbeat_missing")
+    total = counts(per_device).select(F.lit(total_label).alias(dim), "total_devices",
+                                      "heartbeat_missing")
+    return groups.unionByName(total).distinct()
 
 
 def frequency_of_counts(df: DataFrame, key: str = "asset_tag", counted: str = "start_date",

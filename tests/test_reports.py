@@ -82,3 +82,19 @@ def test_anchor_totals(spark):
     assert tuple(_q(spark, "repeat_after_reboot").first()) == (49, 55)
     assert _q(spark, "reboot_span_qc").first().device_cnt == 54
     assert _q(spark, "reboot_cases").count() == 1059
+
+
+def test_devices_and_missing_counts_a_device_once_in_the_total(spark):
+    from fleetcases.operators.reports import devices_and_missing
+    df = spark.createDataFrame([("a", "LMP", D(2020, 1, 1), None, 1), ("a", "AMP", D(2020, 1, 2), None, 0),
+                                ("b", None, D(2020, 1, 3), None, 0), (None, "LMP", D(2020, 1, 4), None, 3)], CT)
+    got = rows(devices_and_missing(df, gap="days"))
+    assert got == [("ALL_CASES", 2, 1), ("AMP", 1, 0), ("LMP", 1, 1), (None, 1, 0)]
+
+
+def test_conditional_counts(spark):
+    from fleetcases.functions.rules import conditional_count, conditional_count_distinct
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 0), (None, 5), ("c", None)], "k string, v int")
+    r = df.agg(conditional_count(F.col("v") > 0).alias("n"),
+               conditional_count_distinct("k", F.col("v") > 0).alias("d")).first()
+    assert (r.n, r.d) == (3, 1)
