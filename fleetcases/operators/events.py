@@ -139,8 +139,9 @@ def repeat_histogram(attached: DataFrame, horizon: int = 31) -> DataFrame:
 def repeat_totals(attached: DataFrame, horizon: int = 31) -> DataFrame:
     """Devices and cases with a repeat case."""
     rep = repeat_after_event(attached, horizon)
-    return rep.agg(F.count_distinct("asset_tag").alias("device_cnt"),
-                   F.count_distinct("asset_tag", "start_date").alias("case_cnt"))
+    per_dev = rep.groupBy("asset_tag").agg(F.count_distinct("start_date").alias("_n"))
+    return per_dev.agg(F.count("asset_tag").alias("device_cnt"),
+                       F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("case_cnt"))
 
 
 def distinct_per(df: DataFrame, dims: Sequence[str], key: str, name: str = "device_cnt") -> DataFrame:
@@ -163,7 +164,8 @@ def span_overlap_check(attached: DataFrame) -> DataFrame:
         F.min("reboot_date").alias("r0"), F.max("reboot_date").alias("r1"))
     s0, s1 = F.col("s0"), F.col("s1")
     hit = (F.col("r0").between(s0, s1)) | (F.col("r1").between(s0, s1))
-    return per.filter(hit).agg(F.count_distinct("asset_tag").alias("device_cnt"))
+    # one row per asset already: a plain count of the non-null tags
+    return per.filter(hit).agg(F.count("asset_tag").alias("device_cnt"))
 
 
 def recently_seen_hosts(hosts: DataFrame, bags: DataFrame, polls: DataFrame,
