@@ -98,3 +98,14 @@ def test_conditional_counts(spark):
     r = df.agg(conditional_count(F.col("v") > 0).alias("n"),
                conditional_count_distinct("k", F.col("v") > 0).alias("d")).first()
     assert (r.n, r.d) == (3, 1)
+
+
+def test_report_order_follows_the_statement(spark):
+    got = [(r.clinic_ranking, r.device_type) for r in _q(spark, "cases_by_ranking").collect()]
+    # ORDER BY 1 DESC, 2: nulls first on the descending key (D8), then ranking 4..0, type asc
+    assert got[0][0] is None
+    ranks = [g[0] for g in got if g[0] is not None]
+    assert ranks == sorted(ranks, reverse=True)
+    assert got == sorted(got, key=lambda t: (t[0] is not None, -(t[0] or 0), t[1]))
+    freq = [r.case_cnt for r in _q(spark, "case_frequency").collect()]
+    assert freq == sorted(freq)
