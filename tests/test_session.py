@@ -45,3 +45,14 @@ def test_local_without_folder_gets_one_per_application():
 def test_real_session_reads_its_setting(spark):
     assert S.work_dir(spark)
     assert S.app_id(spark) == spark.sparkContext.applicationId
+
+
+def test_public_names_resolve():
+    import fleetcases.functions as fn
+    import fleetcases.operators as ops
+    import fleetcases.plans as plans
+    import fleetcases.sources as src
+    import fleetcases.streaming as stream
+    for mod in (fn, ops, plans, src, stream):
+        for name in mod.__all__:
+            assert callable(getattr(mod, name)) or name.isupper() or name == "PARAMS", name
