@@ -156,3 +156,17 @@ def test_case_counts_at_the_bench_scale(spark):
     c = build_cases(Fixtures(spark, "/root/testdata/sf0.1").issue_log, PARAMS.as_of)
     r = c.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("close_date").isNull().cast("int")).alias("o")).first()
     assert (r.n, r.o) == (10478, 517)
+
+
+def test_hot_device_is_collapsed_before_the_window(spark):
+    from fleetcases.operators.cases import MAX_REPEATS, _bounded_repeats
+    hot = {"H": [d for d in (8, 9, 10, 14) for _ in range(300)]}     # 1200 rows, 4 days
+    cold = {k: [8 + i % 5, 12] for i, k in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    days = {**hot, **cold}
+    log = _log(spark, days)
+    cols = ["ams_id", "asset_id", "cmh_id", "source_system_id", "device_type", "date"]
+    into_window = _bounded_repeats(log.select(*cols), cols).filter(F.col("asset_id") == "H").count()
+    assert log.filter(F.col("asset_id") == "H").count() > log.count() / 3
+    assert into_window == MAX_REPEATS * 4
+    assert _pairs(build_cases(log, AS_OF, dedupe=False)) == _simulate(days, AS_OF, 8)
+    assert build_cases(log, AS_OF).filter(F.col("asset_id") == "H").count() == 2
