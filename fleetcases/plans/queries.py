@@ -120,31 +120,37 @@ def _case_view_legacy(c: Context) -> DataFrame:
 
 @query("cases_by_type_total")
 def _s03(c: Context) -> DataFrame:
+    """Cases and cases with a missing signal day, by device type and in total."""
     return R.cases_and_missing(c.case_table())
 
 
 @query("devices_by_type_total")
 def _s04(c: Context) -> DataFrame:
+    """Devices and devices with a missing signal day, by device type and in total."""
     return R.devices_and_missing(c.case_table())
 
 
 @query("case_frequency", order=('case_cnt',))
 def _s05(c: Context) -> DataFrame:
+    """Devices by their number of cases."""
     return R.frequency_of_counts(c.case_table())
 
 
 @query("case_frequency_by_type", order=('case_cnt', 'device_type'))
 def _s06(c: Context) -> DataFrame:
+    """Devices by number of cases and device type."""
     return R.frequency_of_counts(c.case_table(), dims=["device_type"])
 
 
 @query("single_closed_join", order=('case_cnt', 'device_type'))
 def _s07(c: Context) -> DataFrame:
+    """Single-case devices with a closed case (join form), sparse log."""
     return R.closed_single_case_join(c.case_table("sparse"))
 
 
 @query("single_closed_in")
 def _s08(c: Context) -> DataFrame:
+    """The same question in IN form, sparse log."""
     return R.closed_single_case_in(c.case_table("sparse"))
 
 
@@ -156,38 +162,45 @@ def _with_latest_version(df: DataFrame, c: Context, name: str = "software_versio
 
 @query("cases_by_version", order=('device_type', 'software_version'))
 def _s09(c: Context) -> DataFrame:
+    """Devices and cases by latest software version and device type."""
     ct = c.case_table().drop("software_version")
     return R.case_breakdown(_with_latest_version(ct, c), ["software_version", "device_type"])
 
 
 @query("cases_by_sku", order=('device_type', 'sku'))
 def _s10(c: Context) -> DataFrame:
+    """Devices and cases by SKU and device type."""
     return R.case_breakdown(c.case_table(), ["sku", "device_type"])
 
 
 @query("cases_by_sku_version", order=('sku', 'software_version'))
 def _s11(c: Context) -> DataFrame:
+    """LMP devices and cases by SKU and latest software version."""
     ct = c.case_table().filter(F.col("device_type") == "LMP").drop("software_version")
     return R.case_breakdown(_with_latest_version(ct, c), ["sku", "software_version"])
 
 
 @query("cases_by_ranking", order=('-clinic_ranking', 'device_type'))
 def _s12(c: Context) -> DataFrame:
+    """Devices and cases by clinic ranking and device type."""
     return R.case_breakdown(c.case_table(), ["clinic_ranking", "device_type"])
 
 
 @query("case_date_span")
 def _s13(c: Context) -> DataFrame:
+    """First and last case start."""
     return R.date_span(c.case_table())
 
 
 @query("device_total")
 def _s14(c: Context) -> DataFrame:
+    """Devices with a case."""
     return E.distinct_per(c.case_table(), [], "asset_tag")
 
 
 @query("device_total_by_type")
 def _s15(c: Context) -> DataFrame:
+    """Devices with a case by device type."""
     return E.distinct_per(c.case_table(), ["device_type"], "asset_tag")
 
 
@@ -200,22 +213,26 @@ def _installed_base(c: Context) -> DataFrame:
 
 @query("base_total")
 def _s16(c: Context) -> DataFrame:
+    """Installed base in total and by player type."""
     return B.installed_base_totals(c.base())
 
 
 @query("base_by_sku", order=('sku_code',))
 def _s17(c: Context) -> DataFrame:
+    """Installed base by SKU code."""
     return B.installed_base_totals(c.base(), ["sku_code"])
 
 
 @query("base_by_version", order=('device_apk_version',))
 def _s18(c: Context) -> DataFrame:
+    """Installed base by latest software version."""
     base = _with_latest_version(c.base(), c, "device_apk_version")
     return B.installed_base_totals(base, ["device_apk_version"])
 
 
 @query("base_by_sku_version", order=('sku_code', 'device_apk_version'))
 def _s19(c: Context) -> DataFrame:
+    """Installed base by SKU code and software version."""
     base = _with_latest_version(c.base(), c, "device_apk_version")
     return B.installed_base_totals(base, ["sku_code", "device_apk_version"])
 
@@ -223,22 +240,26 @@ def _s19(c: Context) -> DataFrame:
 # ---- reboots (S20, S22-S33) -----------------------------------------------------------------
 @query("earliest_reboot")
 def _s20(c: Context) -> DataFrame:
+    """Earliest reboot tag over players with a finished latest reboot run."""
     fx = c.fx
     return E.earliest_reboot(fx.app_devices, fx.activities, fx.taggings, fx.tags, c.p.app_since)
 
 
 @query("reboot_cases")
 def _s22(c: Context) -> DataFrame:
+    """LMP cases with every reboot day of their clients."""
     return c.reboot_cases()
 
 
 @query("reboot_gap_hist", order=('days_btw_reboot_new_case',))
 def _s23(c: Context) -> DataFrame:
+    """Repeat devices and cases by days from reboot to the next case."""
     return E.repeat_histogram(c.reboot_cases(), c.p.horizon)
 
 
 @query("reboot_flag_frequency", order=('-reboots',))
 def _s24(c: Context) -> DataFrame:
+    """Devices by number of reboots inside their cases."""
     return R.frequency_of_sums(c.reboot_cases(), "asset_tag", "reboot_flag", "reboots")
 
 
@@ -248,6 +269,7 @@ def _reboot_ids(c: Context, cond) -> DataFrame:
 
 @query("reboot_both_days")
 def _s25(c: Context) -> DataFrame:
+    """Assets rebooted on both of two days."""
     p1, p2 = c.p.reboot_day_patterns
     t = F.col("reboot_time")
     return E.cohort_overlap(_reboot_ids(c, t.like(p1)), _reboot_ids(c, t.like(p2)), "asset_id")
@@ -255,11 +277,13 @@ def _s25(c: Context) -> DataFrame:
 
 @query("rebooted_assets")
 def _s26(c: Context) -> DataFrame:
+    """Distinct rebooted assets."""
     return E.distinct_per(c.fx.reboots, [], "asset_id")
 
 
 @query("rebooted_with_case")
 def _s27(c: Context) -> DataFrame:
+    """Rebooted assets that also have a case."""
     tags = c.case_table().select(F.col("asset_tag").alias("asset_id"))
     both = E.cohort_overlap(tags, c.fx.reboots.select("asset_id"), "asset_id")
     return E.distinct_per(both, [], "asset_id")
@@ -267,17 +291,20 @@ def _s27(c: Context) -> DataFrame:
 
 @query("reboots_by_time")
 def _s28(c: Context) -> DataFrame:
+    """Assets per reboot time, blank included."""
     return E.distinct_per(c.fx.reboots, ["reboot_time"], "asset_id")
 
 
 @query("reboots_by_day_flagged", order=('reboot_date',))
 def _s29(c: Context) -> DataFrame:
+    """Assets per reboot day with the reboot inside a case."""
     rb = c.reboot_cases().filter(F.col("reboot_flag") == 1)
     return E.distinct_per(rb, ["reboot_date"], "asset_tag")
 
 
 @query("reboots_by_time_with_case", order=('reboot_time',))
 def _s30(c: Context) -> DataFrame:
+    """Assets with a case per reboot time."""
     tags = c.case_table().select(F.col("asset_tag").alias("asset_id")).distinct()
     rb = c.fx.reboots.join(tags, "asset_id", "left_semi")
     return E.distinct_per(rb, ["reboot_time"], "asset_id")
@@ -285,6 +312,7 @@ def _s30(c: Context) -> DataFrame:
 
 @query("two_wave_overlap")
 def _s31(c: Context) -> DataFrame:
+    """Assets rebooted in both waves."""
     t = F.col("reboot_time")
     return E.cohort_overlap(_reboot_ids(c, t.isin(*c.p.first_wave_times)),
                             _reboot_ids(c, t.isin(*c.p.second_wave_times)), "asset_id")
@@ -292,17 +320,20 @@ def _s31(c: Context) -> DataFrame:
 
 @query("repeat_after_reboot")
 def _s32(c: Context) -> DataFrame:
+    """Devices and cases with a repeat case after a reboot."""
     return E.repeat_totals(c.reboot_cases(), c.p.horizon)
 
 
 @query("reboot_span_qc")
 def _s33(c: Context) -> DataFrame:
+    """QC, assets whose reboot span meets their case span."""
     return E.span_overlap_check(c.reboot_cases())
 
 
 # ---- TV maker and device age (S34-S40) ------------------------------------------------------
 @query("host_tv")
 def _s34(c: Context) -> DataFrame:
+    """Recently seen hosts with their TV maker."""
     return c.tv()
 
 
@@ -324,27 +355,32 @@ def _lmp_cases(c: Context) -> DataFrame:
 
 @query("cases_by_sku_tv", order=('tv_manufacturer', 'sku'))
 def _s35(c: Context) -> DataFrame:
+    """LMP devices and cases by SKU and TV maker."""
     return R.case_breakdown(_with_tv(_lmp_cases(c), c, "inner"), ["sku", "tv_manufacturer"])
 
 
 @query("base_by_sku_tv", order=('sku_code', 'tv_manufacturer'))
 def _s36(c: Context) -> DataFrame:
+    """Installed base by SKU code and TV maker."""
     return B.installed_base_totals(_with_tv(c.base(), c, "left"), ["sku_code", "tv_manufacturer"])
 
 
 @query("cases_by_sku_age", order=('sku', 'device_age'))
 def _s37(c: Context) -> DataFrame:
+    """LMP devices and cases by SKU and device age."""
     return R.case_breakdown(_with_age(_lmp_cases(c), c), ["sku", "device_age"],
                             case_count="distinct", device_name="device_cnt")
 
 
 @query("base_by_sku_age", order=('sku_code', 'device_age'))
 def _s38(c: Context) -> DataFrame:
+    """Installed base by SKU code and device age."""
     return B.installed_base_totals(_with_age(c.base(), c), ["sku_code", "device_age"])
 
 
 @query("cases_by_four", order=('sku', 'tv_manufacturer', 'device_age', 'software_version'))
 def _s39(c: Context) -> DataFrame:
+    """LMP devices and cases by SKU, TV maker, age and version."""
     ct = _with_tv(_lmp_cases(c).drop("software_version"), c, "inner")
     ct = _with_latest_version(_with_age(ct, c), c)
     return R.case_breakdown(ct, ["sku", "tv_manufacturer", "device_age", "software_version"],
@@ -353,6 +389,7 @@ def _s39(c: Context) -> DataFrame:
 
 @query("base_by_four", order=('sku_code', 'tv_manufacturer', 'device_age', 'device_apk_version'))
 def _s40(c: Context) -> DataFrame:
+    """Installed base by SKU code, TV maker, age and version."""
     base = _with_tv(_with_age(c.base(), c), c, "left")
     base = _with_latest_version(base, c, "device_apk_version")
     return B.installed_base_totals(
@@ -362,11 +399,13 @@ def _s40(c: Context) -> DataFrame:
 # ---- commented-out statements (C1, C2) -----------------------------------------------------
 @query("base_in_cohort", order=('name', 'sku_code'))
 def _c1(c: Context) -> DataFrame:
+    """Installed base of assets with a case, by SKU code and type name."""
     return B.installed_base_totals(B.restrict_to_cohort(c.base(), c.case_table()),
                                    ["sku_code", "name"])
 
 
 @query("cases_reconciled_sku", order=('device_type', '-sku_2'))
 def _c2(c: Context) -> DataFrame:
+    """Cases by reconciled SKU and device type."""
     ct = c.case_table()
     return R.reconcile_sku(ct, B.restrict_to_cohort(c.base(), ct))
