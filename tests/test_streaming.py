@@ -28,3 +28,22 @@ def test_refresh_matches_batch_build(spark, tmp_path):
     log.filter(F.col("date") > cut).write.parquet(log_dir + "/part=2")
     refresh_on_new_log_files(spark, log_dir, log.schema, build, out, ckpt).awaitTermination()
     assert rows(spark.read.parquet(out)) == rows(build(log))
+
+
+def test_periodic_trigger_refreshes_then_stops(spark, tmp_path):
+    fx = Fixtures(spark, SF_SMALL)
+    log = fx.issue_log
+    log_dir, out, ckpt = str(tmp_path / "log"), str(tmp_path / "cases"), str(tmp_path / "ckpt")
+
+    def build(whole_log):
+        return build_case_table(whole_log, fx.assets, fx.accounts, fx.devices, fx.heartbeats,
+                                fx.polls, PARAMS.as_of, staged=False)
+
+    log.write.parquet(log_dir + "/part=1")
+    q = refresh_on_new_log_files(spark, log_dir, log.schema, build, out, ckpt,
+                                 available_now=False, interval="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert rows(spark.read.parquet(out)) == rows(build(log))
