@@ -50,3 +50,26 @@ def test_signal_windows_reach_the_scans(spark):
     pushed = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", plan)
     assert any("GreaterThanOrEqual(ts," in p and "LessThan(ts," in p and "click" in p for p in pushed)
     assert any("GreaterThanOrEqual(ts," in p and "LessThan(ts," in p and "signup" in p for p in pushed)
+
+
+def test_history_collapses_before_the_lookups(spark):
+    from fleetcases.plans.context import context
+    plan = _plan(context(spark, SF_SMALL).build_base())
+    dedupe = re.findall(r"HashAggregate\(keys=\[ams_id#\d+L?, asset_tag#\d+, source_system_id#\d+L?, "
+                        r"cmh_id#\d+L?\], functions=\[\]", plan)
+    assert len(dedupe) == 2, plan          # partial (map side) and final
+    assert "Exchange hashpartitioning(ams_id" in plan   # the shuffle between them
+
+
+def test_signals_reduced_map_side(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    ct = build_case_table(fx.issue_log, fx.assets, fx.accounts, fx.devices, fx.heartbeats,
+                          fx.polls, PARAMS.as_of, staged=False)
+    plan = _plan(ct)
+    # heartbeats and polls each reduced to one row per (client, day), partial then final (the
+    # poll side needs no last time, so Catalyst prunes it to a plain distinct)
+    # (Spark extracts the to_date(ts) key into a projection as _groupingexpression)
+    keys = re.findall(r"HashAggregate\(keys=\[entity#\d+L?, _groupingexpression#\d+\]", plan)
+    assert len(keys) >= 4, plan
+    assert "partial_max(ts" in plan
+    assert "RangeJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
