@@ -7,22 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetcases.constants import TV_MAKER_RULES
 from fleetcases.functions.dates import col_of
 
-# TV-maker rules of the host-to-TV lookup, in the source's order. The first
-# case-sensitive LIKE pattern that matches gives the label; no match keeps the raw name.
-TV_MAKER_RULES: tuple[tuple[str, str], ...] = (
-    ("%LG%", "LG"),
-    ("%Samsung%", "Samsung"),
-    ("%Phillips%", "Philips"),
-    ("%Philips%", "Philips"),
-    ("%ChiMei%", "ChiMei"),
-    ("%Sony Black%", "Sony Black"),
-    ("%Sony Silver%", "Sony Silver"),
-    ("%Polaroid%", "Polaroid"),
-    ("%Prima%", "Prima"),
-    ("%Fransican%", "Samsung"),
-)
+__all__ = ["TV_MAKER_RULES", "classify_first_match", "conditional_count",
+           "conditional_count_distinct"]
 
 
 def classify_first_match(c: str | Column, rules: Sequence[tuple[str, str]] = TV_MAKER_RULES,

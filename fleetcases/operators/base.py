@@ -8,19 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcases.constants import ANDROID_PLAYER, BASE_PRODUCT, BASE_STATUS, LINUX_PLAYER
 from fleetcases.functions.dates import as_of_filter
 from fleetcases.operators.lookup import join_ignore_case
 
-# SKU type names counted separately in the totals.
-LINUX_PLAYER = "LINUX_MEDIA_PLAYER"
-ANDROID_PLAYER = "ANDROID_MEDIA_PLAYER"
 
 BASE_COLUMNS = ("ams_id", "asset_tag", "source_system_id", "sku_code", "name")
 
 
 def installed_base(assets_history: DataFrame, accounts: DataFrame, asset: DataFrame,
                    sku: DataFrame, sku_type: DataFrame, bounds: Sequence[dt.date] | dt.date,
-                   product: str = "Waiting Room Screen", status: str = "Installed") -> DataFrame:
+                   product: str = BASE_PRODUCT, status: str = BASE_STATUS) -> DataFrame:
     """History rows of one product and status, at accounts with a ranking, exported no
     later than the as-of bounds, with their SKU code and SKU type name.
 

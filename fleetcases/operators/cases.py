@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcases.constants import INSTALLED_STATUS
 from fleetcases.functions.dates import days_inclusive, min_day
 
 CASE_ATTRS = ("ams_id", "asset_id", "cmh_id", "source_system_id", "device_type")
@@ -135,7 +136,7 @@ ENRICHED_COLUMNS = ("ams_id", "source_system_id", "cmh_id", "asset_tag", "device
 
 
 def enrich_cases(cases: DataFrame, assets: DataFrame, accounts: DataFrame, devices: DataFrame,
-                 as_of: dt.date, installed_status: str = "Installed") -> DataFrame:
+                 as_of: dt.date, installed_status: str = INSTALLED_STATUS) -> DataFrame:
     """Add asset, account and client attributes to each case; installed assets only.
 
     The asset status test ignores case, and it drops cases without an asset row (the outer

@@ -13,15 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetcases.functions.dates import day_diff
-from fleetcases.functions.rules import TV_MAKER_RULES, classify_first_match
-
-# The reboot script, the statuses of a finished run, the reboot tag prefix, the
-# player type and the case device type the reboot analysis is restricted to.
-REBOOT_SCRIPT_ID = 112
-DONE_STATUSES = ("acknowledged", "success")
-REBOOT_TAG_PATTERN = "lmp_reboot%"
-LINUX_PLAYER_TYPE = "LinuxMediaPlayer"
-REBOOT_DEVICE_TYPE = "LMP"
+from fleetcases.constants import (CASE_DEVICE_TYPE, DONE_STATUSES, LINUX_PLAYER_TYPE,
+                                  REBOOT_SCRIPT_ID, REBOOT_TAG_PATTERN, REPEAT_HORIZON_DAYS,
+                                  TV_MAKER_RULES)
+from fleetcases.functions.rules import classify_first_match
 
 
 def _ts(value, df: DataFrame, column: str) -> Column:
@@ -72,7 +67,7 @@ def earliest_reboot(devices: DataFrame, activities: DataFrame, taggings: DataFra
 
 
 def attach_events(cases: DataFrame, devices: DataFrame, reboots: DataFrame, as_of: dt.date,
-                  device_type: str = REBOOT_DEVICE_TYPE) -> DataFrame:
+                  device_type: str = CASE_DEVICE_TYPE) -> DataFrame:
     """O22 (S22): every case of ``device_type`` with each reboot of its asset's clients.
 
     ``reboot_flag`` = 1 when the reboot day lies within [start, close or ``as_of``];
@@ -113,7 +108,7 @@ def first_case_after_event(attached: DataFrame) -> DataFrame:
                         day_diff("reboot_date", "start_date").cast("long")))
 
 
-def repeat_after_event(attached: DataFrame, horizon: int = 31) -> DataFrame:
+def repeat_after_event(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
     """The O23 matches that count as a repeat case.
 
     An asset with one reboot day keeps its match; an asset with several keeps a match only
@@ -127,7 +122,7 @@ def repeat_after_event(attached: DataFrame, horizon: int = 31) -> DataFrame:
     return first.filter(keep)
 
 
-def repeat_histogram(attached: DataFrame, horizon: int = 31) -> DataFrame:
+def repeat_histogram(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
     """Devices and cases by days from reboot to the next case."""
     rep = repeat_after_event(attached, horizon)
     per_dev = rep.groupBy("days_btw_reboot_new_case", "asset_tag").agg(
@@ -136,7 +131,7 @@ def repeat_histogram(attached: DataFrame, horizon: int = 31) -> DataFrame:
         F.count("asset_tag").alias("device_cnt"), F.sum("_n").cast("long").alias("case_cnt"))
 
 
-def repeat_totals(attached: DataFrame, horizon: int = 31) -> DataFrame:
+def repeat_totals(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
     """Devices and cases with a repeat case."""
     rep = repeat_after_event(attached, horizon)
     per_dev = rep.groupBy("asset_tag").agg(F.count_distinct("start_date").alias("_n"))

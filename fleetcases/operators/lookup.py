@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcases.constants import EXCLUDED_VERSION_PATTERNS
 from fleetcases.functions.dates import col_of, earlier_of, year_diff
 
 
 def latest_known(history: DataFrame, key: str, value: str, order: str,
-                 exclude_like: Sequence[str] = ("%nil%",), out_key: str | None = None,
+                 exclude_like: Sequence[str] = EXCLUDED_VERSION_PATTERNS, out_key: str | None = None,
                  out_value: str | None = None) -> DataFrame:
     """Per key, the non-null ``value`` of the row latest by ``order``.
 

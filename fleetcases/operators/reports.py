@@ -13,11 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcases.constants import TOTAL_LABEL
 from fleetcases.functions.rules import conditional_count
 
 
 def breakdown_with_total(df: DataFrame, dim: str, measures: Mapping[str, Column],
-                         total_label: str = "ALL_CASES") -> DataFrame:
+                         total_label: str = TOTAL_LABEL) -> DataFrame:
     """The measures per ``dim`` value plus one overall row labelled ``total_label``.
 
     One pass with grouping sets ((dim), ()); the overall row is told apart by ``grouping_id``,
@@ -41,7 +42,7 @@ def cases_and_missing(df: DataFrame, dim: str = "device_type",
 
 def devices_and_missing(df: DataFrame, dim: str = "device_type", device: str = "asset_tag",
                         gap: str = "days_with_no_heartbeat",
-                        total_label: str = "ALL_CASES") -> DataFrame:
+                        total_label: str = TOTAL_LABEL) -> DataFrame:
     """Devices and devices with a missing-signal case, per ``dim`` and overall.
 
     Plain aggregates instead of distinct counts over grouping sets (which copy every row once

@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcases.constants import LOOKBACK_DAYS
+
 # The source groups its count by these five case columns (not by client): a case whose asset
 # tag maps to several clients counts the days of all of them together.
 CASE_KEY = ("asset_tag", "source_system_id", "start_date", "close_date", "case_duration")
@@ -53,7 +55,7 @@ def _window_days(cases: DataFrame, case_key: Sequence[str], entity: str, first:
 
 
 def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFrame,
-                        first_day: dt.date, lookback: int = 5, strict_days: bool = False,
+                        first_day: dt.date, lookback: int = LOOKBACK_DAYS, strict_days: bool = False,
                         last_day: dt.date | None = None, case_key: Sequence[str] = CASE_KEY,
                         primary_entity: str = "client_id", primary_ts: str = "created_at",
                         fallback_entity: str = "client_resource_id",

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcases.constants import LOOKBACK_DAYS
 from fleetcases.functions.dates import day_span
 from fleetcases.operators.cases import ENRICHED_COLUMNS, build_cases, build_cases_legacy, enrich_cases
 from fleetcases.operators.signals import missing_signal_days
@@ -17,7 +18,7 @@ CASE_TABLE_COLUMNS = (*ENRICHED_COLUMNS, "days_with_no_heartbeat")
 
 def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, devices: DataFrame,
                      heartbeats: DataFrame, polls: DataFrame, as_of: dt.date, *,
-                     legacy: bool = False, dedupe: bool = True, lookback: int = 5,
+                     legacy: bool = False, dedupe: bool = True, lookback: int = LOOKBACK_DAYS,
                      strict_days: bool = False, day: str = "date",
                      staged: bool = True, first_day: dt.date | None = None,
                      last_day: dt.date | None = None) -> DataFrame:

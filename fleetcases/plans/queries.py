@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetcases.constants import CASE_DEVICE_TYPE
 from fleetcases.functions.dates import day_span, days_inclusive
 from fleetcases.operators import base as B
 from fleetcases.operators import events as E
@@ -176,7 +177,7 @@ def _s10(c: Context) -> DataFrame:
 @query("cases_by_sku_version", order=('sku', 'software_version'))
 def _s11(c: Context) -> DataFrame:
     """LMP devices and cases by SKU and latest software version."""
-    ct = c.case_table().filter(F.col("device_type") == "LMP").drop("software_version")
+    ct = c.case_table().filter(F.col("device_type") == CASE_DEVICE_TYPE).drop("software_version")
     return R.case_breakdown(_with_latest_version(ct, c), ["sku", "software_version"])
 
 
@@ -350,7 +351,7 @@ def _with_age(df: DataFrame, c: Context) -> DataFrame:
 
 
 def _lmp_cases(c: Context) -> DataFrame:
-    return c.case_table().filter(F.col("device_type") == "LMP")
+    return c.case_table().filter(F.col("device_type") == CASE_DEVICE_TYPE)
 
 
 @query("cases_by_sku_tv", order=('tv_manufacturer', 'sku'))
