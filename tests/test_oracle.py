@@ -10,6 +10,10 @@ import __spark_entry__ as entry
 from fleetcases.sources.tables import BASE_TABLES
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "date": "DATE",
+         "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE"}
+
+
 def _norm(v):
     if v is None:
         return "\0"
@@ -43,6 +47,8 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.execute(entry.oracle_sql()[name])
     o_cols = [d[0] for d in rel.description]
     assert sorted(df.columns) == sorted(o_cols)
+    o_types = dict(zip(o_cols, (str(t) for t in con.sql(entry.oracle_sql()[name]).types)))
+    assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema} == o_types
     assert _rows(df.columns, df.collect()) == _rows(o_cols, rel.fetchall())
 
 
