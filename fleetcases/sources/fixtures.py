@@ -29,6 +29,8 @@ class FixtureParams:
     poll_since: dt.datetime = dt.datetime(2024, 1, 2)
     horizon: int = 3
     reboot_day_patterns: tuple[str, str] = ("2024-01-1%", "2024-01-2%")
+    # S31 compares two waves by exact reboot time; the fixture's reboot times are day + 12:00, so
+    # each wave is three such times (chosen so the two waves share assets at every scale)
     first_wave_times: tuple[str, ...] = ("2024-01-11 12:00:00", "2024-01-12 12:00:00",
                                          "2024-01-13 12:00:00")
     second_wave_times: tuple[str, ...] = ("2024-01-20 12:00:00", "2024-01-21 12:00:00",
