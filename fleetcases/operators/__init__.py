@@ -4,7 +4,7 @@ from fleetcases.operators.base import installed_base, installed_base_totals, res
 from fleetcases.operators.cases import (build_cases, build_cases_legacy, enrich_cases,
                                         flag_case_boundaries)
 from fleetcases.operators.events import (attach_events, cohort_overlap, distinct_per,
-                                         earliest_reboot, first_case_after_event,
+                                         earliest_reboot, event_profile, first_case_after_event,
                                          latest_activity_per_device, recently_seen_hosts,
                                          repeat_after_event, repeat_histogram, repeat_totals,
                                          span_overlap_check, tagged_events)
@@ -29,7 +29,8 @@ __all__ = [
     "device_age_years",                                                             # O18
     "latest_activity_per_device", "tagged_events", "earliest_reboot",              # O19-O21
     "attach_events", "first_case_after_event", "repeat_after_event",               # O22-O24
-    "repeat_histogram", "repeat_totals", "distinct_per", "cohort_overlap",         # O24-O26
+    "repeat_histogram", "repeat_totals", "event_profile", "distinct_per",          # O24-O25
+    "cohort_overlap",                                                               # O26
     "span_overlap_check", "recently_seen_hosts", "date_span", "reconcile_sku",     # O27-O31
     "restrict_to_cohort", "duplicate_keys", "order_like_source",                   # O32, QC, sort
 ]

@@ -144,6 +144,17 @@ def distinct_per(df: DataFrame, dims: Sequence[str], key: str, name: str = "devi
     return df.groupBy(*dims).agg(F.count_distinct(key).alias(name))
 
 
+def event_profile(events: DataFrame, dims: Sequence[str] = (), key: str = "asset_id",
+                  keep: DataFrame | None = None, keep_key: str | None = None,
+                  name: str = "device_cnt") -> DataFrame:
+    """Distinct ``key`` values per ``dims`` (or overall), optionally only for keys found in
+    ``keep`` (a semi join on its distinct ``keep_key`` values, e.g. assets that have a case)."""
+    if keep is not None:
+        kept = keep.select(F.col(keep_key or key).alias(key)).distinct()
+        events = events.join(kept, key, "left_semi")
+    return distinct_per(events, dims, key, name)
+
+
 def cohort_overlap(a: DataFrame, b: DataFrame, key: str, out: str | None = None) -> DataFrame:
     """Distinct keys present in both sets (INTERSECT: a distinct semi join)."""
     left = a.select(F.col(key).alias(out or key))

@@ -279,7 +279,7 @@ def _s25(c: Context) -> DataFrame:
 @query("rebooted_assets")
 def _s26(c: Context) -> DataFrame:
     """Distinct rebooted assets."""
-    return E.distinct_per(c.fx.reboots, [], "asset_id")
+    return E.event_profile(c.fx.reboots)
 
 
 @query("rebooted_with_case")
@@ -293,22 +293,20 @@ def _s27(c: Context) -> DataFrame:
 @query("reboots_by_time")
 def _s28(c: Context) -> DataFrame:
     """Assets per reboot time, blank included."""
-    return E.distinct_per(c.fx.reboots, ["reboot_time"], "asset_id")
+    return E.event_profile(c.fx.reboots, ["reboot_time"])
 
 
 @query("reboots_by_day_flagged", order=('reboot_date',))
 def _s29(c: Context) -> DataFrame:
     """Assets per reboot day with the reboot inside a case."""
     rb = c.reboot_cases().filter(F.col("reboot_flag") == 1)
-    return E.distinct_per(rb, ["reboot_date"], "asset_tag")
+    return E.event_profile(rb, ["reboot_date"], key="asset_tag")
 
 
 @query("reboots_by_time_with_case", order=('reboot_time',))
 def _s30(c: Context) -> DataFrame:
     """Assets with a case per reboot time."""
-    tags = c.case_table().select(F.col("asset_tag").alias("asset_id")).distinct()
-    rb = c.fx.reboots.join(tags, "asset_id", "left_semi")
-    return E.distinct_per(rb, ["reboot_time"], "asset_id")
+    return E.event_profile(c.fx.reboots, ["reboot_time"], keep=c.case_table(), keep_key="asset_tag")
 
 
 @query("two_wave_overlap")
