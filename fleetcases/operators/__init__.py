@@ -11,7 +11,8 @@ from fleetcases.operators.events import (attach_events, cohort_overlap, distinct
 from fleetcases.operators.lookup import (device_age_years, earliest_known, join_ignore_case,
                                          latest_known)
 from fleetcases.operators.reports import (breakdown_with_total, case_breakdown,
-                                          cases_and_missing, closed_single_case_in,
+                                          cases_and_missing, closed_single_case_devices,
+                                          closed_single_case_in,
                                           closed_single_case_join, date_span,
                                           devices_and_missing, duplicate_keys,
                                           frequency_of_counts, frequency_of_sums,
@@ -23,7 +24,7 @@ __all__ = [
     "missing_signal_days",                                                          # O5
     "breakdown_with_total", "cases_and_missing", "devices_and_missing",            # O7, O8
     "frequency_of_counts", "frequency_of_sums",                                     # O9
-    "closed_single_case_join", "closed_single_case_in",                             # O10
+    "closed_single_case_devices", "closed_single_case_join", "closed_single_case_in",  # O10
     "latest_known", "earliest_known", "case_breakdown",                             # O11-O13
     "installed_base", "installed_base_totals", "join_ignore_case",                  # O14-O16
     "device_age_years",                                                             # O18

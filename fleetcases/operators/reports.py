@@ -108,6 +108,16 @@ def closed_single_case_in(df: DataFrame, key: str = "asset_tag", dim: str = "dev
             .groupBy(dim).agg(F.count_distinct(key).alias("device_cnt")))
 
 
+def closed_single_case_devices(df: DataFrame, form: str = "join", **kw) -> DataFrame:
+    """Single-case devices with a closed case, counted by device type, in the source's
+    join form (S07) or IN form (S08)."""
+    if form == "join":
+        return closed_single_case_join(df, **kw)
+    if form == "in":
+        return closed_single_case_in(df, **kw)
+    raise ValueError(f"form must be 'join' or 'in', not {form!r}")
+
+
 def case_breakdown(df: DataFrame, dims: Sequence[str], device: str = "asset_tag",
                    case_count: str = "rows", counted: str = "start_date",
                    device_name: str = "dev_cnt", case_name: str = "case_cnt") -> DataFrame:

@@ -109,3 +109,10 @@ def test_report_order_follows_the_statement(spark):
     assert got == sorted(got, key=lambda t: (t[0] is not None, -(t[0] or 0), t[1]))
     freq = [r.case_cnt for r in _q(spark, "case_frequency").collect()]
     assert freq == sorted(freq)
+
+
+def test_closed_single_case_devices_forms(spark):
+    from fleetcases.operators.reports import closed_single_case_devices
+    ct = _q(spark, "case_table_sparse")
+    assert rows(closed_single_case_devices(ct, "join")) == rows(_q(spark, "single_closed_join"))
+    assert rows(closed_single_case_devices(ct, "in")) == rows(_q(spark, "single_closed_in"))
