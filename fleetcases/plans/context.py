@@ -16,7 +16,7 @@ from fleetcases.operators.base import installed_base
 from fleetcases.operators.events import attach_events, recently_seen_hosts
 from fleetcases.operators.lookup import earliest_known, latest_known
 from fleetcases.plans.case_table import build_case_table
-from fleetcases.plans.sinks import materialized
+from fleetcases.plans.sinks import as_view, materialized
 from fleetcases.session import app_id
 from fleetcases.sources.fixtures import PARAMS, FixtureParams, Fixtures
 
@@ -100,6 +100,19 @@ class Context:
         return self._keep("earliest_dates", self.build_earliest_dates)
 
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """``create or replace view`` for the created tables, so reports can also be written as
+        SQL over them (``spark.sql``): case_table, case_table_sparse, case_view_legacy,
+        reboot_cases, host_tv, installed_base. Returns the view names."""
+        views = {"case_table": self.case_table(), "case_table_sparse": self.case_table("sparse"),
+                 "case_view_legacy": self.case_table(legacy=True),
+                 "reboot_cases": self.reboot_cases(), "host_tv": self.tv(),
+                 "installed_base": self.base()}
+        for name, df in views.items():
+            as_view(df, prefix + name)
+        return [prefix + n for n in views]
+
+
 _CONTEXTS: dict[tuple[int, str, str], Context] = {}
 
 

@@ -31,3 +31,19 @@ def test_concurrent_queries_build_tables_once(spark):
     with ThreadPoolExecutor(4) as pool:
         got = list(pool.map(lambda n: rows(QUERIES[n](spark, sf)), names))
     assert got == [rows(QUERIES[n](spark, sf)) for n in names]
+
+
+def test_views_over_the_created_tables(spark):
+    from fleetcases.plans.context import context
+    names = context(spark, SF_SMALL).register_views(prefix="fc_")
+    assert "fc_case_table" in names
+    by_sql = spark.sql("""
+        SELECT device_type, count(*) AS total_cases,
+               CAST(sum(CASE WHEN days_with_no_heartbeat > 0 THEN 1 ELSE 0 END) AS BIGINT) AS heartbeat_missing
+        FROM fc_case_table GROUP BY device_type
+        UNION
+        SELECT 'ALL_CASES', count(*), CAST(sum(CASE WHEN days_with_no_heartbeat > 0 THEN 1 ELSE 0 END) AS BIGINT)
+        FROM fc_case_table""")
+    assert rows(by_sql) == rows(QUERIES["cases_by_type_total"](spark, SF_SMALL))
+    for n in names:
+        spark.catalog.dropTempView(n)
