@@ -3,6 +3,7 @@
     python -m fleetcases list
     python -m fleetcases show  <query> [sf_dir] [rows]
     python -m fleetcases write <query> <out_path> [sf_dir]
+    python -m fleetcases sql   "<Spark SQL over case_table, reboot_cases, ...>" [sf_dir]
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ def main(argv: list[str]) -> int:
     if cmd == "show":
         sf_dir = argv[2] if len(argv) > 2 else DEFAULT_DIR
         QUERIES[name](spark, sf_dir).show(int(argv[3]) if len(argv) > 3 else 20, truncate=False)
+    elif cmd == "sql":
+        from fleetcases.plans.context import context
+        context(spark, argv[2] if len(argv) > 2 else DEFAULT_DIR).register_views()
+        spark.sql(name).show(50, truncate=False)
     elif cmd == "write":
         sf_dir = argv[3] if len(argv) > 3 else DEFAULT_DIR
         write_table(QUERIES[name](spark, sf_dir), argv[2])
