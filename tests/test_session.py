@@ -56,3 +56,12 @@ def test_public_names_resolve():
     for mod in (fn, ops, plans, src, stream):
         for name in mod.__all__:
             assert callable(getattr(mod, name)) or name.isupper() or name == "PARAMS", name
+
+
+def test_command_line(spark, capsys):
+    from fleetcases.__main__ import main
+    assert main(["list"]) == 0
+    listed = capsys.readouterr().out.splitlines()
+    assert len(listed) == 51 and listed[0].startswith("case_boundaries")
+    assert main(["show", "case_date_span", "/root/testdata/sf0.001"]) == 0
+    assert "min_start_date" in capsys.readouterr().out
