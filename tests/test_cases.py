@@ -170,3 +170,11 @@ def test_hot_device_is_collapsed_before_the_window(spark):
     assert into_window == MAX_REPEATS * 4
     assert _pairs(build_cases(log, AS_OF, dedupe=False)) == _simulate(days, AS_OF, 8)
     assert build_cases(log, AS_OF).filter(F.col("asset_id") == "H").count() == 2
+
+
+def test_run_across_as_of(spark):
+    # only a run whose last day is as_of stays open; a run reaching past it closes on its last day
+    days = {"H": [19, 20, 21], "I": [18, 19], "J": [20]}
+    got = _pairs(build_cases(_log(spark, days), AS_OF, first_day=OCT(8)))
+    assert got == [("H", OCT(19), OCT(21)), ("I", OCT(18), OCT(19)), ("J", OCT(20), None)]
+    assert got == _simulate(days, AS_OF, 8)
