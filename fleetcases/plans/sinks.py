@@ -23,9 +23,16 @@ _GUARD = threading.Lock()
 _BUILDING: dict[tuple[str, str], threading.Lock] = {}
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Overwrite ``path`` with ``df`` as parquet and return a scan of it."""
-    df.write.mode("overwrite").parquet(path)
+def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    """Overwrite ``path`` with ``df`` as parquet and return a scan of it.
+
+    ``partition_by`` lays the files out by a column (a daily log or snapshot by its day), so
+    filters on it prune whole folders when the table is read back.
+    """
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

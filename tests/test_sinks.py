@@ -47,3 +47,18 @@ def test_views_over_the_created_tables(spark):
     assert rows(by_sql) == rows(QUERIES["cases_by_type_total"](spark, SF_SMALL))
     for n in names:
         spark.catalog.dropTempView(n)
+
+
+def test_partitioned_layout_prunes(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from fleetcases.plans.context import context
+    hist = context(spark, SF_SMALL).fx.devices_history
+    back = write_table(hist, str(tmp_path / "dh"), partition_by="export_date")
+    assert back.count() == hist.count()
+    q = back.filter(F.col("export_date") <= F.lit(dt.date(1995, 6, 30)))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(export_date" in plan
+    assert q.count() == hist.filter(F.col("export_date") <= F.lit(dt.date(1995, 6, 30))).count()
