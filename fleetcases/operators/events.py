@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetcases.functions.dates import day_diff
 from fleetcases.constants import (CASE_DEVICE_TYPE, DONE_STATUSES, LINUX_PLAYER_TYPE,
                                   REBOOT_SCRIPT_ID, REBOOT_TAG_PATTERN, REPEAT_HORIZON_DAYS,
                                   TV_MAKER_RULES)
+from fleetcases.functions.dates import day_diff
 from fleetcases.functions.rules import classify_first_match
 
 
@@ -140,7 +140,7 @@ def repeat_totals(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> Da
 
 
 def distinct_per(df: DataFrame, dims: Sequence[str], key: str, name: str = "device_cnt") -> DataFrame:
-    """Distinct ``key`` values per ``dims`` (or overall)."""
+    """Distinct ``key`` values per ``dims`` (or overall): the counting step of O25."""
     return df.groupBy(*dims).agg(F.count_distinct(key).alias(name))
 
 
