@@ -1,5 +1,6 @@
 """Values of FIXTURES.md §D (computed independently there) reproduced end to end."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -30,6 +31,7 @@ def _o24(c, horizon):
     return tuple(repeat_totals(att, horizon).first())
 
 
+@pytest.mark.slow
 def test_anchors(spark):
     q = entry.queries()
     for sf, a in ANCHORS.items():

@@ -90,6 +90,7 @@ def perturbed(tmp_path_factory):
     return dst, c
 
 
+@pytest.mark.slow
 def test_all_queries_match_oracle_with_nulls_and_repeats(spark, perturbed):
     dst, c = perturbed
     bad = []
@@ -102,6 +103,7 @@ def test_all_queries_match_oracle_with_nulls_and_repeats(spark, perturbed):
     assert not bad
 
 
+@pytest.mark.slow
 def test_all_queries_match_oracle_on_a_random_reshuffle(spark, tmp_path):
     """Values of sf0.001 reassigned at random (seed 7): shared tags, unknown keys, nulls."""
     import os
