@@ -31,18 +31,26 @@ def breakdown_with_total(df: DataFrame, dim: str, measures: Mapping[str, Column]
     return g.select(label.alias(dim), *names).distinct()
 
 
+def _with_share(df: DataFrame, part: str, whole: str, on: bool) -> DataFrame:
+    """Optional percentage column (D30: the source worked these out by hand, outside SQL)."""
+    if not on:
+        return df
+    return df.withColumn("pct_missing", F.round(F.col(part) * 100.0 / F.col(whole), 3))
+
+
 def cases_and_missing(df: DataFrame, dim: str = "device_type",
-                      gap: str = "days_with_no_heartbeat") -> DataFrame:
+                      gap: str = "days_with_no_heartbeat", with_share: bool = False) -> DataFrame:
     """Cases and cases with a missing signal day, per ``dim`` and overall."""
-    return breakdown_with_total(df, dim, {
+    out = breakdown_with_total(df, dim, {
         "total_cases": F.count(F.lit(1)),
         "heartbeat_missing": conditional_count(F.col(gap) > 0),
     })
+    return _with_share(out, "heartbeat_missing", "total_cases", with_share)
 
 
 def devices_and_missing(df: DataFrame, dim: str = "device_type", device: str = "asset_tag",
                         gap: str = "days_with_no_heartbeat",
-                        total_label: str = TOTAL_LABEL) -> DataFrame:
+                        total_label: str = TOTAL_LABEL, with_share: bool = False) -> DataFrame:
     """Devices and devices with a missing-signal case, per ``dim`` and overall.
 
     Plain aggregates instead of distinct counts over grouping sets (which copy every row once
@@ -64,7 +72,8 @@ def devices_and_missing(df: DataFrame, dim: str = "device_type", device: str = "
                                          "total_devices", "heartbeat_missing")
     total = counts(per_device).select(F.lit(total_label).alias(dim), "total_devices",
                                       "heartbeat_missing")
-    return groups.unionByName(total).distinct()
+    return _with_share(groups.unionByName(total).distinct(), "heartbeat_missing",
+                       "total_devices", with_share)
 
 
 def frequency_of_counts(df: DataFrame, key: str = "asset_tag", counted: str = "start_date",

@@ -116,3 +116,13 @@ def test_closed_single_case_devices_forms(spark):
     ct = _q(spark, "case_table_sparse")
     assert rows(closed_single_case_devices(ct, "join")) == rows(_q(spark, "single_closed_join"))
     assert rows(closed_single_case_devices(ct, "in")) == rows(_q(spark, "single_closed_in"))
+
+
+def test_optional_share_column(spark):
+    from fleetcases.operators.reports import cases_and_missing, devices_and_missing
+    ct = _q(spark, "case_table")
+    s03 = {r.device_type: r.pct_missing for r in cases_and_missing(ct, with_share=True).collect()}
+    assert s03["ALL_CASES"] == round(814 * 100.0 / 957, 3)
+    assert "pct_missing" not in _q(spark, "cases_by_type_total").columns
+    s04 = {r.device_type: r.pct_missing for r in devices_and_missing(ct, with_share=True).collect()}
+    assert s04["ALL_CASES"] == 100.0
