@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcases.llm import language, packing, quality, substring_dedup, suffix_dedup, toxicity
+from fleetcases.llm import (decontam, fixity, language, near_dedup, packing, pii, quality, substring_dedup,
+                            suffix_dedup, toxicity)
 from fleetcases.llm.common import table
 
 
@@ -29,6 +30,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +42,28 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_examples(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.phrase_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      decontam.contaminated().alias("contaminated"))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """A second replica of ``pages`` with faults told by the first digits of a hash of the url:
+    bytes changed, records lost, records that were never written."""
+    digits = F.substring(F.md5(F.col("url")), 1, 2)
+    html = F.when(digits == "00", F.concat(F.col("html"), F.lit("\u0000"))).otherwise(F.col("html"))
+    kept = pages.filter(F.coalesce(digits != "01", F.lit(True)))
+    ghost = pages.filter(digits == "02").select("page_id", "url", F.lit("").alias("html"))
+    return kept.select("page_id", "url", html.alias("html")).unionByName(ghost)
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(pages, damaged(pages))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,6 +73,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op4_toxicity, op5_packing,
-                                   op8_substring_dedup, op9_quality)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != pii.FOUND_KIND)
+    n = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return pii.span_lists(table(spark, sf_dir, "documents")).select(
+        "doc_id", *n, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_near_dedup, op4_toxicity, op5_packing,
+                                   op6_decontamination, op7_warc_fixity, op8_substring_dedup, op9_quality, op10_pii)}
+#: DuckDB SQL over the tables, where it can express the query
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_fixity": """
+WITH r AS (
+  SELECT page_id, left(md5(url), 2) AS d, row_number() OVER () AS k,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+           || chr(13) || chr(10) || 'Content-Length: ' AS head,
+         coalesce(html, '') AS body, chr(13) || chr(10) || chr(13) || chr(10) AS gap
+  FROM pages),
+t AS (SELECT page_id, d, head || strlen(body) || gap || body || gap AS rec,
+             head || (strlen(body) + 1) || gap || body || chr(0) || gap AS bad, head || '0' || gap || gap AS ghost FROM r),
+o AS (SELECT *, sha256(rec) AS leaf, CAST(coalesce(sum(strlen(rec)) OVER (
+        ORDER BY page_id, sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM t)
+SELECT page_id, 'corrupt' AS status, leaf AS expected, sha256(bad) AS found, "offset", strlen(rec) AS length FROM o WHERE d = '00'
+UNION ALL SELECT page_id, 'missing', leaf, NULL, "offset", strlen(rec) FROM o WHERE d = '01'
+UNION ALL SELECT page_id, 'extra', NULL, sha256(ghost), NULL, NULL FROM o WHERE d = '02'""",
+}
