@@ -40,24 +40,82 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 class WordIds:
     """Token ids of a text, word by word: in this vocabulary no token and no rule crosses ASCII
-    white space, so a word's ids do not depend on its neighbours and are looked up once."""
+    white space, so a word's ids do not depend on its neighbours and are looked up once. ASCII
+    capitals are made small by the vocabulary's own normaliser, and final full stops and commas are
+    a token run of their own, so ``The`` and ``the,`` need no encoding once ``the`` is known. Ids lie in
+    one array; the table is emptied when it is large."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
-        self.tok, self.known, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tok, self.limit = Tokenizer.from_file(path), limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _put(self, word: bytes, ids) -> None:
+        i, n = len(self.number), len(ids)
+        if i == len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * i), np.resize(self.size, 2 * i)
+        if self.used + n > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.used + n))
+        self.number[word] = i
+        self.begin[i], self.size[i] = self.used, n
+        self.ids[self.used:self.used + n] = ids
+        self.used += n
+
+    def _get(self, word: bytes) -> np.ndarray:
+        i = self.number[word]
+        return self.ids[self.begin[i]:self.begin[i] + self.size[i]]
+
+    def _encode(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tok.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self._put(w, e.ids)
+
+    def _learn(self, new: set[bytes]) -> None:
+        plain, core = {}, set()
+        for w in new:
+            c = w if b"<|" in w else w.lower().rstrip(b".,")
+            if c and c != w:
+                plain[w] = c
+                core.add(c)
+                if len(c) < len(w):
+                    core.add(w[len(c):])
+            else:
+                core.add(w)
+        self._encode([c for c in core if c not in self.number])
+        for w, c in plain.items():
+            if w not in self.number:
+                ids = self._get(c)
+                self._put(w, np.concatenate([ids, self._get(w[len(c):])]) if len(c) < len(w) else ids.copy())
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         words = [t.split() if t else [] for t in texts]
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = list(set(chain.from_iterable(words)).difference(known))
-        if new:
-            for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False),
-                            strict=True):
-                known[w] = e.ids
-        return [np.fromiter(chain(chain.from_iterable(known[w] for w in ws), (END,)), np.uint32)
-                for ws in words]
+        if len(self.number) > self.limit:
+            self._empty()
+        if new := set(chain.from_iterable(words)).difference(self.number):
+            self._learn(new)
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
+        n = self.size[k]
+        at = np.cumsum(n) - n
+        flat = self.ids[np.repeat(self.begin[k] - at, n) + np.arange(n.sum())]
+        ends = np.append(0, np.cumsum(n))[np.cumsum(count)]
+        end = np.array([END], np.uint32)
+        return [np.concatenate([flat[a:b], end]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+_TABLES: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The table of this worker process, kept from task to task."""
+    if path not in _TABLES:
+        _TABLES.clear()
+        _TABLES[path] = WordIds(path)
+    return _TABLES[path]
 
 
 class Packer:
@@ -97,10 +155,10 @@ class Packer:
     def _sequence(self) -> None:
         left, seq, offset, over = self.caps.copy(), [], 0, False
         while left[1] >= 1 and left[0] >= 1:
-            fits = self.used & (self.need <= left).all(axis=1)
-            if fits.any() and not (self.cut and left[1] < 2 and left[0] > self.need[fits, 0].max()):
-                score = (self.need * (left / self.caps ** 2)).sum(axis=1)
-                i = int(np.argmax(np.where(fits, score, -1.0)))
+            fits = self.used & (self.need[:, 0] <= left[0]) & (self.need[:, 2] <= left[2])
+            score = np.where(fits, self.need @ (left / self.caps ** 2), -1.0)
+            i = int(score.argmax())
+            if fits[i] and not (self.cut and left[1] < 2 and left[0] > self.need[i, 0]):
                 n = int(self.need[i, 0])
             elif self.cut and self.used.any():
                 i = int(np.argmax(np.where(self.used, self.need[:, 0], -1.0)))
@@ -166,7 +224,7 @@ def pack_examples(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     kinds = [pa.bool_() if c.endswith("boolean") else pa.int64() for c in SCHEMA.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]):
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         packer = Packer((max_tokens, max_segments, max_loss), cut, TaskContext.get().partitionId() << 40)
 
         def out():
