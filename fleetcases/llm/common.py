@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,19 @@ U = np.uint64
 NULL_ID = -(2**63)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what runs inside (rows that carry whole documents
+    or signatures); the session's own setting holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -58,7 +72,7 @@ def block_of(did, n: int):
     return F.pmod(did.bitwiseXOR(F.shiftright(did, 17)), F.lit(n)).cast("long")
 
 
-def slices(texts: list[bytes | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most ``limit`` bytes together (a longer text is alone):
     the working arrays of a task stay bounded, whole texts stay whole."""
     lo = total = 0
@@ -93,7 +107,7 @@ class WordHash:
     """64-bit hash of each word of a text (ASCII white space separates words). Words met before
     come from a table that is emptied when it is large."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 

@@ -36,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcases.llm.common import (NULL_ID, U, WordHash, binary_list, doc_key, mix, pack, slices, stage,
-                                   unpack, windows_hash)
+from fleetcases.llm.common import (NULL_ID, U, WordHash, binary_list, doc_key, mix, pack, slices, small_batches,
+                                   stage, unpack, windows_hash)
 
 SHINGLE, SIMILAR, BANDS, ROWS, LEAST_AGREE, BLOCK = 5, 0.8, 32, 5, 0.6, 2000
 REGISTERS = BANDS * ROWS
+#: rows of an Arrow batch: a row may carry two whole documents
+BATCH = 1000
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray):
@@ -244,6 +246,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     """did, th, copy, class_did, class_size, representative of every row; ``copy`` numbers the
     exact repeats of a row that has one (1 for the first)."""
+    with small_batches(docs.sparkSession, BATCH):
+        return _grouped(docs, id_col, text_col, similar)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     rows = stage(_signed(docs, id_col, text_col), "signatures")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("did", "th")).alias("r"), F.first("sig").alias("sig"))
     nodes = stage(nodes.select("node", "r.did", "r.th", "sig"), "nodes")
