@@ -76,9 +76,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != pii.FOUND_KIND)
-    n = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return pii.span_lists(table(spark, sf_dir, "documents")).select(
-        "doc_id", *n, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_near_dedup, op4_toxicity, op5_packing,
