@@ -6,7 +6,6 @@ sources/    base tables and the fixture views that stand in for the warehouse ta
 functions/  column-level helpers (date arithmetic, rule tables, conditional counts)
 operators/  DataFrame -> DataFrame operators (cases, signals, lookups, reports, base, events)
 plans/      named queries built from the operators, the materialised tables, oracle SQL
-streaming/  re-creating the case table when new daily log files land (Structured Streaming trigger)
 """
 
 from fleetcases.session import get_session, work_dir

@@ -2,10 +2,10 @@
 
 A *case* is a run of consecutive days on which a device appears in the log: it starts on the
 first day of the run and closes on its last day, unless the run reaches ``as_of`` (still open,
-close is null). The log is first de-duplicated by a map-side aggregate (so a device that logs
-a day many times is collapsed before any shuffle), then hashed once on the device key: both
-windows share that shuffle and each task holds whole devices, at most one row per device and
-day, so no window partition grows beyond the number of days in the log.
+close is null). The log is first brought to one row per device and day by a map-side aggregate
+(so a device that logs a day many times is collapsed before any shuffle); the windows then run per
+device over at most one row per day, so no window partition grows beyond the number of days in
+the log.
 """
 
 from __future__ import annotations
@@ -30,19 +30,21 @@ def flag_case_boundaries(log: DataFrame, as_of: dt.date, key: str = "asset_id",
                          first_day: dt.date | None = None) -> DataFrame:
     """O1: mark the rows that open and close a case, per device in day order.
 
-    Adds ``opens`` (first day of the whole log, no earlier row, or the previous row is not the
-    day before), ``closes`` (no later row and the day is not ``as_of``, or the next row is more
-    than a day later) and ``rn`` (position of the row within its device). Rows with a null
-    day can neither open nor close a case and are left out. Rows with a null device key form
-    one device, as in the source; a log with many such rows should be cleaned upstream.
+    Adds ``opens`` (no earlier row, or the previous row is not the day before; this holds for
+    every row of the log's first day, so that day needs no test of its own), ``closes`` (no
+    later row and the day is not ``as_of``, or the next row is more than a day later) and ``rn``
+    (position of the row within its device). Rows of one day are ordered by all their other
+    columns, so the flags do not depend on where the rows lie. Rows with a null day can neither
+    open nor close a case and are left out. Rows with a null device key form one device, as in
+    the source; a log with many such rows should be cleaned upstream. ``first_day`` is accepted
+    for callers that know it and changes nothing.
     """
-    if first_day is None:
-        first_day = min_day(log, day)
     d = F.col(day)
-    w = Window.partitionBy(key).orderBy(d.asc())
+    rest = [F.col(c).asc_nulls_first() for c in log.columns if c not in (key, day)]
+    w = Window.partitionBy(key).orderBy(d.asc(), *rest)
     prev_day = F.lag(d).over(w)
     next_day = F.lead(d).over(w)
-    opens = (d == F.lit(first_day)) | prev_day.isNull() | (F.datediff(d, prev_day) != 1)
+    opens = prev_day.isNull() | (F.datediff(d, prev_day) != 1)
     closes = (next_day.isNull() & (d != F.lit(as_of))) | (F.datediff(next_day, d) > 1)
     return (log.filter(d.isNotNull())
             .withColumn("opens", _false_if_null(opens))
@@ -50,43 +52,50 @@ def flag_case_boundaries(log: DataFrame, as_of: dt.date, key: str = "asset_id",
             .withColumn("rn", F.row_number().over(w)))
 
 
-# Copies of one log row that can still change the distinct set of cases: the first copy, a
-# second that opens a case, a third and fourth whose close the next boundary row decides.
-# Every further copy yields a (day, no close) case already produced by the earlier ones.
-MAX_REPEATS = 4
-
+def _device_days(log: DataFrame, as_of: dt.date, key: str, day: str, attrs: Sequence[str],
+                 dedupe: bool) -> DataFrame:
+    """One row per device and day: ``n`` (log rows of that day, 1 with ``dedupe``), the attributes
+    (the least of the day's rows, all attributes together, nulls first), whether its first row
+    opens and its last row closes a case, and ``next_close``.
 
-def _bounded_repeats(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Repeated identical log rows (D2, kept) as at most ``MAX_REPEATS`` copies.
-
-    Counted with a partial aggregate first, so a device repeating one day millions of times
-    never reaches a single window partition as millions of rows; the distinct case set is the
-    same as over all copies (checked against a row-by-row simulation in the tests).
+    A partial aggregate collapses a device's day before any shuffle, and both windows share the
+    aggregate's clustering on the device. ``next_close`` is what the source's second window
+    hands back: the close of the first boundary row (one that opens or closes) on a later day.
     """
-    n = F.least(F.count(F.lit(1)), F.lit(MAX_REPEATS)).cast("int")
-    counted = rows.groupBy(*cols).agg(n.alias("_copies"))
-    return (counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .drop("_copies", "_copy"))
-
-
-def _boundary_rows(log: DataFrame, as_of: dt.date, key: str, day: str, attrs: Sequence[str],
-                   dedupe: bool, first_day: dt.date | None) -> tuple[DataFrame, dt.date]:
-    cols = list(dict.fromkeys([*attrs, key, day]))
-    rows = log.select(*cols)
-    if first_day is None:
-        first_day = min_day(rows, day)
-    if dedupe:
-        # Map-side distinct before any shuffle: a device logging many rows per day is collapsed
-        # in its own tasks, so the window's per-device partitions hold at most one row per day.
-        rows = rows.distinct()
-    else:
-        rows = _bounded_repeats(rows, cols)
-    flagged = flag_case_boundaries(rows, as_of, key, day, first_day)
+    rest = [c for c in dict.fromkeys(attrs) if c not in (key, day)]
+    pick = F.min(F.struct(*rest)) if rest else F.first(F.lit(True))
+    n = F.lit(1).cast("long") if dedupe else F.count(F.lit(1))
+    days = (log.filter(F.col(day).isNotNull()).groupBy(key, day)
+            .agg(pick.alias("_a"), (F.max(n) if dedupe else n).alias("n")))
+    w = Window.partitionBy(key).orderBy(F.col(day).asc())
     d = F.col(day)
-    bounds = (flagged.filter(F.col("opens") | F.col("closes"))
-              .withColumn("start_date", F.when(F.col("opens"), d))
-              .withColumn("close_date", F.when(F.col("closes"), d)))
-    return bounds, first_day
+    prev_day, next_day = F.lag(d).over(w), F.lead(d).over(w)
+    days = days.select(key, day, *(F.col(f"_a.{c}").alias(c) for c in rest), "n",
+                       _false_if_null(prev_day.isNull() | (F.datediff(d, prev_day) != 1)).alias("opens"),
+                       _false_if_null((next_day.isNull() & (d != F.lit(as_of)))
+                                      | (F.datediff(next_day, d) > 1)).alias("closes"))
+    days = days.filter(F.col("opens") | F.col("closes") | (F.col("n") > 1))
+    # the day's first boundary row: its only row, the first of several if that opens, else the
+    # second (which opens, as every repeat does); only the day's last row can close
+    first_close = F.when(F.col("closes") & ((F.col("n") == 1) | ((F.col("n") == 2) & ~F.col("opens"))), d)
+    return days.withColumn("next_close", F.lead(first_close).over(w))
+
+
+def _day_cases(day: str, single: Column) -> Column:
+    """The different (start, close) pairs that a day's rows give. With n = 1 it is ``single``. Of
+    several rows the first opens as the day does, all others open; each takes the close of the
+    next, which only the last can have, and the last one its own or the next day's."""
+    d, n = F.col(day), F.col("n")
+    own = F.when(F.col("closes"), d)
+    none = F.lit(None).cast("date")
+
+    def pair(when: Column, close: Column) -> Column:
+        return F.when(when, F.struct(d.alias("start_date"), close.alias("close_date")))
+    before_last = pair((n > 2) | F.col("opens"), own)          # the row before the last
+    earlier = pair((n > 3) | ((n > 2) & F.col("opens")), none)  # rows before that one
+    last = F.struct(d.alias("start_date"), F.col("last_close").alias("close_date"))
+    several = F.array_distinct(F.filter(F.array(earlier, before_last, last), lambda p: p.isNotNull()))
+    return F.when(n == 1, F.filter(F.array(single), lambda p: p.isNotNull())).otherwise(several)
 
 
 def build_cases(log: DataFrame, as_of: dt.date, key: str = "asset_id", day: str = "date",
@@ -95,20 +104,17 @@ def build_cases(log: DataFrame, as_of: dt.date, key: str = "asset_id", day: str
     """O2: one row per case (``attrs``, start_date, close_date); close_date null = open.
 
     A row that opens a case takes its own day as close when it also closes (single-day case),
-    else the close day carried by the next boundary row of the device. ``dedupe`` keeps one row
-    per distinct log row first (D2); ``dedupe=False`` lets a repeated day open a second case.
+    else the close day carried by the next boundary row of the device. ``dedupe`` takes one row
+    per device and day (D2; attributes that differ within a day: the least); ``dedupe=False``
+    lets a repeated day open further cases, by rules on the day's number of rows, so no row is
+    copied and none is dropped. ``first_day`` is not needed and changes nothing.
     """
-    bounds, _ = _boundary_rows(log, as_of, key, day, attrs, dedupe, first_day)
-    w = Window.partitionBy(key).orderBy("rn")
-    start, close = F.col("start_date"), F.col("close_date")
-    handed_back = F.lead(close).over(w)
-    close_date = F.when(F.col("closes"), close).otherwise(handed_back)
-    cases = (bounds.withColumn("close_date", F.when(F.col("opens"), close_date))
-             .filter(start.isNotNull())
-             .select(*attrs, "start_date", "close_date"))
-    # After de-duplication each case comes from its own distinct (attrs, device, day) row, so
-    # the result is already distinct; repeated rows (D2) can repeat a case and need the pass.
-    return cases if dedupe else cases.distinct()
+    days = _device_days(log, as_of, key, day, attrs, dedupe)
+    d = F.col(day)
+    days = days.withColumn("last_close", F.when(F.col("closes"), d).otherwise(F.col("next_close")))
+    single = F.when(F.col("opens"), F.struct(d.alias("start_date"), F.col("last_close").alias("close_date")))
+    return (days.withColumn("_c", F.explode(_day_cases(day, single)))
+            .select(*attrs, "_c.start_date", "_c.close_date"))
 
 
 def build_cases_legacy(log: DataFrame, as_of: dt.date, key: str = "asset_id", day: str = "date",
@@ -120,13 +126,16 @@ def build_cases_legacy(log: DataFrame, as_of: dt.date, key: str = "asset_id", da
     takes the first day of the whole log. Single-day cases lose their close, and a close-only
     row followed by a single-day case becomes a spurious case from the log's first day.
     """
-    bounds, first_day = _boundary_rows(log, as_of, key, day, attrs, dedupe, first_day)
-    w = Window.partitionBy(key).orderBy("rn")
-    start = F.col("start_date")
-    return (bounds.withColumn("close_date", F.lead("close_date").over(w))
-            .filter(start.isNotNull() | F.col("close_date").isNotNull())
-            .withColumn("start_date", F.coalesce(start, F.lit(first_day)))
-            .select(*attrs, "start_date", "close_date")
+    if first_day is None:
+        first_day = min_day(log, day)
+    days = _device_days(log, as_of, key, day, attrs, dedupe).withColumn("last_close", F.col("next_close"))
+    d = F.col(day)
+    start = F.when(F.col("opens"), d)
+    single = F.when(F.col("opens") | F.col("next_close").isNotNull(),
+                    F.struct(F.coalesce(start, F.lit(first_day)).alias("start_date"),
+                             F.col("next_close").alias("close_date")))
+    return (days.withColumn("_c", F.explode(_day_cases(day, single)))
+            .select(*attrs, "_c.start_date", "_c.close_date")
             .distinct())
 
 

@@ -17,19 +17,22 @@ from fleetcases.operators.events import attach_events, recently_seen_hosts
 from fleetcases.operators.lookup import earliest_known, latest_known
 from fleetcases.plans.case_table import build_case_table
 from fleetcases.plans.sinks import as_view, materialized
-from fleetcases.session import app_id
+from fleetcases.session import session_key
 from fleetcases.sources.fixtures import PARAMS, FixtureParams, Fixtures
+from fleetcases.sources.tables import input_version
 
 
 class Context:
-    def __init__(self, spark: SparkSession, sf_dir: str, params: FixtureParams = PARAMS):
+    def __init__(self, spark: SparkSession, sf_dir: str, params: FixtureParams = PARAMS,
+                 version: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.p = params
+        self.version = version or input_version(spark, self.sf_dir)
         self.fx = Fixtures(spark, self.sf_dir)
 
     def _keep(self, name: str, build, *parts) -> DataFrame:
-        key = "|".join(str(x) for x in (self.sf_dir, self.p, *parts))
+        key = "|".join(str(x) for x in (self.sf_dir, self.version, self.p, *parts))
         return materialized(self.spark, name, key, build)
 
     def log(self, which: str = "full") -> DataFrame:
@@ -113,12 +116,14 @@ class Context:
         return [prefix + n for n in views]
 
 
-_CONTEXTS: dict[tuple[int, str, str], Context] = {}
+_CONTEXTS: dict[tuple[str, str], Context] = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    """One context per session and input folder (its fixture frames belong to that session)."""
-    k = (id(spark), app_id(spark), sf_dir.rstrip("/"))
-    if k not in _CONTEXTS:
-        _CONTEXTS[k] = Context(spark, sf_dir)
+    """The context of a session and input folder; a new one when the folder's files have changed
+    since (its frames and shared tables belong to one listing of the files)."""
+    k = (session_key(spark), sf_dir.rstrip("/"))
+    version = input_version(spark, sf_dir)
+    if k not in _CONTEXTS or _CONTEXTS[k].version != version:
+        _CONTEXTS[k] = Context(spark, sf_dir, version=version)
     return _CONTEXTS[k]

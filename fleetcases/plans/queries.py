@@ -101,6 +101,12 @@ def _case_table(c: Context) -> DataFrame:
     return c.case_table()
 
 
+@query("case_table_undeduped")
+def _case_table_undeduped(c: Context) -> DataFrame:
+    """S02 on the log with repeated device days, as in the source."""
+    return c.case_table("dup")
+
+
 @query("case_table_sparse")
 def _case_table_sparse(c: Context) -> DataFrame:
     """S02 on the sparse log."""
@@ -258,6 +264,18 @@ def _s23(c: Context) -> DataFrame:
     return E.repeat_histogram(c.reboot_cases(), c.p.horizon)
 
 
+@query("reboot_gap_hist_31", order=('days_btw_reboot_new_case',))
+def _s23_31(c: Context) -> DataFrame:
+    """S23 at the source's horizon of 31 days."""
+    return E.repeat_histogram(c.reboot_cases(), 31)
+
+
+@query("repeat_after_reboot_31")
+def _s32_31(c: Context) -> DataFrame:
+    """S32 at the source's horizon of 31 days."""
+    return E.repeat_totals(c.reboot_cases(), 31)
+
+
 @query("reboot_flag_frequency", order=('-reboots',))
 def _s24(c: Context) -> DataFrame:
     """Devices by number of reboots inside their cases."""

@@ -15,10 +15,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetcases.session import app_id, work_dir
+from fleetcases.session import app_id, session_key, work_dir
 
 _WRITTEN: dict[tuple[str, str], str] = {}
-_SCANS: dict[tuple[int, tuple[str, str]], DataFrame] = {}
+_SCANS: dict[tuple[str, tuple[str, str]], DataFrame] = {}
+#: this driver process: two applications without an id of their own do not share a folder
+_RUN = uuid.uuid4().hex[:12]
 _GUARD = threading.Lock()
 _BUILDING: dict[tuple[str, str], threading.Lock] = {}
 
@@ -52,13 +54,13 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
         lock = _BUILDING.setdefault(k, threading.Lock())
     with lock:   # queries run from several threads build each table once, not concurrently
         if k not in _WRITTEN:
-            path = f"{work_dir(spark)}/{app}/{name}-{digest}"
+            path = f"{work_dir(spark)}/{app}-{_RUN}/{name}-{digest}"
             write_table(build(), path)
             _WRITTEN[k] = path
-        scan = _SCANS.get((id(spark), k))
+        scan = _SCANS.get((session_key(spark), k))
         if scan is None:
             # one scan per session: later calls skip listing the folder and reading the footers
-            scan = _SCANS[(id(spark), k)] = spark.read.parquet(_WRITTEN[k])
+            scan = _SCANS[(session_key(spark), k)] = spark.read.parquet(_WRITTEN[k])
     return scan
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -91,6 +92,13 @@ def app_id(spark: SparkSession) -> str:
         return _conf(spark, "spark.app.id") or "app"
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifier of a session object, never used again for another one."""
+    if not hasattr(spark, "_fleetcases_key"):
+        spark._fleetcases_key = uuid.uuid4().hex
+    return spark._fleetcases_key
+
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 

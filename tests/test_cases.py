@@ -1,6 +1,7 @@
 """O1-O3 truth table, dedupe rule D2, and a randomised islands check."""
 
 import datetime as dt
+import itertools
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -159,19 +160,41 @@ def test_case_counts_at_the_bench_scale(spark):
 
 
 def test_hot_device_is_collapsed_before_the_window(spark):
-    from fleetcases.operators.cases import MAX_REPEATS, _bounded_repeats
+    from fleetcases.operators.cases import CASE_ATTRS, _device_days
     hot = {"H": [d for d in (8, 9, 10, 14) for _ in range(300)]}     # 1200 rows, 4 days
     cold = {k: [8 + i % 5, 12] for i, k in enumerate("abcdefghijklmnopqrstuvwxyz")}
     days = {**hot, **cold}
     log = _log(spark, days)
-    cols = ["ams_id", "asset_id", "cmh_id", "source_system_id", "device_type", "date"]
-    into_window = _bounded_repeats(log.select(*cols), cols).filter(F.col("asset_id") == "H").count()
+    per_day = _device_days(log, AS_OF, "asset_id", "date", CASE_ATTRS, False).filter(F.col("asset_id") == "H")
     assert log.filter(F.col("asset_id") == "H").count() > log.count() / 3
-    assert into_window == MAX_REPEATS * 4
+    assert {(r["date"], r["n"]) for r in per_day.collect()} == {(OCT(d), 300) for d in (8, 9, 10, 14)}
     assert _pairs(build_cases(log, AS_OF, dedupe=False)) == _simulate(days, AS_OF, 8)
     assert build_cases(log, AS_OF).filter(F.col("asset_id") == "H").count() == 2
 
 
+def test_one_answer_for_every_row_order(spark):
+    # a device moved between accounts within a day: the day counts once, with the least account
+    rows = [(1, "V", 7, 1, "LMP", OCT(15)), (1, "V", 8, 1, "LMP", OCT(15)), (1, "V", 7, 1, "LMP", OCT(16)),
+            (2, "U", None, 2, "AMP", OCT(9)), (2, "U", 3, 2, "AMP", OCT(9)), (2, "U", 3, 2, "AMP", OCT(10))]
+    want = {True: [(1, "V", 7, 1, "LMP", OCT(15), OCT(16)), (2, "U", None, 2, "AMP", OCT(9), OCT(10))]}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 3, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            for order in itertools.permutations(range(3)):
+                some = [rows[i] for i in order] + [rows[3 + i] for i in order]
+                log = spark.createDataFrame(some, SCHEMA).repartition(parts)
+                for dedupe in (True, False):
+                    for builder in (build_cases, build_cases_legacy):
+                        got = srt(builder(log, AS_OF, dedupe=dedupe).collect())
+                        assert got == want.setdefault((dedupe, builder), got)
+                assert srt(build_cases(log, AS_OF).collect()) == want[True]
+                flags = flag_case_boundaries(log, AS_OF).select("asset_id", "cmh_id", "date", "opens", "closes", "rn")
+                assert srt(flags.collect()) == want.setdefault("flags", srt(flags.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_run_across_as_of(spark):
     # only a run whose last day is as_of stays open; a run reaching past it closes on its last day
     days = {"H": [19, 20, 21], "I": [18, 19], "J": [20]}

@@ -7,6 +7,7 @@ import pytest
 
 from conftest import SF_SMALL
 import __spark_entry__ as entry
+from fleetcases.plans.queries import QUERIES
 from fleetcases.operators.cases import build_cases
 from fleetcases.plans.case_table import build_case_table
 from fleetcases.sources.fixtures import PARAMS, Fixtures
@@ -19,7 +20,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairs_no_python(spark, name):
     plan = _plan(entry.queries()[name](spark, SF_SMALL))
     assert not [f for f in FORBIDDEN if f in plan], plan

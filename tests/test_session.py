@@ -52,8 +52,7 @@ def test_public_names_resolve():
     import fleetcases.operators as ops
     import fleetcases.plans as plans
     import fleetcases.sources as src
-    import fleetcases.streaming as stream
-    for mod in (fn, ops, plans, src, stream):
+    for mod in (fn, ops, plans, src):
         for name in mod.__all__:
             assert callable(getattr(mod, name)) or name.isupper() or name == "PARAMS", name
 
@@ -62,6 +61,6 @@ def test_command_line(spark, capsys):
     from fleetcases.__main__ import main
     assert main(["list"]) == 0
     listed = capsys.readouterr().out.splitlines()
-    assert len(listed) == 51 and listed[0].startswith("case_boundaries")
+    assert len(listed) == 54 and listed[0].startswith("case_boundaries")
     assert main(["show", "case_date_span", "/root/testdata/sf0.001"]) == 0
     assert "min_start_date" in capsys.readouterr().out
