@@ -108,7 +108,7 @@ def _strip(best, d, v, w, limit, strip: int, low: int, width: int, registers: in
         s = mix(r)
         height = low + width * ((s >> U(11)).astype(np.float64) / 2.0 ** 53)
         ok = height < w
-        register = ((s & U(0x7FF)) * U(registers) >> U(11)).astype(np.int64)
+        register = ((mix(s) >> U(32)) * U(registers) >> U(32)).astype(np.int64)
         np.minimum.at(flat, d[ok] * registers + register[ok], t[ok])
 
 
