@@ -34,6 +34,9 @@ from fleetcases.llm.common import slices
 
 MAX_TOKENS, MAX_SEGMENTS, END = 4096, 128, 2
 POOL, POOL_TOKENS = 2048, 1 << 21
+#: words a worker process keeps with their ids, about 200 bytes each; a setting of memory against
+#: time alone, the rows are the same
+KEEP_WORDS = 1_000_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, loss_tokens long, sequence_length long, over_limit boolean")
 
@@ -45,51 +48,53 @@ class WordIds:
     a token run of their own, so ``The`` and ``the,`` need no encoding once ``the`` is known. Ids lie in
     one array; the table is emptied when it is large."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = KEEP_WORDS):
         from tokenizers import Tokenizer
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self._empty()
 
     def _empty(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        # where a word's ids begin and how many they are: its own, and those of its final stops
+        self.place = np.zeros((1 << 16, 4), np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _put(self, word: bytes, ids) -> None:
-        i, n = len(self.number), len(ids)
-        if i == len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * i), np.resize(self.size, 2 * i)
-        if self.used + n > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + n))
-        self.number[word] = i
-        self.begin[i], self.size[i] = self.used, n
-        self.ids[self.used:self.used + n] = ids
-        self.used += n
-
-    def _get(self, word: bytes) -> np.ndarray:
-        i = self.number[word]
-        return self.ids[self.begin[i]:self.begin[i] + self.size[i]]
+    def _add(self, words: list[bytes], place: np.ndarray) -> None:
+        i = len(self.number)
+        if i + len(words) > len(self.place):
+            self.place = np.concatenate([self.place[:i], np.zeros((i + 2 * len(words), 4), np.int64)])
+        self.place[i:i + len(words)] = place
+        self.number.update(zip(words, range(i, i + len(words)), strict=True))
 
     def _encode(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tok.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self._put(w, e.ids)
+        got = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        place = np.zeros((len(words), 4), np.int64)
+        place[:, 1] = n = np.fromiter(map(len, got), np.int64, len(got))
+        place[:, 0] = self.used + np.cumsum(n) - n
+        total = int(n.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * total, np.uint32)])
+        self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        self.used += total
+        self._add(words, place)
 
     def _learn(self, new: set[bytes]) -> None:
-        plain, core = {}, set()
+        plain, core = [], set()
         for w in new:
             c = w if b"<|" in w else w.lower().rstrip(b".,")
             if c and c != w:
-                plain[w] = c
-                core.add(c)
-                if len(c) < len(w):
-                    core.add(w[len(c):])
+                plain.append((w, c, w[len(c):]))
             else:
                 core.add(w)
-        self._encode([c for c in core if c not in self.number])
-        for w, c in plain.items():
-            if w not in self.number:
-                ids = self._get(c)
-                self._put(w, np.concatenate([ids, self._get(w[len(c):])]) if len(c) < len(w) else ids.copy())
+        core.update([c for _, c, _ in plain], [t for _, _, t in plain if t])
+        self._encode(list(core.difference(self.number)))
+        plain = [x for x in plain if x[0] not in self.number]
+        if plain:
+            own = self.place[[self.number[c] for _, c, _ in plain]]
+            place = np.hstack([own[:, :2], np.zeros((len(plain), 2), np.int64)])
+            tailed = [i for i, x in enumerate(plain) if x[2]]
+            place[tailed, 2:] = self.place[[self.number[plain[i][2]] for i in tailed], :2]
+            self._add([w for w, _, _ in plain], place)
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         words = [t.split() if t else [] for t in texts]
@@ -99,9 +104,11 @@ class WordIds:
             self._learn(new)
         count = np.fromiter(map(len, words), np.int64, len(words))
         k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
-        n = self.size[k]
-        at = np.cumsum(n) - n
-        flat = self.ids[np.repeat(self.begin[k] - at, n) + np.arange(n.sum())]
+        place = self.place[k].reshape(-1, 2)          # two stretches of ids a word
+        place = place[place[:, 1] > 0] if len(k) else place
+        n = self.place[k, 1] + self.place[k, 3]
+        at = np.cumsum(place[:, 1]) - place[:, 1]
+        flat = self.ids[np.repeat(place[:, 0] - at, place[:, 1]) + np.arange(int(n.sum()))]
         ends = np.append(0, np.cumsum(n))[np.cumsum(count)]
         end = np.array([END], np.uint32)
         return [np.concatenate([flat[a:b], end]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
@@ -110,11 +117,12 @@ class WordIds:
 _TABLES: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, limit: int) -> WordIds:
     """The table of this worker process, kept from task to task."""
     if path not in _TABLES:
         _TABLES.clear()
-        _TABLES[path] = WordIds(path)
+        _TABLES[path] = WordIds(path, limit)
+    _TABLES[path].limit = limit
     return _TABLES[path]
 
 
@@ -213,7 +221,8 @@ class Packer:
 
 def pack_examples(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                   loss_from_col: str | None = None, max_tokens: int = MAX_TOKENS,
-                  max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, cut: bool = True) -> DataFrame:
+                  max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, cut: bool = True,
+                  keep_words: int = KEEP_WORDS) -> DataFrame:
     """One row per piece (see SCHEMA). ``loss_from_col``: number of leading tokens of an example
     that bear no loss (a prompt); without it all tokens do."""
     if min(max_tokens, max_segments, max_loss) < 1:
@@ -224,7 +233,7 @@ def pack_examples(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     kinds = [pa.bool_() if c.endswith("boolean") else pa.int64() for c in SCHEMA.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]):
-        words = word_ids(tokenizer_path)
+        words = word_ids(tokenizer_path, keep_words)
         packer = Packer((max_tokens, max_segments, max_loss), cut, TaskContext.get().partitionId() << 40)
 
         def out():
