@@ -45,7 +45,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences (see ``packing.SCHEMA``)."""
-    return packing.pack_examples(docs, queries.vocabulary())
+    # the stages before share the executors with this one: keep fewer words in memory
+    return packing.pack_examples(docs, queries.vocabulary(), keep_words=150_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated),
