@@ -7,7 +7,7 @@ against the rest) is fitted on it. Scoring is two matrix products a batch: prese
 n-grams times presence of the landmarks', then times the folded coefficients.
 
 What is learned: at most ``PER_LANGUAGE`` rows a language of those whose crc32(doc_id) mod 5 is not 0
-(a documented bound; the rows are those with the least hashes of their text, the same on every run),
+(a documented bound; different texts, those with the least hashes, the same on every run),
 ``LANDMARKS`` of them as landmarks. Only n-gram presence bits of these rows reach the driver (at most
 4 KB a row). Every whole text is predicted.
 
@@ -97,6 +97,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 [b.column(0), b.column(2), pa.array([np.packbits(_mask(presence(x))).tobytes() for x in t], pa.binary())],
                 ["lang", "draw", "grams"])
     sample = picked.select("lang", "text", draw.alias("draw")).mapInArrow(grams, "lang string, draw double, grams binary")
+    sample = sample.distinct()      # copies of a text share its draw: however many there are, one is learned from
     by: dict[str, list] = {}
     for r in sample.collect():
         by.setdefault(r["lang"], []).append((r["draw"], bytes(r["grams"])))
