@@ -139,7 +139,9 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bulk = df.filter(~F.col("base_failed"))
     # small groups are estimated together: the table of group sizes has one row a group
     size = bulk.groupBy("lang", "source").agg(F.count("*").alias("n_group"))
-    size = size.select(F.col("lang").alias("s_lang"), F.col("source").alias("s_source"), "n_group")
+    # what has one row a group is written before it is joined: its size is known, so that the documents
+    # need no shuffle where it is small
+    size = stage(size.select(F.col("lang").alias("s_lang"), F.col("source").alias("s_source"), "n_group"), "quality-sizes")
     own = F.col("n_group") >= MIN_GROUP
     cols = ["doc_id", *X]
     j = bulk.join(size, bulk["lang"].eqNullSafe(size["s_lang"]) & bulk["source"].eqNullSafe(size["s_source"]))
@@ -150,10 +152,11 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     start = j.groupBy("lang", "source").agg(*(spread(x, 0.5).alias(f"m{x}") for x in X))
     est = start.select("lang", "source", F.array(*(F.col(f"m{x}") for x in X)).alias("m"),
                        F.array(*(F.lit(1.0 / FLOOR[i] ** 2 if i == k else 0.0) for i in range(5) for k in range(5))).alias("w"))
+    est = stage(est, "quality-start")
     for _ in range(STEPS):
         d = _distance(j, est)
         cut = d.groupBy("lang", "source").agg(spread("d2", HALF).alias("h"))
-        cut = cut.select(F.col("lang").alias("h_lang"), F.col("source").alias("h_source"), "h")
+        cut = stage(cut.select(F.col("lang").alias("h_lang"), F.col("source").alias("h_source"), "h"), "quality-cut")
         near = d.join(cut, d["lang"].eqNullSafe(cut["h_lang"]) & d["source"].eqNullSafe(cut["h_source"])).filter("d2 <= h")
         est = stage(_estimates(near.groupBy("lang", "source").agg(*_sums()), CONSISTENCY), "quality-estimate")
     d = _distance(j, est)
