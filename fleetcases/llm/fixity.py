@@ -8,7 +8,8 @@ compared from the root down: only the children of nodes that differ are read, an
 of the page ids that differ in the end.
 
 Many versions of one page id are hashed in parts by the first digits of their leaves, exact copies
-as one leaf with its count, so no list grows with a frequent id.
+as one leaf with its count, and their offsets and turns are summed part by part, so neither a list nor
+a window grows with a frequent id.
 
 Results for odd input: null url and html count as empty; a null page id is an id before all others
 and comes back null; exact copies of a record are told by their number (``copies``); an empty replica
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from fleetcases.llm.common import NULL_ID, stage
 
-FAN = 64
+FAN_BITS = 6
+FAN = 1 << FAN_BITS
 
 
 def warc_record(url: Column, body: Column) -> Column:
@@ -46,6 +48,18 @@ def _hash(entries: Column) -> Column:
     return F.sha2(F.array_join(F.sort_array(entries), "\n"), 256)
 
 
+def _before(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its ``keys`` with lesser leaves: sums of the
+    parts told by the leaf's first digits, then within a part."""
+    df = df.withColumn("p", F.substring("leaf", 1, 3)).withColumn("__v", value)
+    sums = df.groupBy(*keys, "p").agg(F.sum("__v").alias("__n"))
+    sums = sums.withColumn("__base", F.coalesce(F.sum("__n").over(
+        W.partitionBy(*keys).orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inner = F.coalesce(F.sum("__v").over(
+        W.partitionBy(*keys, "p").orderBy("leaf").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.join(sums, [*keys, "p"]).withColumn(name, F.col("__base") + inner).drop("p", "__v", "__base")
+
+
 class Tree:
     """Written levels of an archive's tree, from page ids up, and its root."""
 
@@ -58,7 +72,7 @@ class Tree:
             _hash(F.collect_list(F.concat_ws(" ", "p", "h"))).alias("hash"), F.sum("n_bytes").alias("n_bytes"))
         self.levels = []
         for k in range(depth):
-            level = stage(level.withColumn("parent", F.floor(F.col("node") / F.lit(FAN)).cast("long") if k < depth - 1
+            level = stage(level.withColumn("parent", F.shiftright("node", FAN_BITS) if k < depth - 1
                                            else F.lit(0).cast("long")), f"{name}-{k}")
             self.levels.append(level)
             # the sort key keeps the children in the order of their numbers
@@ -97,13 +111,13 @@ def audit(left: DataFrame, right: DataFrame, **names) -> DataFrame:
         bad = both.filter(~F.col("hash").eqNullSafe(F.col("other"))).select("node", "offset")
         bad = stage(bad, f"fixity-{k}")
     ids = bad.select(F.col("node").alias("id"), "offset")
-    ra = a.join(ids, "id").withColumn("offset", F.col("offset") + F.coalesce(F.sum(F.col("length") * F.col("copies")).over(
-        W.partitionBy("id").orderBy("leaf").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ra = _before(a.join(ids, "id"), ["id"], F.col("length") * F.col("copies"), "before")
+    ra = ra.withColumn("offset", F.col("offset") + F.col("before")).drop("before")
     rb = b.join(ids.select("id"), "id", "left_semi").select("id", "leaf", F.col("copies").alias("found_copies"))
     d = ra.join(rb, ["id", "leaf"], "full").filter(~F.col("copies").eqNullSafe(F.col("found_copies")))
     # versions of an id that are only here or only there are matched in order; the rest is missing or extra
     d = d.withColumn("here", F.coalesce("copies", F.lit(0)) > F.coalesce("found_copies", F.lit(0)))
-    d = d.withColumn("turn", F.row_number().over(W.partitionBy("id", "here").orderBy("leaf")))
+    d = _before(stage(d, "fixity-records"), ["id", "here"], F.lit(1), "turn")
     gone = d.filter("here").select("id", "turn", F.col("leaf").alias("expected"), "offset", "length")
     new = d.filter(~F.col("here")).select("id", "turn", F.col("leaf").alias("found"))
     out = gone.join(new, ["id", "turn"], "full")
