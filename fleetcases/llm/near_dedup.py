@@ -12,8 +12,8 @@ more are linked; a class is a connected component of the links.
    agree in a register with probability equal to their weighted Jaccard.
 2. Equal multisets are one node. Bands of ``ROWS`` registers put nodes in buckets; a pair of 0.8
    shares one of the ``BANDS`` buckets with probability 1 - 3e-6.
-3. Links. Every member of a bucket is compared with the bucket's first and last node, and the links'
-   components are computed. Buckets whose members then still are in different components are
+3. Links. Every member of a bucket is compared with the bucket's first and central node (the one whose
+   buckets are the fullest), and the links' components are computed. Buckets whose members then still are in different components are
    searched in blocks of ``BLOCK`` members for other pairs across components, whatever their size; within a
    component no pair is needed. Candidates whose signatures agree too little for 0.8 (``LEAST_AGREE``,
    more than six standard errors below) are passed over; all others are verified on the multisets.
@@ -194,7 +194,7 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 def _buckets(nodes: DataFrame) -> DataFrame:
     width = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)))
-    return nodes.select("node", F.explode(keys).alias("bucket"))
+    return nodes.select("node", F.posexplode(keys).alias("band", "bucket"))
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -213,22 +213,27 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 def _across(open_members: DataFrame, least: float) -> DataFrame:
     """Pairs of nodes in one bucket but different components whose signatures agree. A bucket is
-    compared block against block, each pair of blocks in a group of its own."""
+    compared block against block, each pair of blocks in a group of its own. A pair that shares several
+    buckets comes from the first of them (they all hold its two components, so all are open)."""
     size = open_members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     m = open_members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    m = m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+    m = m.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
                  "node", "label", "sig")
 
     def run(pdf):
         import pandas as pd
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        band = int(pdf["band"].iloc[0])
         left, right = (pdf[pdf["own"] == i], pdf[pdf["own"] == j])
         sig = np.stack([np.frombuffer(s, np.uint32) for s in right["sig"]]) if len(right) else np.zeros((0, REGISTERS))
         node, label = right["node"].to_numpy(), right["label"].to_numpy()
         out = []
         for a, la, s in zip(left["node"], left["label"], left["sig"], strict=True):
-            near = np.flatnonzero((sig == np.frombuffer(s, np.uint32)).mean(axis=1) >= least) if len(sig) else []
+            same = sig == np.frombuffer(s, np.uint32)
+            near = np.flatnonzero(same.mean(axis=1) >= least) if len(sig) else np.zeros(0, int)
+            bands = same[near].reshape(len(near), BANDS, ROWS).all(axis=2)
+            near = near[bands[:, band] & ~bands[:, :band].any(axis=1)]
             out += [(a, node[k]) if a < node[k] else (node[k], a) for k in near if label[k] != la and (i != j or a < node[k])]
         return pd.DataFrame(out, columns=["a", "b"])
     return m.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
@@ -255,11 +260,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("did", "th")).alias("r"), F.first("sig").alias("sig"))
     nodes = stage(nodes.select("node", "r.did", "r.th", "sig"), "nodes")
     buckets = stage(_shared(_buckets(nodes)), "buckets")
-    # everything against the first and the last node of its bucket
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    # everything against the first and the central node of its bucket
+    ends = _centres(buckets)
     star = buckets.join(ends, "bucket")
-    pairs = star.select(F.col("lo").alias("a"), F.col("node").alias("b")).unionByName(
-        star.select(F.col("node").alias("a"), F.col("hi").alias("b"))).filter("a != b").distinct()
+    pairs = star.select(F.least("lo", "node").alias("a"), F.greatest("lo", "node").alias("b")).unionByName(
+        star.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))).filter("a != b").distinct()
     close = stage(_agreeing(pairs, nodes, LEAST_AGREE), "candidates")
     bags = _bags(docs, nodes, close, id_col, text_col)
     links = stage(_similar(close, bags, similar), "links")
@@ -268,7 +273,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
     named = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
     members = stage(named.join(mixed, "bucket", "left_semi").join(nodes.select("node", "sig"), "node"), "open")
-    more = stage(_across(members, LEAST_AGREE).distinct().join(close, ["a", "b"], "left_anti"), "candidates-across")
+    more = stage(_across(members, LEAST_AGREE).join(close, ["a", "b"], "left_anti"), "candidates-across")
     if more.head(1):
         links = links.unionByName(_similar(more, _bags(docs, nodes, more, id_col, text_col), similar))
         label = components(stage(links, "links-all"))
@@ -284,6 +289,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
                     ((F.col("did") == top["did"]) & (F.col("th") == top["th"])).alias("representative"))
 
 
+def _centres(buckets: DataFrame) -> DataFrame:
+    """(bucket, lo, centre): the least node and the one whose buckets hold most nodes together (ties to
+    the greatest). The text that many others were changed from keeps the bands that they share, so
+    its buckets are the large ones: compared with it, a group comes together at once."""
+    size = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = buckets.join(size, "bucket").groupBy("node").agg(F.sum("n").alias("n"))
+    return buckets.join(weight, "node").groupBy("bucket").agg(F.min("node").alias("lo"),
+                                                              F.max(F.struct("n", "node"))["node"].alias("centre"))
+
+
 def _shared(buckets: DataFrame) -> DataFrame:
     """Rows of buckets with two nodes or more."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
