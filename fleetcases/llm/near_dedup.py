@@ -14,9 +14,10 @@ more are linked; a class is a connected component of the links.
    shares one of the ``BANDS`` buckets with probability 1 - 3e-6.
 3. Links. Every member of a bucket is compared with the bucket's first and central node (the one whose
    buckets are the fullest), and the links' components are computed. Buckets whose members then still are in different components are
-   searched in blocks of ``BLOCK`` members for other pairs across components, whatever their size; within a
-   component no pair is needed. Candidates whose signatures agree too little for 0.8 (``LEAST_AGREE``,
-   more than six standard errors below) are passed over; all others are verified on the multisets.
+   searched in blocks of ``BLOCK`` members for other pairs across components, whatever their size; such pairs are
+   verified within the block, and only the links that join components leave it. Candidates whose
+   signatures agree too little for 0.8 (``LEAST_AGREE``, more than six standard errors below) are passed
+   over; all others are verified on the multisets.
 4. Components: minimum labels along links with pointer jumping, on written tables.
 
 Results for odd input: texts without words are in no class but their own; texts of fewer than
@@ -40,6 +41,7 @@ from fleetcases.llm.common import (NULL_ID, U, WordHash, binary_list, doc_key, m
                                    stage, unpack, windows_hash)
 
 SHINGLE, SIMILAR, BANDS, ROWS, LEAST_AGREE, BLOCK = 5, 0.8, 32, 5, 0.6, 2000
+BLOCK_BYTES = 8 << 20
 REGISTERS = BANDS * ROWS
 #: rows of an Arrow batch: a row may carry two whole documents
 BATCH = 1000
@@ -211,30 +213,49 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return j.mapInArrow(run, "a binary, b binary")
 
 
-def _across(open_members: DataFrame, least: float) -> DataFrame:
-    """Pairs of nodes in one bucket but different components whose signatures agree. A bucket is
-    compared block against block, each pair of blocks in a group of its own. A pair that shares several
-    buckets comes from the first of them (they all hold its two components, so all are open)."""
-    size = open_members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+def _across(open_members: DataFrame, least: float, similar: float) -> DataFrame:
+    """Links (a, b) that join the components meeting in a bucket. ``open_members`` holds bucket, band,
+    node, label, sig and bag. A bucket is compared block against block, each pair of blocks in a group of
+    its own; a block has at most ``BLOCK`` members and about ``BLOCK_BYTES`` of multisets. A pair that shares several
+    buckets is compared in the first of them (they all hold its two components, so all are open). Pairs
+    are verified where they meet, and no pair within a component is returned: a group of n members
+    gives n - 1 links at most."""
+    size = open_members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("bag")) / BLOCK_BYTES))
+                                              .cast("int").alias("n_blocks"))
     m = open_members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     m = m.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                 "node", "label", "sig")
+                 "node", "label", "sig", "bag")
 
     def run(pdf):
         import pandas as pd
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        band = int(pdf["band"].iloc[0])
-        left, right = (pdf[pdf["own"] == i], pdf[pdf["own"] == j])
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in right["sig"]]) if len(right) else np.zeros((0, REGISTERS))
-        node, label = right["node"].to_numpy(), right["label"].to_numpy()
+        band, own = int(pdf["band"].iloc[0]), pdf["own"].to_numpy()
+        right = np.flatnonzero(own == int(pdf["j"].iloc[0]))
+        sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
+        node = pdf["node"].to_numpy()
+        group = pd.factorize(pdf["label"])[0]
+        bags = [_numbered(unpack(x, np.uint64)) for x in pdf["bag"]]
+        sizes = np.array([len(x) for x in bags])
+        cut = np.append(0, np.cumsum(sizes))
+        element = np.unique(np.concatenate(bags), return_inverse=True)[1]
+        mine = np.zeros(int(element.max()) + 1, bool)
         out = []
-        for a, la, s in zip(left["node"], left["label"], left["sig"], strict=True):
-            same = sig == np.frombuffer(s, np.uint32)
-            near = np.flatnonzero(same.mean(axis=1) >= least) if len(sig) else np.zeros(0, int)
-            bands = same[near].reshape(len(near), BANDS, ROWS).all(axis=2)
-            near = near[bands[:, band] & ~bands[:, :band].any(axis=1)]
-            out += [(a, node[k]) if a < node[k] else (node[k], a) for k in near if label[k] != la and (i != j or a < node[k])]
+        for k in np.flatnonzero(own == int(pdf["i"].iloc[0])):
+            other = right[group[right] != group[k]]
+            if not len(other):
+                continue
+            same = sig[other] == sig[k]
+            bands = same.reshape(len(other), BANDS, ROWS).all(axis=2)
+            other = other[(same.mean(axis=1) >= least) & bands[:, band] & ~bands[:, :band].any(axis=1)]
+            if not len(other):
+                continue
+            mine[element[cut[k]:cut[k + 1]]] = True
+            common = np.array([np.count_nonzero(mine[element[cut[x]:cut[x + 1]]]) for x in other])
+            mine[element[cut[k]:cut[k + 1]]] = False
+            for x in other[common / (sizes[other] + sizes[k] - common) >= similar]:
+                if group[x] != group[k]:
+                    out.append((node[k], node[x]))
+                    group[group == group[x]] = group[k]
         return pd.DataFrame(out, columns=["a", "b"])
     return m.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
 
@@ -266,17 +287,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
     pairs = star.select(F.least("lo", "node").alias("a"), F.greatest("lo", "node").alias("b")).unionByName(
         star.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))).filter("a != b").distinct()
     close = stage(_agreeing(pairs, nodes, LEAST_AGREE), "candidates")
-    bags = _bags(docs, nodes, close, id_col, text_col)
+    bags = _bags(docs, nodes, close.select(F.explode(F.array("a", "b")).alias("node")), id_col, text_col)
     links = stage(_similar(close, bags, similar), "links")
     label = components(links)
     # buckets that still hold several components
     named = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket")
-    members = stage(named.join(mixed, "bucket", "left_semi").join(nodes.select("node", "sig"), "node"), "open")
-    more = stage(_across(members, LEAST_AGREE).join(close, ["a", "b"], "left_anti"), "candidates-across")
-    if more.head(1):
-        links = links.unionByName(_similar(more, _bags(docs, nodes, more, id_col, text_col), similar))
-        label = components(stage(links, "links-all"))
+    members = stage(named.join(mixed, "bucket", "left_semi"), "open")
+    if members.head(1):
+        bags = _bags(docs, nodes, members.select("node"), id_col, text_col)
+        members = members.join(nodes.select("node", "sig"), "node").join(bags, "node")
+        more = stage(_across(members, LEAST_AGREE, similar), "links-across")
+        if more.head(1):
+            label = components(links.unionByName(more), "links-all")
     label = label.withColumnRenamed("label", "root")
     named = rows.select("did", "th", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage(named, "members")
@@ -305,10 +328,9 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return buckets.join(many, "bucket", "left_semi")
 
 
-def _bags(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, bag): the sorted shingles, packed, of the nodes that occur in pairs."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    which = nodes.join(need, "node", "left_semi").select("node", F.col("did").alias("n_did"), F.col("th").alias("n_th"))
+def _bags(docs: DataFrame, nodes: DataFrame, need: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, bag): the sorted shingles, packed, of the nodes in ``need``."""
+    which = nodes.join(need.distinct(), "node", "left_semi").select("node", F.col("did").alias("n_did"), F.col("th").alias("n_th"))
     src = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     j = src.join(which, (F.col("did") == F.col("n_did")) & (F.col("th") == F.col("n_th"))).select("node", "text")
 

@@ -155,20 +155,32 @@ def test_bagminhash_is_unbiased():
     assert near_dedup.weighted_jaccard(np.sort(np.repeat(value, a)), np.sort(np.repeat(value, b))) == pytest.approx(want)
 
 
-def test_blocks_of_a_bucket_find_pairs_across_components(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+@pytest.mark.parametrize("limits", [{"BLOCK": 2}, {"BLOCK_BYTES": 3000}, {}])
+def test_blocks_of_a_bucket_link_its_components(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**32, near_dedup.REGISTERS).astype(np.uint32)
-    rows = []
-    for k in range(9):
+    rows, bags = [], []
+    for k in range(12):
         s = base.copy()
-        s[:k * 9] = rng.integers(0, 2**32, k * 9)
-        rows.append((bytes([k]) * 16, bytes([k // 2]) * 16, bytearray(s.tobytes())))
-    nodes = spark.createDataFrame(rows, "node binary, label binary, sig binary")
-    got = near_dedup._across(near_dedup._buckets(nodes).join(nodes, "node"), 0.6)
-    want = [(a, b) for a in range(9) for b in range(a + 1, 9) if a // 2 != b // 2 and
-            (np.frombuffer(rows[a][2], np.uint32) == np.frombuffer(rows[b][2], np.uint32)).mean() >= 0.6]
-    assert sorted((r.a[0], r.b[0]) for r in got.collect()) == want and want      # each pair once
+        s[:k % 9 * 9] = rng.integers(0, 2**32, k % 9 * 9)
+        bag = np.sort(np.arange(k % 4 * 100, k % 4 * 100 + 400 + k).astype(np.uint64) // np.uint64(3))
+        bags.append(collections.Counter(bag.tolist()))
+        rows.append((bytes([k]) * 16, bytes([k // 2]) * 16, bytearray(s.tobytes()), bytearray(near_dedup.pack(bag))))
+    nodes = spark.createDataFrame(rows, "node binary, label binary, sig binary, bag binary")
+    got = near_dedup._across(near_dedup._buckets(nodes.select("node", "sig")).join(nodes, "node"), 0.6, 0.8)
+    got = {(min(r.a[0], r.b[0]), max(r.a[0], r.b[0])) for r in got.collect()}
+    want = {(a, b) for a in range(12) for b in range(a + 1, 12) if a // 2 != b // 2 and
+            (np.frombuffer(rows[a][2], np.uint32) == np.frombuffer(rows[b][2], np.uint32)).mean() >= 0.6 and
+            sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())}
+
+    def groups(links):
+        root = [k // 2 for k in range(12)]
+        for a, b in links:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(k for k in range(12) if root[k] == r) for r in root}
+    assert got and got <= want and groups(got) == groups(want) and 1 < len(groups(want)) < 6
 
 
 def test_packing_round_trip(docs, empty):
