@@ -278,8 +278,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
     rows = stage(_signed(docs, id_col, text_col), "signatures")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("did", "th")).alias("r"), F.first("sig").alias("sig"))
-    nodes = stage(nodes.select("node", "r.did", "r.th", "sig"), "nodes")
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("did", "th")).alias("r"), F.first("sig").alias("sig"),
+                                                                F.count("*").alias("n"))
+    nodes = stage(nodes.select("node", "r.did", "r.th", "sig", "n"), "nodes")
     buckets = stage(_shared(_buckets(nodes)), "buckets")
     # everything against the first and the central node of its bucket
     ends = _centres(buckets)
@@ -300,13 +301,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
         more = stage(_across(members, LEAST_AGREE, similar), "links-across")
         if more.head(1):
             label = components(links.unionByName(more), "links-all")
-    label = label.withColumnRenamed("label", "root")
-    named = rows.select("did", "th", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stage(named, "members")
-    best = (named.filter("root is not null").groupBy("root").agg(F.min(F.struct("did", "th")).alias("best"),
-                                                                F.count("*").alias("class_size")))
-    best = best.withColumnRenamed("root", "r")
-    j = named.join(best, named["root"] == best["r"], "left")
+    # classes are formed on nodes, exact copies being one; written, so that neither join of a large class is
+    # bound to the partitioning of an aggregate and skew handling can split it
+    named = nodes.select("node", "did", "th", "n").join(label.withColumnRenamed("label", "root"), "node", "left")
+    named = stage(named.withColumn("root", F.coalesce("root", "node")), "members")
+    best = named.groupBy("root").agg(F.min(F.struct("did", "th")).alias("best"), F.sum("n").alias("class_size"))
+    of_node = stage(named.join(stage(best, "classes"), "root").select("node", "best", "class_size"), "node-classes")
+    j = rows.select("did", "th", "node").join(of_node, "node", "left")
     top = F.coalesce("best", F.struct("did", "th"))
     return j.select("did", "th", top["did"].alias("class_did"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
                     ((F.col("did") == top["did"]) & (F.col("th") == top["th"])).alias("representative"))
