@@ -20,6 +20,7 @@ than the named ones are not read.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -37,6 +38,7 @@ POOL, POOL_TOKENS = 2048, 1 << 21
 #: words a worker process keeps with their ids, about 200 bytes each; a setting of memory against
 #: time alone, the rows are the same
 KEEP_WORDS = 1_000_000
+PUNCTUATION = string.punctuation.encode()
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, loss_tokens long, sequence_length long, over_limit boolean")
 
@@ -44,9 +46,11 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 class WordIds:
     """Token ids of a text, word by word: in this vocabulary no token and no rule crosses ASCII
     white space, so a word's ids do not depend on its neighbours and are looked up once. ASCII
-    capitals are made small by the vocabulary's own normaliser, and final full stops and commas are
-    a token run of their own, so ``The`` and ``the,`` need no encoding once ``the`` is known. Ids lie in
-    one array; the table is emptied when it is large."""
+    capitals are made small by the vocabulary's own normaliser, and what is neither letter nor digit
+    is one run up to the next letter or digit: all final ASCII punctuation behind an ASCII letter or
+    digit is a run of its own, so ``The`` and ``the),`` need no encoding once ``the`` and ``),`` are known.
+    Behind any other character (marks, symbols, letters that the normaliser may take apart) the word is
+    encoded whole. Ids lie in one array; the table is emptied when it is large."""
 
     def __init__(self, path: str, limit: int = KEEP_WORDS):
         from tokenizers import Tokenizer
@@ -81,8 +85,12 @@ class WordIds:
     def _learn(self, new: set[bytes]) -> None:
         plain, core = [], set()
         for w in new:
-            c = w if b"<|" in w else w.lower().rstrip(b".,")
-            if c and c != w:
+            c = w
+            if b"<|" not in w:
+                c = w.lower()
+                if (cut := c.rstrip(PUNCTUATION))[-1:].isalnum():        # of bytes: ASCII alone
+                    c = cut
+            if c != w:
                 plain.append((w, c, w[len(c):]))
             else:
                 core.add(w)

@@ -227,6 +227,16 @@ def test_word_ids_equal_the_tokenizer():
             assert got.tolist() == tok.encode(t, add_special_tokens=False).ids + [2]
 
 
+def test_word_ids_behind_marks_and_symbols():
+    from tokenizers import Tokenizer
+    tok, table = Tokenizer.from_file(queries.vocabulary()), packing.WordIds(queries.vocabulary())
+    words = ["word).", 'said",', "what?.", "boys'.", "etc.),", "x%.", "<EMAIL>,", "Mail:<EMAIL>.", "हिन्दी.", "की,", "की).", "été,",
+             "İ.", "e\u0301.", "x\u0301,", "½.", "⒈.", "a_b_.", "--x--,", "it's'.", "'.", ").", "x<|endoftext|>.", "<|x."]
+    for some in (words, [w.upper() for w in words], [" ".join(words)]):
+        for t, got in zip(some, table([t.encode() for t in some]), strict=True):
+            assert got.tolist() == tok.encode(t, add_special_tokens=False).ids + [2], t
+
+
 def test_phrases_equal_brute_force(spark, docs, empty):
     items = [(1, " ".join(PASSAGE.split()[3:30])), (2, "Quick onset OF rain"), (3, None), (4, "!!"), (10, "quick onset of rain"),
              (5, "loop " * 20), (6, "not there at all"), (6, "w1 w2")]
