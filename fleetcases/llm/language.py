@@ -6,10 +6,11 @@ learning rows give the Nystroem map k(x, landmarks) W^(-1/2); one ridge regressi
 against the rest) is fitted on it. Scoring is two matrix products a batch: presence of the batch's
 n-grams times presence of the landmarks', then times the folded coefficients.
 
-What is learned: at most ``PER_LANGUAGE`` rows a language of those whose crc32(doc_id) mod 5 is not 0
-(a documented bound; different texts, those with the least hashes, the same on every run),
-``LANDMARKS`` of them as landmarks. Only n-gram presence bits of these rows reach the driver (at most
-4 KB a row). Every whole text is predicted.
+What is learned: ``PER_LANGUAGE`` different texts of every language (all, if it has fewer) of the rows
+whose crc32(doc_id) mod 5 is not 0 (a documented bound; those with the least hashes, the same on every
+run, however many copies each has), ``LANDMARKS`` of them as landmarks, or one of each language if there
+are more. Hashes of about twice as many texts and the n-gram presence bits of these reach the driver (4 KB
+a text, 1.2 MB a language). No language is left out. Every whole text is predicted.
 
 Results for odd input: null texts and texts without a letter are ``und`` with score 0; a language is
 never null; ties go to the alphabetically first language; with no learning rows everything is ``und``;
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from fleetcases.llm.common import U
 
-BITS, MAX_N, PER_LANGUAGE, LANDMARKS, RIDGE, MAX_LANGUAGES = 15, 3, 300, 96, 1e-2, 400
+BITS, MAX_N, PER_LANGUAGE, LANDMARKS, RIDGE = 15, 3, 300, 96, 1e-2
+DRAWS = 1 << 30
 HELD_OUT = 5
 UNKNOWN = "und"
 
@@ -77,46 +79,80 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % HELD_OUT == 0
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hash", F.xxhash64("text"))
+
+
+def _draw():
+    return F.pmod("hash", F.lit(DRAWS))
+
+
+def _of_language(value: dict[str, int]):
+    """The language's number, -1 for a language without one."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in value.items() for x in kv]), F.col("lang")), F.lit(-1))
+
+
+def least_hashes(rows: DataFrame, per_language: int) -> dict[str, list[int]]:
+    """Hashes of the texts to learn from by language: of its different texts the ``per_language`` with
+    the least draw (hash mod 2^30, then the hash), or all if there are fewer. Only hashes are collected,
+    of about twice the number: those below a draw that the approximate number of different texts gives.
+    A language that has too few of them is drawn again further up, so none ends short."""
+    sizes = {r["lang"]: max(1, r["n"]) for r in
+             rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
+    upto = {lang: min(DRAWS, 2 * per_language * DRAWS // n) for lang, n in sizes.items()}
+    least: dict[str, list[int]] = {}
+    while upto:
+        got: dict[str, list[int]] = {}
+        for r in _hashed(rows).filter(_draw() <= _of_language(upto)).select("lang", "hash").distinct().collect():
+            got.setdefault(r["lang"], []).append(r["hash"])
+        least |= {lang: sorted(got.get(lang, ()), key=lambda h: (h % DRAWS, h))[:per_language] for lang in upto}
+        upto = {lang: min(DRAWS, 4 * n + 1) for lang, n in upto.items() if n < DRAWS and len(least[lang]) < per_language}
+    return least
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(id_col))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    wanted = least_hashes(rows, per_language)
+    if not wanted:
         return None
-    # a share of each language by the hash of the text: some more than are needed, cut below
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * per_language / n))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
+    last = {lang: hashes[-1] % DRAWS for lang, hashes in wanted.items()}
+    picked = _hashed(rows).filter(_draw() <= _of_language(last))
 
     def grams(it: Iterator[pa.RecordBatch]):
+        left = {(lang, h) for lang, hashes in wanted.items() for h in hashes}
         for b in it:
-            t = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([np.packbits(_mask(presence(x))).tobytes() for x in t], pa.binary())],
-                ["lang", "draw", "grams"])
-    sample = picked.select("lang", "text", draw.alias("draw")).mapInArrow(grams, "lang string, draw double, grams binary")
-    sample = sample.distinct()      # copies of a text share its draw: however many there are, one is learned from
-    by: dict[str, list] = {}
-    for r in sample.collect():
-        by.setdefault(r["lang"], []).append((r["draw"], bytes(r["grams"])))
-    languages = sorted(by)
-    chosen = [(lang, g) for lang in languages for _, g in sorted(by[lang])[:per_language]]
-    x = np.stack([np.unpackbits(np.frombuffer(g, np.uint8)) for _, g in chosen]).astype(np.float32)
+            rows = []
+            for lang, text, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (lang, h) in left:            # the first copy of a text in this task
+                    left.remove((lang, h))
+                    rows.append((lang, h, np.packbits(_mask(presence(text))).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary()), strict=True)],
+                                             ["lang", "hash", "grams"])
+    sample = picked.select("lang", "text", "hash").mapInArrow(grams, "lang string, hash long, grams binary")
+    # copies of a text that lie in several tasks: however many there are, one is learned from
+    bits = {(r["lang"], r["hash"]): bytes(r["grams"]) for r in sample.distinct().collect()}
+    languages = sorted(wanted)
+    chosen = [(lang, bits[lang, h]) for lang in languages for h in wanted[lang]]
     y = np.array([languages.index(lang) for lang, _ in chosen])
-    size = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    x /= size
+
+    def unpacked(which) -> np.ndarray:
+        x = np.stack([np.unpackbits(np.frombuffer(chosen[i][1], np.uint8)) for i in which]).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     # landmarks in turn from each language, so that a large one does not take them all
     turn = np.argsort(np.concatenate([np.arange((y == k).sum()) for k in range(len(languages))]), kind="stable")
-    z = x[turn[:max(landmarks, len(languages))]]
+    z = unpacked(turn[:max(landmarks, len(languages))])
+    # a slice of rows at a time: a row takes 128 KB unpacked
+    k = np.concatenate([unpacked(range(i, min(i + 512, len(chosen)))) @ z.T for i in range(0, len(chosen), 512)])
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])              # W^(-1/2) on the space it has
-    phi = np.hstack([(x @ z.T) @ root, np.ones((len(x), 1))])
+    phi = np.hstack([k @ root, np.ones((len(k), 1))])
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = (1.0 / np.bincount(y, minlength=len(languages)))[y] * len(y) / len(languages)
-    a = (phi * weight[:, None]).T @ phi + RIDGE * len(x) * np.diag(np.append(np.ones(phi.shape[1] - 1), 0))
+    a = (phi * weight[:, None]).T @ phi + RIDGE * len(k) * np.diag(np.append(np.ones(phi.shape[1] - 1), 0))
     beta = np.linalg.solve(a, (phi * weight[:, None]).T @ target)
     return Model(languages, np.ascontiguousarray(z.T), np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32))
 

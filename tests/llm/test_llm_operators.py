@@ -333,6 +333,24 @@ def test_language_and_toxicity_learn(spark, docs, empty):
     assert toxicity.score_toxicity(empty, lab).count() == 0
 
 
+def test_languages_are_learned_from_different_texts(spark):
+    # "aa" is nearly all copies of 8 texts, "bb" has more different texts than are learned from, 410 more have one text
+    rows = [("aa", f"alpha bravo {k}") for k in range(8) for _ in range(2500)] + [("bb", f"yodel zulu {k}") for k in range(900)]
+    rows += [(f"l{k}", f"text {k} of one") for k in range(410)]
+    docs = spark.createDataFrame([(None, t, x) for x, t in rows], "doc_id long, text string, lang string").withColumn(
+        "doc_id", F.lit(1).cast("long")).repartition(5)
+    assert not docs.limit(1).select(language.held_out()).first()[0]
+    model = language.fit(docs)
+    assert model.languages == sorted({x for x, _ in rows})
+    every = collections.defaultdict(set)
+    for r in docs.select("lang", F.xxhash64("text").alias("h")).distinct().collect():
+        every[r.lang].add(r.h)
+    want = {x: sorted(hs, key=lambda h: (h % 2**30, h)) for x, hs in every.items()}
+    for most in (1, 8, 300):
+        assert language.least_hashes(docs, most) == {x: hs[:most] for x, hs in want.items()}
+    assert {r.lang_pred for r in language.predict(docs.filter("lang = 'aa'"), model).collect()} == {"aa"}
+
+
 def test_fixity_locates_damage(spark):
     rows = [(k, f"http://h/{k}", f"<p>{k}</p>" * (k % 5)) for k in range(9000, 9400)] + [(None, None, None), (9001, "v2", "x"), (9001, "v2", "x")]
     schema = "page_id long, url string, html string"
