@@ -11,8 +11,9 @@ where it lies and only 2 x 15 numbers a group move.
 Base rules (fixed): fewer than 50 words, or more than half of the words in repeated 3-word windows.
 
 Results for odd input: null and empty texts have zero words and fail the base rules; null language
-or source forms a group of its own; groups of fewer than ``MIN_GROUP`` documents use the estimate
-over all documents; repeated rows count each; an empty table gives an empty result. Columns other
+or source forms a group of its own; a small group is estimated by itself like any other, the floor of
+the spread keeps its covariance regular (a group of one document keeps it if the base rules do);
+repeated rows count each; an empty table gives an empty result. Columns other
 than the named ones are not read.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fleetcases.llm.common import stage
 
-MIN_WORDS, MIN_GROUP, STEPS, HALF = 50, 200, 4, 0.5
+MIN_WORDS, STEPS, HALF = 50, 4, 0.5
 SYMBOLS = b"#*$%&|<>"
 #: chi-square quantile (5 degrees, 1 - 1e-9): beyond it the bulk's own members are not expected
 CUTOFF = 50.5
@@ -137,21 +138,13 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                .select("*", base.alias("base_failed"), *(v.alias(x) for x, v in zip(X, _vector(), strict=True))),
                "quality")
     bulk = df.filter(~F.col("base_failed"))
-    # small groups are estimated together: the table of group sizes has one row a group
-    size = bulk.groupBy("lang", "source").agg(F.count("*").alias("n_group"))
-    # what has one row a group is written before it is joined: its size is known, so that the documents
-    # need no shuffle where it is small
-    size = stage(size.select(F.col("lang").alias("s_lang"), F.col("source").alias("s_source"), "n_group"), "quality-sizes")
-    own = F.col("n_group") >= MIN_GROUP
-    cols = ["doc_id", *X]
-    j = bulk.join(size, bulk["lang"].eqNullSafe(size["s_lang"]) & bulk["source"].eqNullSafe(size["s_source"]))
-    rest = F.lit("\u0000rest")
-    j = stage(j.select(*cols, *(F.when(own, F.col(c)).otherwise(rest).alias(c) for c in ("lang", "source")),
-                       *STATS_ONLY, "base_failed"), "quality-groups")
+    j = bulk.select("doc_id", *X, "lang", "source", *STATS_ONLY, "base_failed")
     spread = F.percentile_approx
     start = j.groupBy("lang", "source").agg(*(spread(x, 0.5).alias(f"m{x}") for x in X))
     est = start.select("lang", "source", F.array(*(F.col(f"m{x}") for x in X)).alias("m"),
                        F.array(*(F.lit(1.0 / FLOOR[i] ** 2 if i == k else 0.0) for i in range(5) for k in range(5))).alias("w"))
+    # what has one row a group is written before it is joined: its size is known, so that the documents
+    # need no shuffle where it is small
     est = stage(est, "quality-start")
     for _ in range(STEPS):
         d = _distance(j, est)

@@ -317,6 +317,23 @@ def test_quality_statistics_and_verdict(spark, docs, empty):
     assert all(got[k] for k in range(300)) and not any(got[1000 + k] for k in range(20))
 
 
+def test_quality_judges_each_group_by_itself(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g, (lang, source, n, ending) in enumerate([("de", "a", 60, "verlangend"), ("de", "b", 90, ""), ("fr", "a", 250, "ment"), (None, "a", 1, "s")]):
+        rows += [(1000 * g + k, " ".join(f"word{j}{ending}" for j in rng.integers(0, 500, 60 + 3 * k)) + " %" * (k % 10 == 0) * k, lang, source)
+                 for k in range(n)]
+    schema = "doc_id long, text string, lang string, source string"
+
+    def judged(some):
+        return {r.doc_id: (r.kept, r.distance2) for r in quality.score_quality(spark.createDataFrame(some, schema)).collect()}
+    got = judged(rows)
+    assert got[3000] == (True, 0.0)
+    for g in range(2):
+        own = judged([r for r in rows if r[0] // 1000 == g])
+        assert all(got[i][0] == kept and got[i][1] == pytest.approx(d) for i, (kept, d) in own.items())
+
+
 def test_language_and_toxicity_learn(spark, docs, empty):
     base = "/root/testdata/sf0.01"
     d, lab = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
