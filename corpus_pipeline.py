@@ -51,7 +51,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated),
           ("personal_data", redact_personal_data), ("packing", pack)]
-#: the first, second and last stage are beyond SQL; tests/llm compares run() with a brute-force version
+#: the first, second and last stage are beyond SQL; tests/llm compares the rows that each stage keeps, the
+#: redacted texts and the packed ids of run() with brute-force versions (toxicity with its operator's scores)
 ORACLE_SQL = None
 
 

@@ -398,3 +398,75 @@ def test_pipeline_stages(spark, docs, empty):
     for i in sorted(kept):
         assert first.setdefault(src[i], i) == i      # no two copies of one text
     assert len(kept) > len(src) / 2
+
+
+def test_pipeline_decisions_equal_brute_force(spark):
+    """Every stage's rows over the tables of sf0.01, and the rows of run(). Toxicity is compared with its operator's
+    scores, and texts in which patterns found further keys are left out of the comparison of redacted texts."""
+    from tokenizers import Tokenizer
+    base, steps = "/root/testdata/sf0.01", dict(corpus_pipeline.STAGES)
+    start = spark.read.parquet(f"{base}/documents.parquet")
+
+    def after(name, rows):
+        return steps[name](spark, spark.createDataFrame(rows, start.schema), base).collect()
+    rows = start.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    bad = {r.doc_id for r in toxicity.score_toxicity(start, labels).filter("score >= 0.5").collect()}
+    got = after("toxicity", rows)
+    assert bad and len(got) < len(rows) and _sorted(got) == _sorted(r for r in rows if r.doc_id not in bad)
+
+    rows, bags = got, [_bag(r.text or "") for r in got]
+    size, root = [sum(b.values()) if b else 0 for b in bags], list(range(len(got)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if size[a] and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]):
+                both = sum(min(n, bags[b][k]) for k, n in bags[a].items() if k in bags[b])
+                if both >= 0.8 * (size[a] + size[b] - both):
+                    root = [root[a] if x == root[b] else x for x in root]
+    got = after("near_duplicates", rows)
+    of = {r.doc_id: x for r, x in zip(rows, root, strict=True)}
+    assert len(got) < len(rows) and set(got) <= set(rows) and sorted(of[r.doc_id] for r in got) == sorted(set(root))
+
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    wins = set()
+    for r in spark.read.parquet(f"{base}/benchmark.parquet").collect():
+        w = find(r.text)
+        wins.update(tuple(w[k:k + 13]) for k in range(max(1, len(w) - 12) if w else 0))
+    sizes, want = {len(x) for x in wins}, []
+    for r in got:
+        w, hit = find(r.text), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k:k + n]) in wins:
+                    hit.update(range(k, k + n))
+        if not hit or 20 * len(hit) < len(w):
+            want.append(r)
+    assert len(want) < len(got)
+    got = after("decontamination", got)
+    assert _sorted(got) == _sorted(want)
+
+    redacted = {r.doc_id: r for r in after("personal_data", got)}
+    assert len(redacted) == len(got)
+    compared = 0
+    for r in got:
+        out, at, end = [], 0, -1
+        for kind, a, b in sorted(_base(r.text or ""), key=lambda x: (x[1], -x[2])):
+            if a >= end:
+                out += [r.text[at:a], f"<{kind.upper()}>"]
+            at = end = max(end, b)
+        if "<KEY>" not in (redacted[r.doc_id].text or ""):
+            compared += len(out) > 0
+            assert redacted[r.doc_id].text == (None if r.text is None else "".join(out) + r.text[at:])
+    assert compared
+
+    tok, pieces = Tokenizer.from_file(queries.vocabulary()), collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, base).collect():
+        pieces[r.doc_id].append(r)
+    assert of and {of[i] for i in pieces} <= {of[r.doc_id] for r in got} and set(pieces) == set(redacted)
+    for i, r in redacted.items():
+        ids, end = np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [2], np.uint32), 0
+        for x in sorted(pieces[i], key=lambda x: x.start):
+            assert (x.start, x.doc_tokens, x.ids_crc32) == (end, len(ids), zlib.crc32(ids[end:end + x.length].tobytes()))
+            end += x.length
+        assert end == len(ids)
