@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
@@ -72,18 +72,22 @@ def block_of(did, n: int):
     return F.pmod(did.bitwiseXOR(F.shiftright(did, 17)), F.lit(n)).cast("long")
 
 
-def slices(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of at most ``limit`` bytes together (a longer text is alone):
-    the working arrays of a task stay bounded, whole texts stay whole."""
+def slices_of(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of at most ``limit`` bytes together (a larger row is alone): the
+    working arrays of a task stay bounded, whole texts stay whole."""
     lo = total = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(sizes):
         if i > lo and total + n > limit:
             yield lo, i
             lo, total = i, 0
         total += n
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def slices(texts: list[bytes | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """``slices_of`` for texts."""
+    return slices_of([len(t) if t else 0 for t in texts], limit)
 
 
 def arrow_batches(fn: Callable, it: Iterator[pa.RecordBatch], schema: pa.Schema):

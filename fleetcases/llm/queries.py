@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetcases.llm import (decontam, fixity, language, near_dedup, packing, pii, quality, substring_dedup,
-                            suffix_dedup, toxicity)
+from fleetcases.llm import (decontam, fixity, language, mixing, near_dedup, packing, periodic, pii, quality,
+                            substring_dedup, suffix_dedup, toxicity, whitening)
 from fleetcases.llm.common import table
 
 
@@ -83,8 +83,47 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and text, a tenth of the texts (told by a checksum of the id) with a loop: from word a
+    on, their p words from a are said again and again up to the text's number of words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(
+        "text", F.lit(mixing.WORD), F.lit(0))).alias("words"))
+    n = F.size("words").cast("long")
+    a = F.col("g") % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + F.col("g") % 8)).cast("long")
+    loop = F.slice("words", (a + 1).cast("int"), p.cast("int"))
+    tail = F.flatten(F.array_repeat(loop, F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int"))), " ")
+    return split.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    # runs come by start and period, so the first of equal exponents stays
+    best = F.aggregate("runs", none, lambda x, r: F.when(
+        x.isNull() | (r["length"] * x["period"] > x["length"] * r["period"]), r).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return (got.withColumn("best", best).withColumn("listed", listed)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                    F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_near_dedup, op4_toxicity, op5_packing,
-                                   op6_decontamination, op7_warc_fixity, op8_substring_dedup, op9_quality, op10_pii)}
+                                   op6_decontamination, op7_warc_fixity, op8_substring_dedup, op9_quality, op10_pii,
+                                   op11_embedding_whitening, op12_periodic_runs, op13_source_mixing)}
 #: DuckDB SQL over the tables, where it can express the query
 ORACLE_SQL: dict[str, str] = {
     "op7_warc_fixity": """
@@ -101,4 +140,25 @@ o AS (SELECT *, sha256(rec) AS leaf, CAST(coalesce(sum(strlen(rec)) OVER (
 SELECT page_id, 'corrupt' AS status, leaf AS expected, sha256(bad) AS found, "offset", strlen(rec) AS length FROM o WHERE d = '00'
 UNION ALL SELECT page_id, 'missing', leaf, NULL, "offset", strlen(rec) FROM o WHERE d = '01'
 UNION ALL SELECT page_id, 'extra', NULL, sha256(ghost), NULL, NULL FROM o WHERE d = '02'""",
+    "op13_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(text)) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][no % 3 + 1] AS weight, 2 * source_size AS cap FROM s),
+f AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5e0 AS budget, CAST(cap AS DOUBLE) / weight AS full_at FROM w),
+v AS (SELECT *, (budget - CAST(coalesce(sum(cap) OVER (ORDER BY full_at, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+                  / CAST(sum(weight) OVER (ORDER BY full_at, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM f),
+t AS (SELECT source, no, source_size, budget,
+             least(CAST(cap AS DOUBLE), weight * max(CASE WHEN level <= full_at THEN level END) OVER ()) AS target FROM v),
+q AS (SELECT row_number() OVER () AS row, d.*, t.no, t.source_size, t.target, t.budget,
+             CAST(sum(size) OVER (PARTITION BY t.no ORDER BY key, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS queued
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0),
+i AS (SELECT *, queued + turn * source_size AS ends FROM q, (VALUES (0), (1)) AS r(turn)),
+m AS (SELECT *, sum(size) OVER (ORDER BY ends / target, no, ends ROWS UNBOUNDED PRECEDING) AS upto FROM i)
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN upto <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
+FROM m GROUP BY row, doc_id, size, source_size, target
+UNION ALL
+SELECT doc_id, size, source_size, target, 0 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size = 0""",
 }

@@ -1,0 +1,125 @@
+"""Periodic runs against a brute-force version that tries every period."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fleetcases.llm import periodic, queries
+from fleetcases.llm.common import table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(words, least=24, times=3):
+    """Maximal stretches for every lag; of stretches with several periods the smallest one counts."""
+    out, n = {}, len(words)
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, times * q):
+                stretch = (i, j - i + q)
+                if not any(all(words[x] == words[x + p] for x in range(i, i + stretch[1] - p)) for p in range(1, q)):
+                    out[(i, stretch[1], q)] = True
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapse(words, runs):
+    gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+    return " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def found(docs):
+    words = [w for d in docs for w in d]
+    bounds = np.append(0, np.cumsum([len(d) for d in docs]))
+    got = periodic.find_runs(np.array(words, np.int64), bounds)
+    return [[tuple(r[1:]) for r in got.tolist() if r[0] == k] for k in range(len(docs))]
+
+
+def test_seeds_are_guaranteed():
+    assert periodic.guaranteed(24, 3) == 16
+    with pytest.raises(ValueError):
+        periodic.find_runs(np.zeros(3, np.int64), np.array([0, 3]), times=2)
+
+
+loops = st.lists(st.tuples(st.lists(st.integers(0, 2), min_size=1, max_size=40), st.integers(1, 9)), max_size=5)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(loops, max_size=4))
+def test_runs_equal_brute_force(parts):
+    docs = [[w for block, times in doc for w in block * times][:300] for doc in parts]
+    assert found(docs) == [brute(d) for d in docs]
+
+
+def test_nested_and_long_periods():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 50, 40).tolist(), rng.integers(0, 50, 90).tolist()
+    docs = [(a + a + b) * 4, [1] * 24, [1] * 23, ([1] * 30 + [2]) * 5, list(range(200)) * 3, list(range(200)) * 3 + [7],
+            (list(range(7)) * 5)[:24], a * 2 + b + a * 4, [], [3]]
+    assert found(docs) == [brute(d) for d in docs]
+
+
+SCHEMA = "doc_id long, text string, runs int, collapsed string, block int"
+
+
+def _texts():
+    rng = np.random.default_rng(8)
+    words = [f"w{k}é" for k in range(60)]
+    long = " ".join(rng.choice(words, 30000))
+    loop = " ".join(rng.choice(words, 37).tolist() * 9)
+    return [None, "", " \t\n ", "one", "loop " * 90, f"{long} {loop}", loop, loop, "a b " * 12, "a b " * 11 + "a", "a b c " * 30,
+            "\x0b".join(["x", "y\x1cz"] * 20) + "\x0c", f"start {loop} middle {loop} end", "same line here\n" * 50]
+
+
+def test_operator_equals_brute_force(spark):
+    rows = [(i, t, i, "x", i) for i, t in enumerate(_texts())] + [(None, "b " * 40, None, None, None), (4, "loop " * 90, 0, "", 0)]
+    got = {}
+    for r in periodic.periodic_runs(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"]))
+    want = {}
+    for i, t, *_ in rows:
+        words = WORD.findall(t or "")
+        runs = brute(words) if len(words) < 5000 else None
+        if runs is None:        # the loop at the end only; what stands before it is without runs
+            runs = [(s + 29900, n, q) for s, n, q in brute(words[29900:])]
+        want.setdefault(i, []).append((len(words), runs, collapse(words, runs)))
+    assert got == want
+    assert periodic.periodic_runs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def contract(doc_id, text):
+    words = WORD.findall(text or "")
+    n = len(words)
+    if doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        g = h // 10
+        if h % 10 == 0:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    runs = brute(words)
+    best = max(runs, key=lambda r: (r[1] / r[2], -r[0], -r[2]), default=None)
+    lines = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(collapse(words, runs).encode()).hexdigest())
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    base = [tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    rows = [(i, t) for i, t in base if len(t or "") < 6000]
+    loops = [(1000 + k, " ".join(f"w{j % (3 + k % 11)}" for j in range(40 + k))) for k in range(300)]
+    rows += loops + [(None, None), (None, "z " * 30), (7, ""), (1, None), (20, "é " * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op12_periodic_runs(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted((contract(*r) for r in rows), key=repr)
