@@ -6,6 +6,8 @@ from __future__ import annotations
 # Fixed values, in the order the analysis uses them.
 INSTALLED_STATUS = "Installed"            # assets kept for cases (compared ignoring case)
 LOOKBACK_DAYS = 5                         # signal days counted before a case starts
+SIGNAL_BIN_DAYS = 8                       # bins of the kept signal days (not the analysis's: any width from 6 on)
+CASE_SPAN_DAYS = 32                       # spans a device's days are cut into where one key is hot (as above)
 TOTAL_LABEL = "ALL_CASES"                 # label of the overall row in per-type reports
 EXCLUDED_VERSION_PATTERNS = ("%nil%",)    # software versions that do not count as known
 CASE_DEVICE_TYPE = "LMP"                  # device type of the per-SKU and reboot reports

@@ -68,6 +68,13 @@ def day_span(df: DataFrame, day: str) -> tuple[dt.date | None, dt.date | None]:
     return row["lo"], row["hi"]
 
 
+def log_span(log: DataFrame, day: str, key: str) -> tuple[dt.date | None, dt.date | None, bool]:
+    """``day_span`` and, out of the same aggregate, whether any row lacks its ``key``."""
+    row = log.agg(F.min(day_of(day)).alias("lo"), F.max(day_of(day)).alias("hi"),
+                  F.max(F.col(key).isNull()).alias("unknown")).first()
+    return row["lo"], row["hi"], bool(row["unknown"])
+
+
 def min_day(df: DataFrame, day: str) -> dt.date | None:
     """Smallest day of a log (see ``day_span``)."""
     return day_span(df, day)[0]

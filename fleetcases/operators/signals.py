@@ -10,10 +10,12 @@ and days up to ``start - 1``; polls are compared by day, days ``start - lookback
 ``start - 1``. Heartbeats before the log's first day and polls before that day minus
 ``lookback + 1`` are ignored. ``strict_days=True`` gives both signals the plain window.
 
-Scale shape: no range join and no heartbeat x poll product. Each signal is first reduced to one
-row per (client, day) with a partial aggregate (the raw signal tables are the largest inputs),
-each case lists its window days, and the two meet in an equi-join on (client, day). Day counts
-for both signals come out of one aggregation over the union of matches, grouped by case.
+Scale shape: no heartbeat x poll product and no pairs of a client's cases and signals. Each signal is
+first reduced to one row per (client, day) with a partial aggregate (the raw signal tables are the
+largest inputs); ``signal_days`` keeps that table so that all users share one scan. Cases and signal
+days meet in an interval join by bins (``intervals``), whose rows do not grow with the lookback. The days
+seen are bits of their distance from the case's start, or-ed per case in one hash aggregate that is partial
+before its shuffle: no distinct over the matches.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcases.constants import LOOKBACK_DAYS
+from fleetcases.constants import LOOKBACK_DAYS, SIGNAL_BIN_DAYS
+from fleetcases.operators.intervals import points_in_intervals, with_bin
 
 # The source groups its count by these five case columns (not by client): a case whose asset
 # tag maps to several clients counts the days of all of them together.
@@ -45,13 +48,21 @@ def daily_last_signal(signals: DataFrame, entity: str, ts: str, since: dt.dateti
             .agg(F.max("ts").alias("last_ts")))
 
 
-def _window_days(cases: DataFrame, case_key: Sequence[str], entity: str, first: int,
-                 last: int) -> DataFrame:
-    """Each case once per day from start - first to start - last (inclusive)."""
-    s = F.col("start_date")
-    return (cases.select(*case_key, F.col(entity).alias("entity"))
-            .filter(F.col("entity").isNotNull() & s.isNotNull())
-            .withColumn("day", F.explode(F.sequence(F.date_sub(s, first), F.date_sub(s, last)))))
+def signal_days(signals: DataFrame, entity: str, ts: str) -> DataFrame:
+    """``daily_last_signal`` of all days with the bin of each day: the table to keep, bucketed by
+    (entity, bin), for ``missing_signal_days(..., reduced=True)``."""
+    return with_bin(daily_last_signal(signals, entity, ts), "day", SIGNAL_BIN_DAYS)
+
+
+#: distances from the start held by one long of bits
+_WORD = 62
+
+
+def _bits(matches: DataFrame, key: Sequence[str], signal: str) -> DataFrame:
+    """Each match as one bit of word ``_w`` (the distance of its day from the case's start)."""
+    away = F.datediff("start_date", "day")
+    bit = F.expr(f"shiftleft(1L, pmod(datediff(start_date, day), {_WORD}))")
+    return matches.select(*key, F.lit(signal).alias("signal"), F.floor(away / _WORD).cast("int").alias("_w"), bit.alias("_bit"))
 
 
 def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFrame,
@@ -62,46 +73,62 @@ def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFram
                         fallback_ts: str = "poll_last_utc",
                         case_primary_entity: str = "client_id",
                         case_fallback_entity: str = "source_system_id",
-                        cluster_by: Sequence[str] | None = None) -> DataFrame:
+                        reduced: bool = False) -> DataFrame:
     """``case_key`` columns + ``days_with_no_heartbeat`` (may be -1 under D3).
 
     ``cases`` needs the ``case_key`` columns and both entity columns. ``last_day`` (latest case
-    start) only prunes the signal scans; it does not change the result. ``cluster_by`` (a
-    subset of ``case_key``) hashes the matches once on those columns, so both aggregations and
-    a later join on them need no further shuffle.
+    start) only prunes the signal scans; it does not change the result. With ``reduced`` the two
+    signal tables are those of ``signal_days`` in place of the raw signals.
     """
     key = list(case_key)
+    far = lookback if strict_days else lookback + 1
     # an empty log has no first day: then there are no cases and no cut-off to apply
-    midnight = dt.datetime.combine(first_day, dt.time()) if first_day else None
+    since = first_day
+    fb_since = first_day - dt.timedelta(days=lookback + 1) if first_day else None
     until = dt.datetime.combine(last_day, dt.time()) if last_day else None
-    fb_since = (dt.datetime.combine(first_day - dt.timedelta(days=lookback + 1), dt.time())
-                if first_day else None)
-
-    hb = daily_last_signal(primary, primary_entity, primary_ts, since=midnight, until=until)
-    polls = daily_last_signal(fallback, fallback_entity, fallback_ts, since=fb_since, until=until)
 
-    far = lookback if strict_days else lookback + 1
-    hb_days = (_window_days(cases, key, case_primary_entity, far, 1)
-               .join(hb, ["entity", "day"], "inner"))
+    def per_day(signals: DataFrame, entity: str, ts: str, first: dt.date | None) -> DataFrame:
+        if reduced:
+            if first is not None:
+                signals = signals.filter(F.col("day") >= F.lit(first))
+            return signals if last_day is None else signals.filter(F.col("day") < F.lit(last_day))
+        midnight = dt.datetime.combine(first, dt.time()) if first else None
+        return daily_last_signal(signals, entity, ts, since=midnight, until=until)
+
+    # the kept tables have bins of their own width, which serve windows up to that width
+    binned = reduced and far <= SIGNAL_BIN_DAYS
+    width = SIGNAL_BIN_DAYS if binned else far
+    start = F.col("start_date")
+
+    def matches(days: DataFrame, entity: str, first: int) -> DataFrame:
+        if reduced and not binned:
+            days = days.select("entity", "day", "last_ts")
+        windows = cases.select(*key, F.col(entity).alias("entity"))
+        return points_in_intervals(windows, days, ["entity"], F.date_sub(start, first), F.date_sub(start, 1),
+                                   "day", width, binned)
+
+    hb = per_day(primary, primary_entity, primary_ts, since)
+    hb_days = matches(hb, case_primary_entity, far)
     if not strict_days:
         # the farthest day counts only for a heartbeat after its midnight (ts > date)
         edge = F.col("day") == F.date_sub("start_date", far)
         day_start = F.col("day").cast(hb.schema["last_ts"].dataType)
         hb_days = hb_days.filter(~edge | (F.col("last_ts") > day_start))
-    poll_days = (_window_days(cases, key, case_fallback_entity, lookback, 1)
-                 .join(polls, ["entity", "day"], "inner"))
-
-    marks = cases.select(*key, F.lit(None).cast("string").alias("signal"),
-                         F.lit(None).cast("date").alias("day"))
-    matched = (hb_days.select(*key, F.lit("primary").alias("signal"), "day")
-               .unionByName(poll_days.select(*key, F.lit("fallback").alias("signal"), "day"))
-               .unionByName(marks))
-    if cluster_by:
-        matched = matched.repartition(*cluster_by)
-    # one row per (case, signal, day), then a plain sum per case: no distinct-count expansion
-    per_day = matched.select(*key, "signal", "day").distinct()
-    counts = per_day.groupBy(*key).agg(
-        F.sum(F.when(F.col("signal") == "primary", 1).otherwise(0)).alias("hb_days"),
-        F.sum(F.when(F.col("signal") == "fallback", 1).otherwise(0)).alias("poll_days"))
-    seen = F.when(F.col("hb_days") == 0, F.col("poll_days")).otherwise(F.col("hb_days"))
+    poll_days = matches(per_day(fallback, fallback_entity, fallback_ts, fb_since), case_fallback_entity, lookback)
+
+    marks = cases.select(*key, F.lit(None).cast("string").alias("signal"), F.lit(0).alias("_w"),
+                         F.lit(0).cast("long").alias("_bit"))
+    bits = _bits(hb_days, key, "primary").unionByName(_bits(poll_days, key, "fallback")).unionByName(marks)
+
+    def seen_days(name: str):
+        words = [F.bit_or(F.when((F.col("signal") == name) & (F.col("_w") == w), F.col("_bit")))
+                 for w in range(far // _WORD + 1)]
+        return [F.coalesce(F.bit_count(w), F.lit(0)) for w in words]
+
+    hb_words, poll_words = seen_days("primary"), seen_days("fallback")
+    counts = bits.groupBy(*key).agg(*(w.alias(f"_h{i}") for i, w in enumerate(hb_words)),
+                                    *(w.alias(f"_p{i}") for i, w in enumerate(poll_words)))
+    hb_seen = sum((F.col(f"_h{i}") for i in range(len(hb_words))), F.lit(0))
+    poll_seen = sum((F.col(f"_p{i}") for i in range(len(poll_words))), F.lit(0))
+    seen = F.when(hb_seen == 0, poll_seen).otherwise(hb_seen)
     return counts.select(*key, (F.lit(lookback) - seen).cast("long").alias("days_with_no_heartbeat"))

@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcases.constants import LOOKBACK_DAYS
-from fleetcases.functions.dates import day_span
+from fleetcases.constants import CASE_SPAN_DAYS, LOOKBACK_DAYS
+from fleetcases.functions.dates import log_span
 from fleetcases.operators.cases import ENRICHED_COLUMNS, build_cases, build_cases_legacy, enrich_cases
 from fleetcases.operators.signals import missing_signal_days
 from fleetcases.plans.sinks import stage_table
@@ -21,7 +21,8 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
                      legacy: bool = False, dedupe: bool = True, lookback: int = LOOKBACK_DAYS,
                      strict_days: bool = False, day: str = "date",
                      staged: bool = True, first_day: dt.date | None = None,
-                     last_day: dt.date | None = None) -> DataFrame:
+                     last_day: dt.date | None = None, span_days: int | None = None,
+                     reduced_signals: bool = False) -> DataFrame:
     """Cases -> enriched cases -> missing signal days, one row per distinct result.
 
     The gap count is attached on (asset_tag, start_date) only, as in the source (D19): where
@@ -29,16 +30,19 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
 
     The enriched cases feed four branches (two signals, the per-case marks, the final join);
     with ``staged`` they are written once to the shared folder and read back, so the log's
-    window pass runs once. The gap counts are clustered on the final join key, so their two
-    aggregations and the join share one shuffle.
+    window pass runs once. ``reduced_signals``: heartbeats and polls are the kept tables of
+    ``signals.signal_days``, which are joined where they lie.
 
     ``first_day``/``last_day`` are the log's first and last day; when both are known (a
-    date-partitioned log) the aggregate over the log that finds them is skipped.
+    date-partitioned log) the aggregate over the log that finds them is skipped. That aggregate also
+    tells whether rows lack their device: then, as with ``span_days`` given, days are cut into spans
+    (see ``cases``), so that the rows of the unknown device do not gather in one task.
     """
     if first_day is None or last_day is None:
-        first_day, last_day = day_span(log, day)
+        first_day, last_day, unknown = log_span(log, day, "asset_id")
+        span_days = span_days or (CASE_SPAN_DAYS if unknown else None)
     builder = build_cases_legacy if legacy else build_cases
-    cases = builder(log, as_of, day=day, dedupe=dedupe, first_day=first_day)
+    cases = builder(log, as_of, day=day, dedupe=dedupe, first_day=first_day, span_days=span_days)
     clinic = enrich_cases(cases, assets, accounts, devices, as_of)
     if staged:
         clinic = stage_table(clinic, "enriched_cases")
@@ -47,8 +51,7 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
     # in one partition of the gap aggregation
     joinable = clinic.filter(F.col("asset_tag").isNotNull() & F.col("start_date").isNotNull())
     gaps = missing_signal_days(joinable, heartbeats, polls, first_day, lookback=lookback,
-                               strict_days=strict_days, last_day=last_day,
-                               cluster_by=("asset_tag", "start_date"))
+                               strict_days=strict_days, last_day=last_day, reduced=reduced_signals)
     return (clinic.join(gaps.select("asset_tag", "start_date", "days_with_no_heartbeat"),
                         ["asset_tag", "start_date"], "left")
             .select(*CASE_TABLE_COLUMNS)

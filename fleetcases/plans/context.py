@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from fleetcases.operators.base import installed_base
 from fleetcases.operators.events import attach_events, recently_seen_hosts
+from fleetcases.operators.intervals import BIN
 from fleetcases.operators.lookup import earliest_known, latest_known
+from fleetcases.operators.signals import signal_days
 from fleetcases.plans.case_table import build_case_table
 from fleetcases.plans.sinks import as_view, materialized
 from fleetcases.session import session_key
@@ -31,9 +33,9 @@ class Context:
         self.version = version or input_version(spark, self.sf_dir)
         self.fx = Fixtures(spark, self.sf_dir)
 
-    def _keep(self, name: str, build, *parts) -> DataFrame:
+    def _keep(self, name: str, build, *parts, bucket_by=()) -> DataFrame:
         key = "|".join(str(x) for x in (self.sf_dir, self.version, self.p, *parts))
-        return materialized(self.spark, name, key, build)
+        return materialized(self.spark, name, key, build, bucket_by)
 
     def log(self, which: str = "full") -> DataFrame:
         return {"full": self.fx.issue_log, "sparse": self.fx.issue_log_sparse,
@@ -44,8 +46,8 @@ class Context:
                          staged: bool = True) -> DataFrame:
         fx = self.fx
         return build_case_table(self.log(which), fx.assets, fx.accounts, fx.devices,
-                                fx.heartbeats, fx.polls, self.p.as_of, legacy=legacy,
-                                dedupe=which != "dup", staged=staged)
+                                self.heartbeat_days(), self.poll_days(), self.p.as_of, legacy=legacy,
+                                dedupe=which != "dup", staged=staged, reduced_signals=True)
 
     def build_reboot_cases(self, which: str = "full") -> DataFrame:
         return attach_events(self.case_table(which), self.fx.devices, self.fx.reboots,
@@ -78,6 +80,16 @@ class Context:
                                              F.min("deployment_date").alias("deployment_date"))
 
     # ---- materialised tables -------------------------------------------------------------
+    def heartbeat_days(self) -> DataFrame:
+        """Heartbeats by (client, day), bucketed by what the case tables join them on."""
+        return self._keep("heartbeat_days", lambda: signal_days(self.fx.heartbeats, "client_id", "created_at"),
+                          bucket_by=("entity", BIN))
+
+    def poll_days(self) -> DataFrame:
+        """Monitor polls by (client, day), bucketed likewise."""
+        return self._keep("poll_days", lambda: signal_days(self.fx.polls, "client_resource_id", "poll_last_utc"),
+                          bucket_by=("entity", BIN))
+
     def case_table(self, which: str = "full", legacy: bool = False) -> DataFrame:
         """S02 (``legacy=True``: the S41 view's rule)."""
         return self._keep("case_table", lambda: self.build_case_table(which, legacy), which, legacy)

@@ -130,3 +130,18 @@ def work_dir(spark: SparkSession) -> str:
         pass
     _LOCAL_DIRS[app] = d
     return d
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds ``path`` (whatever store Spark reads) and the path for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of the shared store deleted when the application ends."""
+    try:
+        fs, p = file_system(spark, path)
+        fs.deleteOnExit(p)
+    except AttributeError:     # a remote session has no file system of its own
+        pass

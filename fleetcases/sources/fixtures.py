@@ -55,15 +55,15 @@ class Fixtures:
         return read_table(self.spark, self.sf_dir, name)
 
     # ---- T1 issue log -------------------------------------------------------------------
-    def _issue_rows(self, sparse: bool = False) -> DataFrame:
+    def _issue_rows(self, units: bool = False) -> DataFrame:
+        """All errors, by device. ``units``: each user's errors are those of ten devices (told by the
+        event), so that devices with a single case exist."""
         ev = self._t("events").filter(F.col("event_type") == "error")
-        if sparse:
-            ev = ev.filter(F.col("value") > 100)
-        uid = F.col("user_id")
-        return ev.select(
-            uid.alias("ams_id"), uid.alias("asset_id"), _mod("user_id", 25).alias("cmh_id"),
-            uid.alias("source_system_id"),
-            F.when(_mod("user_id", 3) == 0, F.lit("AMP")).otherwise(F.lit("LMP")).alias("device_type"),
+        device = F.col("user_id") * 10 + _mod("event_id", 10) if units else F.col("user_id")
+        return ev.withColumn("device", device).select(
+            F.col("device").alias("ams_id"), F.col("device").alias("asset_id"), _mod("device", 25).alias("cmh_id"),
+            F.col("device").alias("source_system_id"),
+            F.when(_mod("device", 3) == 0, F.lit("AMP")).otherwise(F.lit("LMP")).alias("device_type"),
             F.to_date("ts").alias("date"))
 
     @cached_property
@@ -76,7 +76,7 @@ class Fixtures:
 
     @cached_property
     def issue_log_sparse(self) -> DataFrame:
-        return self._issue_rows(sparse=True).distinct()
+        return self._issue_rows(units=True).distinct()
 
     # ---- T2 assets, T3 accounts, T4 devices ---------------------------------------------
     @cached_property
@@ -214,7 +214,7 @@ class Fixtures:
 
     @cached_property
     def reboots(self) -> DataFrame:
-        ev = self._t("events").filter((F.col("event_type") == "purchase") & (F.col("value") > 100))
+        ev = self._t("events").filter(F.col("event_type") == "purchase")
         c = self._t("customer").select("c_custkey", "c_name")
         j = ev.join(c, ev.user_id == c.c_custkey, "inner")
         text = F.concat(F.date_format(F.to_date("ts"), "yyyy-MM-dd"), F.lit(" 12:00:00"))

@@ -10,15 +10,16 @@ from fleetcases.operators.events import attach_events, repeat_totals
 from fleetcases.plans.context import context
 from fleetcases.sources.fixtures import PARAMS
 
+# values of cases and reboots: scripts/derive_anchors.py, plain Python over the raw rows
 ANCHORS = {
-    SF_SMALL: {"s04": {("ALL_CASES", 14, 14), ("AMP", 4, 4), ("LMP", 10, 10)}, "s22": 151,
-               "s32_31": (5, 11), "o24_3": (3, 4), "s20": "2024-01-03 16:42:28.739617",
-               "s16": (123, 37, 45), "s34": 4, "s28": 18, "s25": 6, "s33": 5},
-    SF_MID: {"s04": {("ALL_CASES", 135, 135), ("AMP", 45, 45), ("LMP", 90, 90)}, "s22": 1059,
-             "s22_sparse": 248, "s32_31": (57, 91), "s32_sparse_3": (22, 22),
-             "s32_sparse_31": (38, 43), "s33_sparse": 21, "o24_3": (56, 63),
+    SF_SMALL: {"s04": {("ALL_CASES", 14, 14), ("AMP", 4, 4), ("LMP", 10, 10)}, "s22": 683,
+               "s32_31": (9, 47), "o24_3": (10, 36), "s20": "2024-01-03 16:42:28.739617",
+               "s16": (123, 37, 45), "s34": 4, "s28": 31, "s25": 15, "s33": 8, "s07": {("AMP", 15), ("LMP", 35)}},
+    SF_MID: {"s04": {("ALL_CASES", 135, 135), ("AMP", 45, 45), ("LMP", 90, 90)}, "s22": 6135,
+             "s22_sparse": 2210, "s32_31": (83, 395), "s32_sparse_3": (44, 56),
+             "s32_sparse_31": (56, 89), "s33_sparse": 13, "o24_3": (99, 345),
              "s20": "2024-01-03 00:51:07.658581", "s16": (1200, 392, 451), "s34": 58, "s28": 31,
-             "s25": 17, "s33": 54, "s17": 25, "s11_latest": 1496},
+             "s25": 147, "s33": 66, "s17": 25, "s11_latest": 1496, "s07": {("AMP", 170), ("LMP", 321)}},
 }
 
 
@@ -46,6 +47,8 @@ def test_anchors(spark):
         assert q["reboots_by_time"](spark, sf).count() == a["s28"]
         assert q["reboot_both_days"](spark, sf).count() == a["s25"]
         assert q["reboot_span_qc"](spark, sf).first()[0] == a["s33"]
+        assert {(r.device_type, r.device_cnt) for r in q["single_closed_join"](spark, sf).collect()} == a["s07"]
+        assert {(r.device_type, r.device_cnt) for r in q["single_closed_in"](spark, sf).collect()} == a["s07"]
         if sf == SF_MID:
             assert c.reboot_cases("sparse").count() == a["s22_sparse"]
             assert tuple(repeat_totals(c.reboot_cases("sparse"), 3).first()) == a["s32_sparse_3"]

@@ -6,11 +6,11 @@ from conftest import SF_MID
 from fleetcases.plans.context import context
 
 EXPECTED = {
-    "issue_log": 1612, "issue_log_dup": 2014, "issue_log_sparse": 259, "assets": 1500,
+    "issue_log": 1612, "issue_log_dup": 2014, "issue_log_sparse": 1972, "assets": 1500,
     "accounts": 25, "devices": 1500, "heartbeats": 3988, "polls": 2017,
     "devices_history": 15000, "assets_history": 15000, "asset": 1500, "sku": 2000,
     "sku_type": 5, "app_devices": 1500, "activities": 10000, "taggings": 3998, "tags": 5,
-    "reboots": 236, "host": 100, "bag": 2000, "monitor_poll": 10000,
+    "reboots": 1981, "host": 100, "bag": 2000, "monitor_poll": 10000,
 }
 
 
