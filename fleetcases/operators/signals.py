@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcases.constants import LOOKBACK_DAYS, SIGNAL_BIN_DAYS
-from fleetcases.operators.intervals import points_in_intervals, with_bin
+from fleetcases.operators.intervals import BIN, points_in_intervals, with_bin
 
 # The source groups its count by these five case columns (not by client): a case whose asset
 # tag maps to several clients counts the days of all of them together.
@@ -48,24 +48,29 @@ def daily_last_signal(signals: DataFrame, entity: str, ts: str, since: dt.dateti
             .agg(F.max("ts").alias("last_ts")))
 
 
-def signal_days(signals: DataFrame, entity: str, ts: str) -> DataFrame:
-    """``daily_last_signal`` of all days with the bin of each day: the table to keep, bucketed by
-    (entity, bin), for ``missing_signal_days(..., reduced=True)``."""
-    return with_bin(daily_last_signal(signals, entity, ts), "day", SIGNAL_BIN_DAYS)
+PRIMARY, FALLBACK = 0, 1
 
 
-#: distances from the start held by one long of bits
-_WORD = 62
+def signal_days(primary: DataFrame, fallback: DataFrame, primary_entity: str = "client_id",
+                primary_ts: str = "created_at", fallback_entity: str = "client_resource_id",
+                fallback_ts: str = "poll_last_utc", since: tuple = (None, None), until: dt.datetime | None = None) -> DataFrame:
+    """Both signals in one table, one row per signal, entity and day: signal (``PRIMARY`` or ``FALLBACK``),
+    entity, day, last_ts and the day's bin. Kept and bucketed by ``SIGNAL_KEYS`` it serves all users
+    (``missing_signal_days(..., days=...)``). ``since`` and ``until`` prune the scans."""
+    a = daily_last_signal(primary, primary_entity, primary_ts, since[0], until)
+    b = daily_last_signal(fallback, fallback_entity, fallback_ts, since[1], until)
+    both = (a.select(F.lit(PRIMARY).alias("signal"), "entity", "day", "last_ts")
+            .unionByName(b.select(F.lit(FALLBACK).alias("signal"), "entity", "day", "last_ts")))
+    return with_bin(both, "day", SIGNAL_BIN_DAYS)
 
 
-def _bits(matches: DataFrame, key: Sequence[str], signal: str) -> DataFrame:
-    """Each match as one bit of word ``_w`` (the distance of its day from the case's start)."""
-    away = F.datediff("start_date", "day")
-    bit = F.expr(f"shiftleft(1L, pmod(datediff(start_date, day), {_WORD}))")
-    return matches.select(*key, F.lit(signal).alias("signal"), F.floor(away / _WORD).cast("int").alias("_w"), bit.alias("_bit"))
+#: what cases and signal days meet on
+SIGNAL_KEYS = ("signal", "entity", BIN)
+#: distances from the start held by one long of bits
+_WORD = 62
 
 
-def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFrame,
+def missing_signal_days(cases: DataFrame, primary: DataFrame | None, fallback: DataFrame | None,
                         first_day: dt.date, lookback: int = LOOKBACK_DAYS, strict_days: bool = False,
                         last_day: dt.date | None = None, case_key: Sequence[str] = CASE_KEY,
                         primary_entity: str = "client_id", primary_ts: str = "created_at",
@@ -73,62 +78,54 @@ def missing_signal_days(cases: DataFrame, primary: DataFrame, fallback: DataFram
                         fallback_ts: str = "poll_last_utc",
                         case_primary_entity: str = "client_id",
                         case_fallback_entity: str = "source_system_id",
-                        reduced: bool = False) -> DataFrame:
+                        days: DataFrame | None = None) -> DataFrame:
     """``case_key`` columns + ``days_with_no_heartbeat`` (may be -1 under D3).
 
     ``cases`` needs the ``case_key`` columns and both entity columns. ``last_day`` (latest case
-    start) only prunes the signal scans; it does not change the result. With ``reduced`` the two
-    signal tables are those of ``signal_days`` in place of the raw signals.
+    start) only prunes the signal scans; it does not change the result. ``days`` is the kept table of
+    ``signal_days``; without it that table is worked out from the raw signals.
     """
     key = list(case_key)
     far = lookback if strict_days else lookback + 1
+    kept = days is not None
     # an empty log has no first day: then there are no cases and no cut-off to apply
-    since = first_day
-    fb_since = first_day - dt.timedelta(days=lookback + 1) if first_day else None
-    until = dt.datetime.combine(last_day, dt.time()) if last_day else None
-
-    def per_day(signals: DataFrame, entity: str, ts: str, first: dt.date | None) -> DataFrame:
-        if reduced:
-            if first is not None:
-                signals = signals.filter(F.col("day") >= F.lit(first))
-            return signals if last_day is None else signals.filter(F.col("day") < F.lit(last_day))
-        midnight = dt.datetime.combine(first, dt.time()) if first else None
-        return daily_last_signal(signals, entity, ts, since=midnight, until=until)
-
-    # the kept tables have bins of their own width, which serve windows up to that width
-    binned = reduced and far <= SIGNAL_BIN_DAYS
-    width = SIGNAL_BIN_DAYS if binned else far
-    start = F.col("start_date")
-
-    def matches(days: DataFrame, entity: str, first: int) -> DataFrame:
-        if reduced and not binned:
-            days = days.select("entity", "day", "last_ts")
-        windows = cases.select(*key, F.col(entity).alias("entity"))
-        return points_in_intervals(windows, days, ["entity"], F.date_sub(start, first), F.date_sub(start, 1),
-                                   "day", width, binned)
-
-    hb = per_day(primary, primary_entity, primary_ts, since)
-    hb_days = matches(hb, case_primary_entity, far)
+    cut = (first_day, first_day - dt.timedelta(days=lookback + 1)) if first_day else (None, None)
+    if kept:
+        if first_day:
+            days = days.filter(F.col("day") >= F.when(F.col("signal") == PRIMARY, F.lit(cut[0])).otherwise(F.lit(cut[1])))
+        if last_day:
+            days = days.filter(F.col("day") < F.lit(last_day))
+    else:
+        midnights = tuple(dt.datetime.combine(c, dt.time()) if c else None for c in cut)
+        days = signal_days(primary, fallback, primary_entity, primary_ts, fallback_entity, fallback_ts, midnights,
+                           dt.datetime.combine(last_day, dt.time()) if last_day else None)
+    # the table's bins serve windows up to their own width; wider ones make bins of theirs
+    binned = far <= SIGNAL_BIN_DAYS
+    if not binned:
+        days = days.drop(BIN)
+    kind, start = days.schema["entity"].dataType, F.col("start_date")
+    ends = F.array(*(F.struct(F.lit(s).alias("signal"), F.col(c).cast(kind).alias("entity"), F.lit(n).alias("first"))
+                     for s, c, n in ((PRIMARY, case_primary_entity, far), (FALLBACK, case_fallback_entity, lookback))))
+    windows = cases.withColumn("_s", F.explode(ends)).select(*key, "_s.*")
+    seen = points_in_intervals(windows, days, ["signal", "entity"], F.date_sub(start, F.col("first")),
+                               F.date_sub(start, 1), "day", SIGNAL_BIN_DAYS if binned else far, binned)
     if not strict_days:
         # the farthest day counts only for a heartbeat after its midnight (ts > date)
-        edge = F.col("day") == F.date_sub("start_date", far)
-        day_start = F.col("day").cast(hb.schema["last_ts"].dataType)
-        hb_days = hb_days.filter(~edge | (F.col("last_ts") > day_start))
-    poll_days = matches(per_day(fallback, fallback_entity, fallback_ts, fb_since), case_fallback_entity, lookback)
-
-    marks = cases.select(*key, F.lit(None).cast("string").alias("signal"), F.lit(0).alias("_w"),
-                         F.lit(0).cast("long").alias("_bit"))
-    bits = _bits(hb_days, key, "primary").unionByName(_bits(poll_days, key, "fallback")).unionByName(marks)
-
-    def seen_days(name: str):
-        words = [F.bit_or(F.when((F.col("signal") == name) & (F.col("_w") == w), F.col("_bit")))
-                 for w in range(far // _WORD + 1)]
-        return [F.coalesce(F.bit_count(w), F.lit(0)) for w in words]
-
-    hb_words, poll_words = seen_days("primary"), seen_days("fallback")
-    counts = bits.groupBy(*key).agg(*(w.alias(f"_h{i}") for i, w in enumerate(hb_words)),
-                                    *(w.alias(f"_p{i}") for i, w in enumerate(poll_words)))
-    hb_seen = sum((F.col(f"_h{i}") for i in range(len(hb_words))), F.lit(0))
-    poll_seen = sum((F.col(f"_p{i}") for i in range(len(poll_words))), F.lit(0))
-    seen = F.when(hb_seen == 0, poll_seen).otherwise(hb_seen)
-    return counts.select(*key, (F.lit(lookback) - seen).cast("long").alias("days_with_no_heartbeat"))
+        edge = (F.col("signal") == PRIMARY) & (F.col("day") == F.date_sub("start_date", far))
+        seen = seen.filter(~edge | (F.col("last_ts") > F.col("day").cast(days.schema["last_ts"].dataType)))
+
+    # the days seen as bits of their distance from the start; a case without a signal keeps a mark
+    away = F.datediff("start_date", "day")
+    bit = F.expr(f"shiftleft(1L, pmod(datediff(start_date, day), {_WORD}))")
+    marks = cases.select(*key, F.lit(None).cast("int").alias("signal"), F.lit(0).alias("_w"), F.lit(0).cast("long").alias("_bit"))
+    bits = seen.select(*key, "signal", F.floor(away / _WORD).cast("int").alias("_w"), bit.alias("_bit")).unionByName(marks)
+    words = range(far // _WORD + 1)
+
+    def word(signal: int, w: int):
+        here = (F.col("signal") == signal) & (F.col("_w") == w)
+        return F.coalesce(F.bit_count(F.bit_or(F.when(here, F.col("_bit")))), F.lit(0))
+
+    counts = bits.groupBy(*key).agg(*(word(s, w).alias(f"_{s}_{w}") for s in (PRIMARY, FALLBACK) for w in words))
+    hb, polls = (sum((F.col(f"_{s}_{w}") for w in words), F.lit(0)) for s in (PRIMARY, FALLBACK))
+    n = F.when(hb == 0, polls).otherwise(hb)
+    return counts.select(*key, (F.lit(lookback) - n).cast("long").alias("days_with_no_heartbeat"))

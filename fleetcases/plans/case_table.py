@@ -17,12 +17,12 @@ CASE_TABLE_COLUMNS = (*ENRICHED_COLUMNS, "days_with_no_heartbeat")
 
 
 def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, devices: DataFrame,
-                     heartbeats: DataFrame, polls: DataFrame, as_of: dt.date, *,
+                     heartbeats: DataFrame | None, polls: DataFrame | None, as_of: dt.date, *,
                      legacy: bool = False, dedupe: bool = True, lookback: int = LOOKBACK_DAYS,
                      strict_days: bool = False, day: str = "date",
                      staged: bool = True, first_day: dt.date | None = None,
                      last_day: dt.date | None = None, span_days: int | None = None,
-                     reduced_signals: bool = False) -> DataFrame:
+                     days: DataFrame | None = None) -> DataFrame:
     """Cases -> enriched cases -> missing signal days, one row per distinct result.
 
     The gap count is attached on (asset_tag, start_date) only, as in the source (D19): where
@@ -30,8 +30,8 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
 
     The enriched cases feed four branches (two signals, the per-case marks, the final join);
     with ``staged`` they are written once to the shared folder and read back, so the log's
-    window pass runs once. ``reduced_signals``: heartbeats and polls are the kept tables of
-    ``signals.signal_days``, which are joined where they lie.
+    window pass runs once. ``days`` is the kept table of ``signals.signal_days``, which is joined
+    where it lies; heartbeats and polls are then not read.
 
     ``first_day``/``last_day`` are the log's first and last day; when both are known (a
     date-partitioned log) the aggregate over the log that finds them is skipped. That aggregate also
@@ -51,7 +51,7 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
     # in one partition of the gap aggregation
     joinable = clinic.filter(F.col("asset_tag").isNotNull() & F.col("start_date").isNotNull())
     gaps = missing_signal_days(joinable, heartbeats, polls, first_day, lookback=lookback,
-                               strict_days=strict_days, last_day=last_day, reduced=reduced_signals)
+                               strict_days=strict_days, last_day=last_day, days=days)
     return (clinic.join(gaps.select("asset_tag", "start_date", "days_with_no_heartbeat"),
                         ["asset_tag", "start_date"], "left")
             .select(*CASE_TABLE_COLUMNS)

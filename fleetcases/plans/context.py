@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from fleetcases.operators.base import installed_base
 from fleetcases.operators.events import attach_events, recently_seen_hosts
-from fleetcases.operators.intervals import BIN
 from fleetcases.operators.lookup import earliest_known, latest_known
-from fleetcases.operators.signals import signal_days
+from fleetcases.operators.signals import SIGNAL_KEYS, signal_days
 from fleetcases.plans.case_table import build_case_table
 from fleetcases.plans.sinks import as_view, materialized
+from fleetcases.plans.views import INPUTS, create_case_view
 from fleetcases.session import session_key
 from fleetcases.sources.fixtures import PARAMS, FixtureParams, Fixtures
 from fleetcases.sources.tables import input_version
@@ -46,8 +46,8 @@ class Context:
                          staged: bool = True) -> DataFrame:
         fx = self.fx
         return build_case_table(self.log(which), fx.assets, fx.accounts, fx.devices,
-                                self.heartbeat_days(), self.poll_days(), self.p.as_of, legacy=legacy,
-                                dedupe=which != "dup", staged=staged, reduced_signals=True)
+                                None, None, self.p.as_of, legacy=legacy,
+                                dedupe=which != "dup", staged=staged, days=self.signal_days())
 
     def build_reboot_cases(self, which: str = "full") -> DataFrame:
         return attach_events(self.case_table(which), self.fx.devices, self.fx.reboots,
@@ -80,20 +80,24 @@ class Context:
                                              F.min("deployment_date").alias("deployment_date"))
 
     # ---- materialised tables -------------------------------------------------------------
-    def heartbeat_days(self) -> DataFrame:
-        """Heartbeats by (client, day), bucketed by what the case tables join them on."""
-        return self._keep("heartbeat_days", lambda: signal_days(self.fx.heartbeats, "client_id", "created_at"),
-                          bucket_by=("entity", BIN))
-
-    def poll_days(self) -> DataFrame:
-        """Monitor polls by (client, day), bucketed likewise."""
-        return self._keep("poll_days", lambda: signal_days(self.fx.polls, "client_resource_id", "poll_last_utc"),
-                          bucket_by=("entity", BIN))
+    def signal_days(self) -> DataFrame:
+        """Heartbeats and polls by entity and day, bucketed by what the case tables join them on."""
+        return self._keep("signal_days", lambda: signal_days(self.fx.heartbeats, self.fx.polls), bucket_by=SIGNAL_KEYS)
 
     def case_table(self, which: str = "full", legacy: bool = False) -> DataFrame:
         """S02 (``legacy=True``: the S41 view's rule)."""
         return self._keep("case_table", lambda: self.build_case_table(which, legacy), which, legacy)
 
+    def case_view(self) -> DataFrame:
+        """S41 as the source has it: a view over the inputs, worked out at each use."""
+        tag = f"{abs(hash((self.sf_dir, self.version))):x}"
+        fx = self.fx
+        frames = dict(zip(INPUTS, (fx.issue_log, fx.assets, fx.accounts, fx.devices, fx.heartbeats, fx.polls), strict=True))
+        for name, df in frames.items():
+            as_view(df, f"fx_{name}_{tag}")
+        return create_case_view(self.spark, f"case_view_legacy_{tag}", {n: f"fx_{n}_{tag}" for n in frames},
+                                self.p.as_of, temporary=True)
+
     def reboot_cases(self, which: str = "full") -> DataFrame:
         """Reboot x case table."""
         return self._keep("reboot_cases", lambda: self.build_reboot_cases(which), which)
@@ -120,7 +124,7 @@ class Context:
         SQL over them (``spark.sql``): case_table, case_table_sparse, case_view_legacy,
         reboot_cases, host_tv, installed_base. Returns the view names."""
         views = {"case_table": self.case_table(), "case_table_sparse": self.case_table("sparse"),
-                 "case_view_legacy": self.case_table(legacy=True),
+                 "case_view_legacy": self.case_view(),
                  "reboot_cases": self.reboot_cases(), "host_tv": self.tv(),
                  "installed_base": self.base()}
         for name, df in views.items():

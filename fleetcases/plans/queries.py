@@ -78,8 +78,7 @@ def _missing_signal_days(c: Context) -> DataFrame:
                          days_inclusive("start_date", "close_date", c.p.as_of).cast("long")))
     cases = stage_table(cases, "signal_cases")     # read by three branches: build it once
     key = ("asset_id", "source_system_id", "start_date", "close_date", "case_duration")
-    return missing_signal_days(cases, c.heartbeat_days(), c.poll_days(), first, last_day=last,
-                               case_key=key, reduced=True)
+    return missing_signal_days(cases, None, None, first, last_day=last, case_key=key, days=c.signal_days())
 
 
 @query("latest_version")
@@ -122,7 +121,7 @@ def _case_key_duplicates(c: Context) -> DataFrame:
 @query("case_view_legacy")
 def _case_view_legacy(c: Context) -> DataFrame:
     """The older view, O3 in place of O2."""
-    return c.case_table(legacy=True)
+    return c.case_view()
 
 
 @query("cases_by_type_total")

@@ -61,32 +61,31 @@ def test_missing_days_of_any_lookback(spark, lookback):
                 and t.date() >= first - dt.timedelta(lookback + 1)}
         want[(tag, source, start, close, n)] = lookback - (len(hot) or len(cold))
     raw = missing_signal_days(df, hb, pl, first, lookback=lookback)
-    kept = missing_signal_days(df, signal_days(hb, "client_id", "created_at"),
-                               signal_days(pl, "client_resource_id", "poll_last_utc"), first, lookback=lookback, reduced=True)
+    kept = missing_signal_days(df, None, None, first, lookback=lookback, days=signal_days(hb, pl))
     for got in (raw, kept):
         assert {tuple(r[c] for c in key): r["days_with_no_heartbeat"] for r in got.collect()} == want
 
 
 def test_kept_signal_days_are_joined_without_an_exchange(spark):
     c = context(spark, SF_SMALL)
-    hb = c.heartbeat_days()
-    cases = c.case_table().select("asset_tag", "source_system_id", "start_date", "close_date", "case_duration", "client_id")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        windows = cases.select(F.col("client_id").alias("entity"), "start_date")
-        joined = points_in_intervals(windows, hb, ["entity"], F.date_sub("start_date", 6), F.date_sub("start_date", 1),
-                                     "day", 8, binned=True)
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        df = missing_signal_days(c.case_table(), None, None, dt.date(2024, 1, 1), days=c.signal_days())
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    # the only exchange is that of the cases: none stands between the join and the bucketed scan
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1, plan
-    assert "Bucketed: true" in plan and BIN in plan
+    scan = [i for i, line in enumerate(plan) if "fleetcases_signal_days" in line and "FileScan" in line]
+    assert len(scan) == 1 and "Bucketed: true" in plan[scan[0]] and BIN in plan[scan[0]]
+    join = max(i for i in range(scan[0]) if "SortMergeJoin" in plan[i])
+    # the join's second input comes straight from the bucketed scan; only the cases are dealt out
+    side = plan[join + 1:scan[0]]
+    assert sum("Exchange" in line for line in side) == 1, "\n".join(plan)
+    assert not any("Exchange" in line for line in side[-4:]), "\n".join(plan)
 
 
 def test_signals_are_reduced_once_per_session(spark):
     c = context(spark, SF_SMALL)
-    assert c.heartbeat_days() is context(spark, SF_SMALL).heartbeat_days()
+    assert c.signal_days() is context(spark, SF_SMALL).signal_days()
     plan = c.build_case_table()._jdf.queryExecution().executedPlan().toString()
     assert "created_at" not in plan and "poll_last_utc" not in plan      # raw signals are not scanned again
