@@ -3,7 +3,9 @@
     python -m fleetcases list
     python -m fleetcases show  <query> [sf_dir] [rows]
     python -m fleetcases write <query> <out_path> [sf_dir]
-    python -m fleetcases sql   "<Spark SQL over case_table, reboot_cases, ...>" [sf_dir]
+    python -m fleetcases sql   "<Spark SQL over case_table, reboot_cases, ...>" [sf_dir] [rows]
+
+All rows are printed, as they come, unless a number of rows is given.
 """
 
 from __future__ import annotations
@@ -13,6 +15,13 @@ import sys
 DEFAULT_DIR = "/root/testdata/sf0.01"
 
 
+def _print(df, rows: str | None) -> None:
+    """Tab-separated rows under their column names; fetched partition by partition."""
+    print("\t".join(df.columns))
+    for row in (df if rows is None else df.limit(int(rows))).toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv: list[str]) -> int:
     from fleetcases.plans.queries import QUERIES
 
@@ -27,11 +36,11 @@ def main(argv: list[str]) -> int:
     spark = get_session("local[*]")
     if cmd == "show":
         sf_dir = argv[2] if len(argv) > 2 else DEFAULT_DIR
-        QUERIES[name](spark, sf_dir).show(int(argv[3]) if len(argv) > 3 else 20, truncate=False)
+        _print(QUERIES[name](spark, sf_dir), argv[3] if len(argv) > 3 else None)
     elif cmd == "sql":
         from fleetcases.plans.context import context
         context(spark, argv[2] if len(argv) > 2 else DEFAULT_DIR).register_views()
-        spark.sql(name).show(50, truncate=False)
+        _print(spark.sql(name), argv[3] if len(argv) > 3 else None)
     elif cmd == "write":
         sf_dir = argv[3] if len(argv) > 3 else DEFAULT_DIR
         write_table(QUERIES[name](spark, sf_dir), argv[2])

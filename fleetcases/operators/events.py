@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcases.constants import (CASE_DEVICE_TYPE, DONE_STATUSES, LINUX_PLAYER_TYPE,
@@ -100,7 +100,8 @@ def attach_events(cases: DataFrame, devices: DataFrame, reboots: DataFrame, as_o
 def first_case_after_event(attached: DataFrame) -> DataFrame:
     """Per (asset, reboot day), the earliest case that starts strictly later.
 
-    A forward as-of match expressed as a grouped minimum: no sort of whole assets.
+    A forward as-of match expressed as a grouped minimum, over the rows of O22. ``next_case_after``
+    gives the same without them.
     """
     return (attached.filter(F.col("days_btw_reboot_new_case") > 0)
             .groupBy("asset_tag", "reboot_date").agg(F.min("start_date").alias("start_date"))
@@ -108,37 +109,80 @@ def first_case_after_event(attached: DataFrame) -> DataFrame:
                         day_diff("reboot_date", "start_date").cast("long")))
 
 
-def repeat_after_event(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
-    """The O23 matches that count as a repeat case.
+def next_case_after(cases: DataFrame, devices: DataFrame, reboots: DataFrame,
+                    device_type: str = CASE_DEVICE_TYPE) -> DataFrame:
+    """O23 without O22: a forward as-of match on one merged timeline per asset.
 
-    An asset with one reboot day keeps its match; an asset with several keeps a match only
-    when the case starts fewer than ``horizon`` days after the reboot (D27).
+    Case starts and reboot days (each once) are one stream per asset, read from the last day back: a
+    reboot takes the start seen last, which is the first one after it; on one day the reboot is read before
+    the case, so the match is strictly later (D26). Rows: one per different start and reboot day, no case
+    x reboot pairs. Returns asset_tag, reboot_date, start_date, days_btw_reboot_new_case and ``reboots``
+    (reboot days of the asset).
     """
+    starts = (cases.filter((F.col("device_type") == device_type) & F.col("asset_tag").isNotNull())
+              .select("asset_tag", "start_date").distinct())
+    owners = devices.select(F.col("asset_id").alias("asset_tag"), F.col("client_id").alias("_client")).distinct()
+    days = (reboots.select(F.col("client_id").alias("_client"), event_day("reboot_time").alias("reboot_date"))
+            .filter(F.col("reboot_date").isNotNull()).distinct()
+            .join(owners, "_client").select("asset_tag", "reboot_date").distinct())
+    line = (starts.select("asset_tag", F.col("start_date").alias("_day"), "start_date", F.lit(None).cast("date").alias("reboot_date"))
+            .unionByName(days.select("asset_tag", F.col("reboot_date").alias("_day"), F.lit(None).cast("date").alias("start_date"),
+                                     "reboot_date")))
+    back = Window.partitionBy("asset_tag").orderBy(F.col("_day").desc(), F.col("reboot_date").isNull())
+    whole = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = (line.withColumn("start_date", F.last("start_date", ignorenulls=True).over(
+                  back.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("reboots", F.count("reboot_date").over(whole)))
+    return (merged.filter(F.col("reboot_date").isNotNull() & F.col("start_date").isNotNull())
+            .select("asset_tag", "reboot_date", "start_date",
+                    day_diff("reboot_date", "start_date").cast("long").alias("days_btw_reboot_new_case"), "reboots"))
+
+
+def _counts_as_repeat(first: DataFrame, horizon: int) -> DataFrame:
+    """O24's rule: an asset with one reboot day keeps its match; an asset with several keeps a match only
+    when the case starts fewer than ``horizon`` days after the reboot (D27)."""
+    n = F.col("reboots")
+    return first.filter((n == 1) | ((n > 1) & (F.col("days_btw_reboot_new_case") < horizon)))
+
+
+def repeat_after_event(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
+    """The O23 matches that count as a repeat case."""
     reboots = (attached.groupBy("asset_tag")
                .agg(F.count_distinct("reboot_date").alias("reboots")))
-    first = first_case_after_event(attached).join(reboots, "asset_tag", "inner")
-    n = F.col("reboots")
-    keep = (n == 1) | ((n > 1) & (F.col("days_btw_reboot_new_case") < horizon))
-    return first.filter(keep)
+    return _counts_as_repeat(first_case_after_event(attached).join(reboots, "asset_tag", "inner"), horizon)
 
 
-def repeat_histogram(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
-    """Devices and cases by days from reboot to the next case."""
-    rep = repeat_after_event(attached, horizon)
-    per_dev = rep.groupBy("days_btw_reboot_new_case", "asset_tag").agg(
+def repeat_cases(cases: DataFrame, devices: DataFrame, reboots: DataFrame, horizon: int = REPEAT_HORIZON_DAYS,
+                 device_type: str = CASE_DEVICE_TYPE) -> DataFrame:
+    """O24 by the merged timeline: the rows of ``repeat_after_event``, without the table of O22."""
+    return _counts_as_repeat(next_case_after(cases, devices, reboots, device_type), horizon)
+
+
+def histogram_of(repeats: DataFrame) -> DataFrame:
+    """S23 over the rows of O24: devices and cases by days from reboot to the next case."""
+    per_dev = repeats.groupBy("days_btw_reboot_new_case", "asset_tag").agg(
         F.count_distinct("start_date").alias("_n"))
     return per_dev.groupBy("days_btw_reboot_new_case").agg(
         F.count("asset_tag").alias("device_cnt"), F.sum("_n").cast("long").alias("case_cnt"))
 
 
-def repeat_totals(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
-    """Devices and cases with a repeat case."""
-    rep = repeat_after_event(attached, horizon)
-    per_dev = rep.groupBy("asset_tag").agg(F.count_distinct("start_date").alias("_n"))
+def totals_of(repeats: DataFrame) -> DataFrame:
+    """S32 over the rows of O24: devices and cases with a repeat case."""
+    per_dev = repeats.groupBy("asset_tag").agg(F.count_distinct("start_date").alias("_n"))
     return per_dev.agg(F.count("asset_tag").alias("device_cnt"),
                        F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("case_cnt"))
 
 
+def repeat_histogram(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
+    """S23 from the table of O22."""
+    return histogram_of(repeat_after_event(attached, horizon))
+
+
+def repeat_totals(attached: DataFrame, horizon: int = REPEAT_HORIZON_DAYS) -> DataFrame:
+    """S32 from the table of O22."""
+    return totals_of(repeat_after_event(attached, horizon))
+
+
 def distinct_per(df: DataFrame, dims: Sequence[str], key: str, name: str = "device_cnt") -> DataFrame:
     """Distinct ``key`` values per ``dims`` (or overall): the counting step of O25."""
     return df.groupBy(*dims).agg(F.count_distinct(key).alias(name))
@@ -155,11 +199,29 @@ def event_profile(events: DataFrame, dims: Sequence[str] = (), key: str = "asset
     return distinct_per(events, dims, key, name)
 
 
+def cohort_masks(df: DataFrame, key: str, cohorts: Sequence[Column], out: str | None = None) -> DataFrame:
+    """Cohort algebra in one scan: per key the bits of the cohorts that any of its rows belongs to (bit
+    i: condition i). The or-ing is partial in every task, so one row per key and task moves."""
+    bits = [F.when(F.coalesce(c, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(cohorts)]
+    mask = bits[0]
+    for b in bits[1:]:
+        mask = mask.bitwiseOR(b)
+    return (df.select(F.col(key).alias(out or key), mask.alias("mask")).filter("mask <> 0")
+            .groupBy(out or key).agg(F.bit_or("mask").alias("mask")))
+
+
+def in_all(masks: DataFrame, n: int) -> DataFrame:
+    """Keys that belong to all ``n`` cohorts."""
+    return masks.filter(F.col("mask") == (1 << n) - 1).drop("mask")
+
+
 def cohort_overlap(a: DataFrame, b: DataFrame, key: str, out: str | None = None) -> DataFrame:
-    """Distinct keys present in both sets (INTERSECT: a distinct semi join)."""
-    left = a.select(F.col(key).alias(out or key))
-    right = b.select(F.col(key).alias(out or key))
-    return left.intersect(right)
+    """Distinct keys present in both sets (INTERSECT, a null key counts as equal to a null key), as
+    one or-ed bit mask per key over both."""
+    name = out or key
+    both = (a.select(F.col(key).alias(name), F.lit(0).alias("side"))
+            .unionByName(b.select(F.col(key).alias(name), F.lit(1).alias("side"))))
+    return in_all(cohort_masks(both, name, [F.col("side") == 0, F.col("side") == 1]), 2)
 
 
 def span_overlap_check(attached: DataFrame) -> DataFrame:

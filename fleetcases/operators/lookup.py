@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcases.constants import EXCLUDED_VERSION_PATTERNS
@@ -19,17 +19,19 @@ def latest_known(history: DataFrame, key: str, value: str, order: str,
 
     Values matching any ``exclude_like`` pattern are ignored. A null ``order`` counts as the
     latest (descending order puts nulls first, D8); rows tied on ``order`` resolve to the
-    greatest value (D18). One partial/final aggregate: each task sends at most one row per key
-    to the shuffle, so a key with a long history never lands whole in one task.
+    greatest value (D18). Two steps: a hash aggregate, partial in every task, brings the history to one
+    row per key and value with its latest order; then the first of a key's few values is taken. The
+    history itself is never sorted, and a key with a long history never lands whole in one task.
     """
     v = F.col(value)
     keep = v.isNotNull()
     for pattern in exclude_like:
         keep = keep & ~v.like(pattern)
-    rank = F.struct(F.col(order).isNull(), F.col(order), v)
-    return (history.filter(keep)
-            .groupBy(F.col(key).alias(out_key or key))
-            .agg(F.max_by(v, rank).alias(out_value or value)))
+    per_value = (history.filter(keep).groupBy(F.col(key).alias("_key"), v.alias("_value"))
+                 .agg(F.max(F.col(order).isNull()).alias("_open"), F.max(order).alias("_order")))
+    first = Window.partitionBy("_key").orderBy(F.col("_open").desc(), F.col("_order").desc(), F.col("_value").desc())
+    return (per_value.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
+            .select(F.col("_key").alias(out_key or key), F.col("_value").alias(out_value or value)))
 
 
 def earliest_known(history: DataFrame, key: str, date: str, out_key: str | None = None,

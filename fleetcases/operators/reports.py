@@ -54,26 +54,28 @@ def devices_and_missing(df: DataFrame, dim: str = "device_type", device: str = "
     """Devices and devices with a missing-signal case, per ``dim`` and overall.
 
     Plain aggregates instead of distinct counts over grouping sets (which copy every row once
-    per set and per distinct expression): one row per (dim, device) with a missing flag, counted
-    per dim; and one row per device, counted for the total, so a device seen under two ``dim``
-    values still counts once there. The total row is told apart by its own branch (D7).
+    per set and per distinct expression): one row per (dim, device) with a missing flag out of one scan,
+    then these few rows stand for their dim and for the total, and each device counts once in either, so a
+    device seen under two ``dim`` values is one of the total. The total row is told apart by its own
+    mark (D7).
     """
     miss = F.max(F.when(F.col(gap) > 0, 1).otherwise(0))
-    known = F.col(device).isNotNull()
-
-    def counts(frame: DataFrame, *keys: str) -> DataFrame:
-        return frame.groupBy(*keys).agg(
-            F.count(device).alias("total_devices"),
-            F.sum(F.when(known, F.col("_miss")).otherwise(0)).cast("long").alias("heartbeat_missing"))
-
+    label = F.col(dim).cast("string")
     per_dim = df.groupBy(dim, device).agg(miss.alias("_miss"))
-    per_device = per_dim.groupBy(device).agg(F.max("_miss").alias("_miss"))
-    groups = counts(per_dim, dim).select(F.col(dim).cast("string").alias(dim),
-                                         "total_devices", "heartbeat_missing")
-    total = counts(per_device).select(F.lit(total_label).alias(dim), "total_devices",
-                                      "heartbeat_missing")
-    return _with_share(groups.unionByName(total).distinct(), "heartbeat_missing",
-                       "total_devices", with_share)
+    sets = F.array(F.struct(F.lit(False).alias("_total"), label.alias(dim)),
+                   F.struct(F.lit(True).alias("_total"), F.lit(total_label).alias(dim)))
+    both = per_dim.select(device, "_miss", F.explode(sets).alias("_s")).select(device, "_miss", "_s.*")
+    known = F.col(device).isNotNull()
+    out = (both.groupBy("_total", dim, device).agg(F.max("_miss").alias("_miss"))
+           .groupBy("_total", dim).agg(
+               F.count(device).alias("total_devices"),
+               F.sum(F.when(known, F.col("_miss")).otherwise(0)).cast("long").alias("heartbeat_missing")))
+    # an empty table has a total row too
+    none = df.sparkSession.range(1).select(F.lit(True).alias("_total"), F.lit(total_label).alias(dim),
+                                           F.lit(0).cast("long").alias("total_devices"), F.lit(0).cast("long").alias("heartbeat_missing"))
+    out = (out.unionByName(none).groupBy("_total", dim)
+           .agg(F.max("total_devices").alias("total_devices"), F.max("heartbeat_missing").alias("heartbeat_missing")))
+    return _with_share(out.drop("_total").distinct(), "heartbeat_missing", "total_devices", with_share)
 
 
 def frequency_of_counts(df: DataFrame, key: str = "asset_tag", counted: str = "start_date",

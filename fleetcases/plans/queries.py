@@ -257,22 +257,27 @@ def _s22(c: Context) -> DataFrame:
     return c.reboot_cases()
 
 
+def _repeats(c: Context, horizon: int) -> DataFrame:
+    """O24 on the merged timeline of cases and reboots (no reboot x case table)."""
+    return E.repeat_cases(c.case_table(), c.fx.devices, c.fx.reboots, horizon)
+
+
 @query("reboot_gap_hist", order=('days_btw_reboot_new_case',))
 def _s23(c: Context) -> DataFrame:
     """Repeat devices and cases by days from reboot to the next case."""
-    return E.repeat_histogram(c.reboot_cases(), c.p.horizon)
+    return E.histogram_of(_repeats(c, c.p.horizon))
 
 
 @query("reboot_gap_hist_31", order=('days_btw_reboot_new_case',))
 def _s23_31(c: Context) -> DataFrame:
     """S23 at the source's horizon of 31 days."""
-    return E.repeat_histogram(c.reboot_cases(), 31)
+    return E.histogram_of(_repeats(c, 31))
 
 
 @query("repeat_after_reboot_31")
 def _s32_31(c: Context) -> DataFrame:
     """S32 at the source's horizon of 31 days."""
-    return E.repeat_totals(c.reboot_cases(), 31)
+    return E.totals_of(_repeats(c, 31))
 
 
 @query("reboot_flag_frequency", order=('-reboots',))
@@ -281,8 +286,9 @@ def _s24(c: Context) -> DataFrame:
     return R.frequency_of_sums(c.reboot_cases(), "asset_tag", "reboot_flag", "reboots")
 
 
-def _reboot_ids(c: Context, cond) -> DataFrame:
-    return c.fx.reboots.filter(cond).select("asset_id")
+def _rebooted_in_all(c: Context, *cohorts) -> DataFrame:
+    """Assets rebooted in each of several cohorts of reboots: one scan of the extract."""
+    return E.in_all(E.cohort_masks(c.fx.reboots, "asset_id", cohorts), len(cohorts))
 
 
 @query("reboot_both_days")
@@ -290,7 +296,7 @@ def _s25(c: Context) -> DataFrame:
     """Assets rebooted on both of two days."""
     p1, p2 = c.p.reboot_day_patterns
     t = F.col("reboot_time")
-    return E.cohort_overlap(_reboot_ids(c, t.like(p1)), _reboot_ids(c, t.like(p2)), "asset_id")
+    return _rebooted_in_all(c, t.like(p1), t.like(p2))
 
 
 @query("rebooted_assets")
@@ -330,14 +336,13 @@ def _s30(c: Context) -> DataFrame:
 def _s31(c: Context) -> DataFrame:
     """Assets rebooted in both waves."""
     t = F.col("reboot_time")
-    return E.cohort_overlap(_reboot_ids(c, t.isin(*c.p.first_wave_times)),
-                            _reboot_ids(c, t.isin(*c.p.second_wave_times)), "asset_id")
+    return _rebooted_in_all(c, t.isin(*c.p.first_wave_times), t.isin(*c.p.second_wave_times))
 
 
 @query("repeat_after_reboot")
 def _s32(c: Context) -> DataFrame:
     """Devices and cases with a repeat case after a reboot."""
-    return E.repeat_totals(c.reboot_cases(), c.p.horizon)
+    return E.totals_of(_repeats(c, c.p.horizon))
 
 
 @query("reboot_span_qc")
