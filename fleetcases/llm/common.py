@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,12 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text"):
             F.xxhash64(F.col(text_col)).alias("th"))
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row`` (all columns of the table as one struct, so that none clashes with an operator's own),
+    did and th."""
+    return docs.select(F.struct("*").alias("row"), *doc_key(id_col, text_col))
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts: one column-pruned pass, one number to the driver."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0)
@@ -65,11 +72,12 @@ def n_blocks(spark: SparkSession, n_bytes: int, per_block: int = 8 << 20) -> int
     return max(least, -(-n_bytes // per_block)) | 1
 
 
-def block_of(did, n: int):
-    """Block of a document id; numpy and Spark give the same number."""
+def block_of(did, th, n: int):
+    """Block of a document, told by its id and its text's hash (rows that share an id spread); numpy and
+    Spark give the same number."""
     if isinstance(did, np.ndarray):
-        return (did ^ (did >> 17)) % n
-    return F.pmod(did.bitwiseXOR(F.shiftright(did, 17)), F.lit(n)).cast("long")
+        return (did ^ (did >> 17) ^ th) % n
+    return F.pmod(did.bitwiseXOR(F.shiftright(did, 17)).bitwiseXOR(th), F.lit(n)).cast("long")
 
 
 def slices_of(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -107,26 +115,24 @@ def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-class WordHash:
-    """64-bit hash of each word of a text (ASCII white space separates words). Words met before
-    come from a table that is emptied when it is large."""
-
-    def __init__(self, limit: int = 150_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' hashes, one after the other, and the number of words of each text."""
-        words = [t.split() if t else [] for t in texts]
-        known, h = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > self.limit:
-            known.clear()
-        for w in words:
-            for x in set(w).difference(known):
-                known[x] = h(x)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter((known[x] for w in words for x in w), np.uint64, int(counts.sum()))
-        return flat, counts
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (ASCII white space separates them), one after the other, and where each
+    text's words begin and end; null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = pc.greater(pc.binary_length(flat), 0)        # outer white space leaves empty pieces
+    kept = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return flat.filter(real), kept[offsets]
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, one after the other, and the number of words of each text; each
+    different word is hashed once."""
+    flat, bounds = split_words(pa.array(texts, pa.binary()))
+    coded = flat.dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return known[coded.indices.to_numpy()], np.diff(bounds)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -36,22 +36,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcases.llm.common import slices_of
+from fleetcases.llm.common import slices_of, split_words
 
 LEAST, TIMES = 24, 3
 SCHEMA = ("doc_id long, n_words long, runs array<struct<start: long, length: long, period: long>>, "
           "collapsed string")
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts, one after the other, and where each text's words begin and end."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    real = pc.greater(pc.binary_length(flat), 0)        # outer white space leaves empty pieces
-    kept = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
-    return flat.filter(real), kept[offsets]
-
-
 def guaranteed(least: int, times: int) -> int:
     """Places of its diagonal on which every run has equal words, at least."""
     return min(max(least - q, (times - 1) * q) for q in range(1, least + 1))
