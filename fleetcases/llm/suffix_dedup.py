@@ -12,9 +12,10 @@ else (another document or the same one) is removed, all occurrences alike.
    8 bytes, then by the bucket of the suffix 8 bytes on, then 16, 32 and 64 on, each time
    with the buckets just made, until the buckets stand for the first ``width`` bytes. Suffixes alone
    in their bucket leave. What shares a bucket in the end is a repeated string.
-4. A gram in very many stretches (``HOT``) is not gathered: its windows are grouped one by one by
-   a 96-bit hash, which spreads them evenly and lets each batch send a frequent one once.
-5. Found intervals go back to their documents by blocks of document ids.
+4. Windows whose gram is in very many stretches (``HOT``) select once more, the least among the grams
+   that are not: the pair names their bucket. A passage that very many texts share then is one stretch,
+   sent once by each batch, and what stands around it parts at once.
+5. Found intervals go back to their documents by blocks of document ids and text hashes.
 
 Results for odd input: null text counts as empty (n_bytes 0, nothing removed, no spans); texts
 shorter than ``width`` bytes lose nothing; a null doc_id is a document like any other and comes back
@@ -30,21 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcases.llm import sketch
 from fleetcases.llm.common import (NULL_ID, U, arrow_batches, binary_list, block_of, doc_key, least_pieces,
-                                   longs, n_blocks, pack, pair_hash, runs, slices, text_bytes, unpack,
-                                   windows_hash)
+                                   longs, mix, n_blocks, pack, pair_hash, runs, slices, sliding_min, text_bytes, unpack)
 
 WIDTH, GRAM = 200, 32
-#: a gram estimated in more stretches than this is grouped window by window
+#: stretches from which on a gram names a bucket only together with a second one
 HOT = 4096
-STRETCH, WINDOW, FOUND = 0, 1, 2
-_SENT = "kind long, block long, c0 binary, c1 binary, c2 binary, did binary, tag binary, pos binary"
+_SENT = "block long, body binary, lens binary, which binary, did binary, tag binary, pos binary"
 _FOUND = "block long, did binary, tag binary, lo binary, hi binary"
 
 
@@ -57,30 +55,20 @@ def words_at(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(x: np.ndarray) -> np.ndarray:
-    return windows_hash_bytes(x, GRAM, 3)
-
-
-def windows_hash_bytes(x: np.ndarray, width: int, salt: int) -> np.ndarray:
-    """Hash of every ``width`` (a multiple of 8) consecutive bytes."""
-    if len(x) < width:
+    """Hash of every ``GRAM`` bytes: their four words, weighted and mixed. Strings of equal hash are told
+    apart by their bytes in the end, so a collision costs time alone."""
+    if len(x) < GRAM:
         return np.zeros(0, np.uint64)
-    h, size = words_at(x), 8
-    out, done = None, 0
-    while True:
-        if width & size:
-            if out is None:
-                out, done = h, size
-            else:
-                m = len(x) - done - size + 1
-                out, done = pair_hash(out[:m], h[done:done + m], salt + size), done + size
-        if done == width:
-            return out[:len(x) - width + 1]
-        h = pair_hash(h[:-size], h[size:], salt + 5 * size)
-        size *= 2
+    w = words_at(x)
+    n = len(x) - GRAM + 1
+    h = w[:n] * U(0x9E3779B97F4A7C15)
+    for at, factor in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
+        h += w[at:at + n] * U(factor)
+    return mix(h)
 
 
 def _selected(x: np.ndarray, counts: np.ndarray, width: int):
-    """Key of each window of the slice, which windows lie in one text, and the grams to count."""
+    """Key of each window of the slice, which windows lie in one text, the grams to count, and all grams."""
     n = len(x) - width + 1
     if n <= 0 or not (counts >= width).any():
         return None
@@ -92,7 +80,27 @@ def _selected(x: np.ndarray, counts: np.ndarray, width: int):
     valid = np.cumsum(valid[:n]).astype(bool)
     grams = _grams(x)
     keys, used = least_pieces(grams, n, valid)
-    return keys, valid, grams[used]
+    return keys, valid, grams[used], grams
+
+
+def _second(keys: np.ndarray, valid: np.ndarray, grams: np.ndarray, hot, cells: int) -> np.ndarray:
+    """Keys in which windows with a hot gram are named by it and the least gram that is not hot."""
+    busy = np.zeros(len(keys), bool)
+    at = np.flatnonzero(valid)
+    head = np.append(True, keys[at[1:]] != keys[at[:-1]])
+    run = np.cumsum(head) - 1
+    busy[at] = sketch.reaches(hot, keys[at[head]], cells)[run]
+    if not busy.any():
+        return keys
+    span = len(grams) - len(keys) + 1
+    step = np.zeros(len(grams) + 1, np.int64)
+    np.add.at(step, np.flatnonzero(busy), 1)
+    np.add.at(step, np.flatnonzero(busy) + span, -1)
+    near = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    rest = np.full(len(grams), ~U(0))
+    cold = near[~sketch.reaches(hot, grams[near], cells)]
+    rest[cold] = grams[cold]
+    return np.where(busy, pair_hash(keys, sliding_min(rest, span), 41), keys)
 
 
 def _slice(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,126 +122,82 @@ def _sketch_rows(docs: DataFrame, cells: int, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(rows, sketch.ROWS_SCHEMA)
 
 
-def _intervals(d, t, p, width: int):
-    """Starts to intervals (did, tag, lo, hi), joined where they touch. Sorted by all four."""
-    order = np.lexsort((p, t, d))
-    d, t, p = d[order], t[order], p[order].astype(np.int64)
-    if not len(p):
-        return d, t, p, p
-    new = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + width))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(p)) - 1
-    return d[first], t[first], p[first], p[last] + width
-
-
 def _sent(docs: DataFrame, bits, hot, cells: int, blocks: int, width: int) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((bits, hot))
-    names = ["c0", "c1", "c2", "did", "tag", "pos"]
-    schema = pa.schema([("kind", pa.int64()), ("block", pa.int64())] + [(c, pa.binary()) for c in names])
+    names = ["body", "lens", "which", "did", "tag", "pos"]
+    schema = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in names])
     most = width - GRAM + 1
 
     def send(it: Iterator[pa.RecordBatch]):
         bits, hot = shared.value
 
         def one(batch):
-            texts, did = binary_list(batch, "text"), longs(batch, "did")
-            tag = (longs(batch, "th") & 0xFFFF).astype(np.uint16)
-            at_once: dict[bytes, int] = {}          # a stretch met in this batch -> its number
+            texts, did, tag = binary_list(batch, "text"), longs(batch, "did"), longs(batch, "th")
+            number: dict[bytes, int] = {}           # a stretch met in this batch -> its number
             whole: list[bytes] = []
-            keys_of: list[int] = []
-            occ: list[tuple[int, int, int]] = []    # (stretch, document, start)
-            windows = []
+            blocks_of, which, docs_of, starts = [], [], [], []
             for lo, hi in slices(texts):
                 x, counts = _slice(texts[lo:hi])
                 if not (got := _selected(x, counts, width)):
                     continue
-                keys, valid, _ = got
+                keys, valid, _, grams = got
                 first = np.cumsum(counts) - counts
                 at = np.flatnonzero(valid)
+                at = at[_repeated(keys, at, bits, cells)]
+                if not len(at):
+                    continue
+                keep = np.zeros(len(keys), bool)
+                keep[at] = True
+                keys = _second(keys, keep, grams, hot, cells)
                 doc = np.searchsorted(first + counts, at, "right")
-                new = np.append(True, (keys[at[1:]] != keys[at[:-1]]) | (doc[1:] != doc[:-1]))
+                new = np.append(True, (keys[at[1:]] != keys[at[:-1]]) | (doc[1:] != doc[:-1]) | (np.diff(at) != 1))
                 begin = np.flatnonzero(new)
                 size = np.diff(np.append(begin, len(at)))
                 begin, doc = at[begin], doc[begin]
-                keep = sketch.reaches(bits, keys[begin], cells)
-                begin, size, doc = begin[keep], size[keep], doc[keep]
-                if not len(begin):
-                    continue
                 parts = -(-size // most)             # periodic text: pieces of at most ``most`` windows
                 step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 left = np.repeat(size, parts) - step * most
                 begin, doc = np.repeat(begin, parts) + step * most, np.repeat(doc, parts)
                 size = np.minimum(left, most)
-                key = keys[begin]
-                busy = sketch.reaches(hot, key, cells)
                 raw = x.tobytes()
-                for b, n, d, k in zip(begin[~busy].tolist(), size[~busy].tolist(), doc[~busy].tolist(),
-                                      key[~busy].tolist(), strict=True):
-                    piece = raw[b:b + n + width - 1]
-                    i = at_once.setdefault(xxhash.xxh3_128_digest(piece), len(whole))
-                    if i == len(whole):
-                        whole.append(piece)
-                        keys_of.append(k)
-                    occ.append((i, lo + d, b - int(first[d])))
-                if busy.any():
-                    s = np.repeat(begin[busy], size[busy]) + (
-                        np.arange(size[busy].sum()) - np.repeat(np.cumsum(size[busy]) - size[busy], size[busy]))
-                    d = np.repeat(doc[busy], size[busy])
-                    a, b = windows_hash_bytes(x, width, 29), windows_hash_bytes(x, width, 71)
-                    windows.append((a[s], (b[s] >> U(32)).astype(np.uint32), lo + d, s - first[d]))
-            out = {c: [] for c in schema.names}
-
-            def add(kind, block, values):
-                out["kind"].append(kind)
-                out["block"].append(int(block))
-                for c, v in zip(names, values, strict=True):
-                    out[c].append(v)
-
-            if whole:
-                k = np.array(keys_of, np.uint64)
-                o = np.array(occ, np.int64)
-                block = (k % U(blocks)).astype(np.int64)
-                by = np.argsort(block, kind="stable")
-                o = o[np.argsort(block[o[:, 0]], kind="stable")]
-                ends = np.searchsorted(block[o[:, 0]], block[by], "right")
-                at = 0
-                for lo, hi in runs(block[by]):
-                    own, to = by[lo:hi], ends[lo]
-                    mine = o[at:to]
-                    at = to
-                    local = np.empty(len(whole), np.uint32)
-                    local[own] = np.arange(len(own))
-                    add(STRETCH, block[own[0]], (
-                        pack(np.frombuffer(b"".join(whole[i] for i in own), np.uint8)),
-                        pack(np.array([len(whole[i]) for i in own], np.uint32)),
-                        pack(local[mine[:, 0]]), pack(did[mine[:, 1]]), pack(tag[mine[:, 1]]),
-                        pack(mine[:, 2].astype(np.uint32))))
-            if windows:
-                a, b, d, p = map(np.concatenate, zip(*windows, strict=True))
-                order = np.lexsort((b, a))
-                a, b, d, p = a[order], b[order], d[order], p[order]
-                start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                n = np.diff(np.append(start, len(a)))
-                again = np.repeat(n > 1, n)
-                lead = np.zeros(len(a), bool)
-                lead[start] = True
-                block = (a % U(blocks)).astype(np.int64)
-                pick = np.flatnonzero(lead)
-                pick = pick[np.argsort(block[pick], kind="stable")]
-                for lo, hi in runs(block[pick]):
-                    i = pick[lo:hi]
-                    add(WINDOW, block[i[0]], (pack(a[i]), pack(b[i]), pack(again[i].astype(np.uint8)),
-                                              pack(did[d[i]]), pack(tag[d[i]]), pack(p[i].astype(np.uint32))))
-                rest = again & ~lead
-                if rest.any():
-                    e, t, s, h = _intervals(did[d[rest]], tag[d[rest]], p[rest], width)
-                    add(FOUND, batch.num_rows % blocks, (pack(h), b"", b"", pack(e), pack(t), pack(s)))
-            return out if out["kind"] else None
+                pieces = [raw[b:e] for b, e in zip(begin.tolist(), (begin + size + width - 1).tolist(), strict=True)]
+                known = len(whole)
+                which.append(np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces)))
+                fresh = np.flatnonzero(which[-1] >= known)
+                fresh = fresh[np.unique(which[-1][fresh], return_index=True)[1]]
+                whole += [pieces[i] for i in fresh.tolist()]
+                blocks_of.append((keys[begin[fresh]] % U(blocks)).astype(np.int64))
+                docs_of.append(lo + doc)
+                starts.append(begin - first[doc])
+            if not whole:
+                return None
+            block, which = np.concatenate(blocks_of), np.concatenate(which)
+            doc, start = np.concatenate(docs_of), np.concatenate(starts).astype(np.uint32)
+            by, order = np.argsort(block, kind="stable"), np.argsort(block[which], kind="stable")
+            ends = np.searchsorted(block[which][order], block[by], "right")
+            out, at = {c: [] for c in schema.names}, 0
+            local = np.empty(len(whole), np.uint32)
+            for lo, hi in runs(block[by]):
+                own, mine = by[lo:hi], order[at:ends[lo]]
+                at = ends[lo]
+                local[own] = np.arange(len(own))
+                out["block"].append(int(block[own[0]]))
+                for c, v in zip(names, (np.frombuffer(b"".join(whole[i] for i in own), np.uint8),
+                                        np.array([len(whole[i]) for i in own], np.uint32), local[which[mine]],
+                                        did[doc[mine]], tag[doc[mine]], start[mine]), strict=True):
+                    out[c].append(pack(v))
+            return out
         yield from arrow_batches(one, it, schema)
     return docs.mapInArrow(send, _SENT)
 
 
+def _repeated(keys: np.ndarray, at: np.ndarray, bits, cells: int) -> np.ndarray:
+    """Which of the windows ``at`` have a gram estimated in two stretches or more (asked once a run)."""
+    head = np.append(True, keys[at[1:]] != keys[at[:-1]])
+    return sketch.reaches(bits, keys[at[head]], cells)[np.cumsum(head) - 1]
+
+
 def refine(x: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     """Positions of ``x`` at which a string of ``width`` bytes starts that also starts elsewhere.
 
@@ -270,24 +234,10 @@ def refine(x: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
 
 
 def _search(pdf: pd.DataFrame, blocks: int, width: int) -> pd.DataFrame:
-    kind = int(pdf["kind"].iloc[0])
     cat = lambda c, k: np.concatenate([unpack(v, k) for v in pdf[c]])
-    did, tag, pos = cat("did", np.int64), cat("tag", np.uint16), cat("pos", np.int64 if kind == FOUND else np.uint32)
-    pos = pos.astype(np.int64)
-    if kind == FOUND:
-        d, t, lo, hi = did, tag, pos, cat("c0", np.int64)
-    elif kind == WINDOW:
-        a, b, again = cat("c0", np.uint64), cat("c1", np.uint32), cat("c2", np.uint8)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        n = np.diff(np.append(start, len(a)))
-        often = np.add.reduceat(again[order].astype(np.int64) + 1, start) > 1
-        keep = order[np.repeat(often, n)]
-        d, t, lo, hi = _intervals(did[keep], tag[keep], pos[keep], width)
-    else:
-        d, t, lo, hi = _stretches(pdf, did, tag, pos, cat, width)
-    block = block_of(d, blocks)
+    did, tag, pos = cat("did", np.int64), cat("tag", np.int64), cat("pos", np.uint32).astype(np.int64)
+    d, t, lo, hi = _stretches(pdf, did, tag, pos, width)
+    block = block_of(d, t, blocks)
     order = np.lexsort((lo, t, d, block))
     d, t, lo, hi, block = d[order], t[order], lo[order], hi[order], block[order]
     cut = runs(block)
@@ -296,21 +246,16 @@ def _search(pdf: pd.DataFrame, blocks: int, width: int) -> pd.DataFrame:
                             for c, v in (("did", d), ("tag", t), ("lo", lo), ("hi", hi))}})
 
 
-def _stretches(pdf: pd.DataFrame, did, tag, pos, cat, width: int):
+def _stretches(pdf: pd.DataFrame, did, tag, pos, width: int):
     """Found intervals of the stretches of one block."""
     number: dict[bytes, int] = {}
-    whole: list[bytes] = []
     which = []
-    for body, lens, idx in zip(pdf["c0"], pdf["c1"], pdf["c2"], strict=True):
-        raw, at, own = unpack(body, np.uint8).tobytes(), 0, []
-        for n in unpack(lens, np.uint32).tolist():
-            piece = raw[at:at + n]
-            at += n
-            i = number.setdefault(piece, len(whole))
-            if i == len(whole):
-                whole.append(piece)
-            own.append(i)
-        which.append(np.array(own, np.int64)[unpack(idx, np.uint32)])
+    for body, lens, idx in zip(pdf["body"], pdf["lens"], pdf["which"], strict=True):
+        raw, cuts = unpack(body, np.uint8).tobytes(), np.append(0, np.cumsum(unpack(lens, np.uint32), dtype=np.int64)).tolist()
+        pieces = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        own = np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
+        which.append(own[unpack(idx, np.uint32)])
+    whole = list(number)
     which = np.concatenate(which)
     times = np.bincount(which, minlength=len(whole))
     size = np.fromiter(map(len, whole), np.int64, len(whole))
@@ -352,22 +297,20 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     src = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
     cells = sketch.cells_for(total // 85)
     bits, hot = sketch.merge(_sketch_rows(src, cells, width), cells, (2, HOT))
-    found = (_sent(src, bits, hot, cells, blocks, width)
-             .withColumn("lot", F.when(F.col("kind") == FOUND, F.xxhash64("did")).otherwise(F.lit(0)))
-             .groupBy("kind", "block", "lot")
+    found = (_sent(src, bits, hot, cells, blocks, width).groupBy("block")
              .applyInPandas(lambda pdf: _search(pdf, blocks, width), _FOUND))
 
     def cut(docs_pdf: pd.DataFrame, found_pdf: pd.DataFrame) -> pd.DataFrame:
         cat = lambda c, k: (np.concatenate([unpack(v, k) for v in found_pdf[c]])
                             if len(found_pdf) else np.zeros(0, k))
-        did, tag, lo, hi = cat("did", np.int64), cat("tag", np.uint16), cat("lo", np.int64), cat("hi", np.int64)
+        did, tag, lo, hi = cat("did", np.int64), cat("tag", np.int64), cat("lo", np.int64), cat("hi", np.int64)
         order = np.lexsort((lo, tag, did))
         did, tag, lo, hi = did[order], tag[order], lo[order], hi[order]
         out = []
         for d, th, text in zip(docs_pdf["did"], docs_pdf["th"], docs_pdf["text"], strict=True):
             raw = text.encode() if text else b""
             a, b = np.searchsorted(did, d, "left"), np.searchsorted(did, d, "right")
-            own = tag[a:b] == (th & 0xFFFF)
+            own = tag[a:b] == th
             s, e = lo[a:b][own], np.maximum.accumulate(hi[a:b][own]) if own.any() else hi[:0]
             spans, kept, at = [], [], 0
             if len(s):
@@ -381,7 +324,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         [{"start": x, "end": y} for x, y in spans], b"".join(kept)))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"]).astype({"doc_id": "Int64"})
 
-    return (src.withColumn("block", block_of(F.col("did"), blocks)).groupBy("block")
+    return (src.withColumn("block", block_of(F.col("did"), F.col("th"), blocks)).groupBy("block")
             .cogroup(found.groupBy("block"))
             .applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, "
                                 "spans array<struct<start:long,end:long>>, kept binary"))
