@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcases.llm import sketch
-from fleetcases.llm.common import (NULL_ID, U, WordHash, arrow_batches, binary_list, block_of, doc_key,
-                                   least_pieces, longs, n_blocks, pack, runs, slices, text_bytes, unpack, windows_hash)
+from fleetcases.llm.common import (NULL_ID, U, arrow_batches, binary_list, block_of, doc_key, least_pieces, longs,
+                                   n_blocks, pack, runs, slices, text_bytes, unpack, windows_hash, word_hashes)
 
 WIDTH, GRAM = 20, 8
 _HITS = "block long, a binary, b binary, did binary, tag binary, pos binary"
@@ -61,11 +61,11 @@ def _windows(hashes: np.ndarray, counts: np.ndarray, width: int, gram: int):
 
 def _sketch_rows(docs: DataFrame, cells: int, width: int, gram: int) -> DataFrame:
     def rows(it: Iterator[pa.RecordBatch]):
-        part, seen, words = TaskContext.get().partitionId(), sketch.PartitionSketch(cells), WordHash()
+        part, seen = TaskContext.get().partitionId(), sketch.PartitionSketch(cells)
         for batch in it:
             texts = binary_list(batch, "text")
             for lo, hi in slices(texts):
-                seen.add(_windows(*words(texts[lo:hi]), width, gram)[-1])
+                seen.add(_windows(*word_hashes(texts[lo:hi]), width, gram)[-1])
         out = list(seen.rows(part))
         if out:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
@@ -79,14 +79,14 @@ def _hits(docs: DataFrame, bits, cells: int, blocks: int, width: int, gram: int)
     schema = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("a", "b", "did", "tag", "pos")])
 
     def hits(it: Iterator[pa.RecordBatch]):
-        words, table = WordHash(), shared.value
+        table = shared.value
 
         def one(batch):
             texts, did = binary_list(batch, "text"), longs(batch, "did")
-            tag = (longs(batch, "th") & 0xFFFF).astype(np.uint16)
+            tag = longs(batch, "th")
             got = []
             for lo, hi in slices(texts):
-                hashes, counts = words(texts[lo:hi])
+                hashes, counts = word_hashes(texts[lo:hi])
                 at, doc, start, keys, _ = _windows(hashes, counts, width, gram)
                 keep = sketch.reaches(table, keys, cells)
                 if not keep.any():
@@ -129,13 +129,13 @@ def _columns(pdf: pd.DataFrame, kinds: dict) -> list[np.ndarray]:
             for c, k in kinds.items()]
 
 
-_KEYED = {"did": np.int64, "tag": np.uint16, "pos": np.uint32}
+_KEYED = {"did": np.int64, "tag": np.int64, "pos": np.uint32}
 _LOST = "block long, did binary, tag binary, pos binary"
 
 
 def _dealt(did, tag, pos, blocks: int) -> pd.DataFrame:
     """Removed windows packed by the block of their document."""
-    block = block_of(did, blocks)
+    block = block_of(did, tag, blocks)
     order = np.lexsort((pos, tag, did, block))
     did, tag, pos, block = did[order], tag[order], pos[order], block[order]
     cut = runs(block)
@@ -155,7 +155,7 @@ def _later(hits: DataFrame, blocks: int) -> DataFrame:
             d, t, p = d[keep], t[keep], p[keep]
         return _dealt(d, t, p, blocks)
     # removed ones found in the batches (block -1) have nothing to group: any few of them go together
-    return (hits.withColumn("lot", F.when(F.col("block") < 0, F.xxhash64("did")).otherwise(F.lit(0)))
+    return (hits.withColumn("lot", F.when(F.col("block") < 0, F.xxhash64("did", "pos")).otherwise(F.lit(0)))
             .groupBy("block", "lot").applyInPandas(group, _LOST))
 
 
@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for d, th, text in zip(docs_pdf["did"], docs_pdf["th"], docs_pdf["text"], strict=True):
             words = text.encode().split() if text else []
             lo, hi = np.searchsorted(did, [d, d], "left")[0], np.searchsorted(did, d, "right")
-            here = pos[lo:hi][tag[lo:hi] == (th & 0xFFFF)]
+            here = pos[lo:hi][tag[lo:hi] == th]
             if len(here):
                 kept = ~covered(here, width, len(words))
                 left = [w for w, k in zip(words, kept, strict=True) if k]
@@ -197,6 +197,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text"]
                             ).astype({"doc_id": "Int64"})
 
-    return (src.withColumn("block", block_of(F.col("did"), blocks)).groupBy("block")
+    return (src.withColumn("block", block_of(F.col("did"), F.col("th"), blocks)).groupBy("block")
             .cogroup(lost.groupBy("block"))
             .applyInPandas(cut, "doc_id long, n_words long, n_removed long, kept_text string"))
