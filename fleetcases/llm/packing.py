@@ -20,6 +20,7 @@ than the named ones are not read.
 
 from __future__ import annotations
 
+import os
 import string
 import zlib
 from collections.abc import Iterator
@@ -27,99 +28,117 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcases.llm.common import slices
+from fleetcases.llm.common import slices, split_words
 
 MAX_TOKENS, MAX_SEGMENTS, END = 4096, 128, 2
 POOL, POOL_TOKENS = 2048, 1 << 21
-#: words a worker process keeps with their ids, about 200 bytes each; a setting of memory against
-#: time alone, the rows are the same
+#: words (without capitals and final stops) a worker process keeps with their ids, about 60 bytes each; a
+#: setting of memory against time alone, the rows are the same
 KEEP_WORDS = 1_000_000
-PUNCTUATION = string.punctuation.encode()
+#: bytes that are an ASCII letter or digit
+ALNUM = np.isin(np.arange(256), np.frombuffer((string.ascii_letters + string.digits).encode(), np.uint8))
+#: bytes of text that are tokenized together
+SLICE = 8 << 20
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, loss_tokens long, sequence_length long, over_limit boolean")
 
 
+def _lengths(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ends(words: pa.Array, size: np.ndarray) -> pa.Array:
+    """The last ``size`` bytes of every word."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    cuts = np.append(0, np.cumsum(size))
+    at = np.repeat(offsets[1:] - size - cuts[:-1], size) + np.arange(cuts[-1])
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()),
+                                                           pa.py_buffer(data[at].tobytes())])
+
+
 class WordIds:
     """Token ids of a text, word by word: in this vocabulary no token and no rule crosses ASCII
-    white space, so a word's ids do not depend on its neighbours and are looked up once. ASCII
-    capitals are made small by the vocabulary's own normaliser, and what is neither letter nor digit
-    is one run up to the next letter or digit: all final ASCII punctuation behind an ASCII letter or
-    digit is a run of its own, so ``The`` and ``the),`` need no encoding once ``the`` and ``),`` are known.
-    Behind any other character (marks, symbols, letters that the normaliser may take apart) the word is
-    encoded whole. Ids lie in one array; the table is emptied when it is large."""
+    white space, so a word's ids do not depend on its neighbours and each different word of a slice is looked
+    up once. ASCII capitals are made small by the vocabulary's own normaliser, and what is neither
+    letter nor digit is one run up to the next letter or digit: all final ASCII punctuation behind an ASCII
+    letter or digit is a run of its own, so ``The`` and ``the),`` need no encoding once ``the`` and ``),``
+    are known. Behind any other character (marks, symbols, letters that the normaliser may take apart) the
+    word is encoded whole. Words and their parts stay Arrow arrays; only parts never met before become
+    Python strings, for the tokenizer. Ids lie in one array; the table is emptied when it is large."""
 
     def __init__(self, path: str, limit: int = KEEP_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"       # a task has one core
         from tokenizers import Tokenizer
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self._empty()
 
     def _empty(self) -> None:
-        self.number: dict[bytes, int] = {}
-        # where a word's ids begin and how many they are: its own, and those of its final stops
-        self.place = np.zeros((1 << 16, 4), np.int64)
+        self.parts = pa.array([], pa.binary())
+        # where a part's ids begin and how many they are
+        self.place = np.zeros((0, 2), np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _add(self, words: list[bytes], place: np.ndarray) -> None:
-        i = len(self.number)
-        if i + len(words) > len(self.place):
-            self.place = np.concatenate([self.place[:i], np.zeros((i + 2 * len(words), 4), np.int64)])
-        self.place[i:i + len(words)] = place
-        self.number.update(zip(words, range(i, i + len(words)), strict=True))
-
-    def _encode(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        place = np.zeros((len(words), 4), np.int64)
-        place[:, 1] = n = np.fromiter(map(len, got), np.int64, len(got))
-        place[:, 0] = self.used + np.cumsum(n) - n
+    def _learn(self, new: pa.Array) -> None:
+        words = [w.decode() for w in new.to_pylist()]
+        got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
         total = int(n.sum())
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * total, np.uint32)])
         self.ids[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        self.place = np.concatenate([self.place, np.stack([self.used + np.cumsum(n) - n, n], axis=1)])
         self.used += total
-        self._add(words, place)
-
-    def _learn(self, new: set[bytes]) -> None:
-        plain, core = [], set()
-        for w in new:
-            c = w
-            if b"<|" not in w:
-                c = w.lower()
-                if (cut := c.rstrip(PUNCTUATION))[-1:].isalnum():        # of bytes: ASCII alone
-                    c = cut
-            if c != w:
-                plain.append((w, c, w[len(c):]))
-            else:
-                core.add(w)
-        core.update([c for _, c, _ in plain], [t for _, _, t in plain if t])
-        self._encode(list(core.difference(self.number)))
-        plain = [x for x in plain if x[0] not in self.number]
-        if plain:
-            own = self.place[[self.number[c] for _, c, _ in plain]]
-            place = np.hstack([own[:, :2], np.zeros((len(plain), 2), np.int64)])
-            tailed = [i for i, x in enumerate(plain) if x[2]]
-            place[tailed, 2:] = self.place[[self.number[plain[i][2]] for i in tailed], :2]
-            self._add([w for w, _, _ in plain], place)
+        self.parts = pa.concat_arrays([self.parts, new])
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where the ids of each of the (different) parts lie, after learning those not met before."""
+        found = pc.index_in(parts, self.parts)
+        new = found.is_null()
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        unknown = new.to_numpy(zero_copy_only=False)
+        if unknown.any():
+            at[unknown] = len(self.parts) + np.arange(unknown.sum())
+            self._learn(parts.filter(new))
+        return self.place[at]
+
+    def _stretches(self, words: pa.Array) -> np.ndarray:
+        """For each word the places of its two stretches of ids: its own, and those of its final stops."""
+        text = words.cast(pa.string())
+        special = pc.match_substring(text, "<|")
+        text = pc.if_else(special, text, pc.ascii_lower(text))
+        core = pc.ascii_rtrim(text, characters=string.punctuation)
+        offsets = np.frombuffer(core.buffers()[1], np.int32, len(core) + 1, core.offset * 4)
+        data = np.frombuffer(core.buffers()[2] or b"\0", np.uint8)
+        last = data[np.maximum(offsets[1:], 1) - 1]
+        plain = ALNUM[last] & (offsets[1:] > offsets[:-1]) & ~special.to_numpy(zero_copy_only=False)
+        tail = np.where(plain, _lengths(text) - _lengths(core), 0)
+        core = pc.if_else(pa.array(plain), core, text).cast(pa.binary())
+        ends = _ends(text.cast(pa.binary()), tail)
+        both = pa.concat_arrays([core, ends]).dictionary_encode()
+        place = self._places(both.dictionary)[both.indices.to_numpy()]
+        place[len(core):][tail == 0] = 0
+        return np.hstack([place[:len(core)], place[len(core):]])
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [t.split() if t else [] for t in texts]
-        if len(self.number) > self.limit:
+        flat, bounds = split_words(pa.array(texts, pa.binary()))
+        coded = flat.dictionary_encode()
+        if len(self.parts) > self.limit:
             self._empty()
-        if new := set(chain.from_iterable(words)).difference(self.number):
-            self._learn(new)
-        count = np.fromiter(map(len, words), np.int64, len(words))
-        k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(count.sum()))
-        place = self.place[k].reshape(-1, 2)          # two stretches of ids a word
-        place = place[place[:, 1] > 0] if len(k) else place
-        n = self.place[k, 1] + self.place[k, 3]
+        place = self._stretches(coded.dictionary)[coded.indices.to_numpy()]      # two stretches of ids a word
+        n = place[:, 1] + place[:, 3]
+        place = place.reshape(-1, 2)
+        place = place[place[:, 1] > 0]
         at = np.cumsum(place[:, 1]) - place[:, 1]
-        flat = self.ids[np.repeat(place[:, 0] - at, place[:, 1]) + np.arange(int(n.sum()))]
-        ends = np.append(0, np.cumsum(n))[np.cumsum(count)]
+        ids = self.ids[np.repeat(place[:, 0] - at, place[:, 1]) + np.arange(int(n.sum()))]
+        cuts = np.append(0, np.cumsum(n))[bounds].tolist()
         end = np.array([END], np.uint32)
-        return [np.concatenate([flat[a:b], end]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _TABLES: dict[str, WordIds] = {}
@@ -252,7 +271,7 @@ def pack_examples(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in it:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             ids, first = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 for i, tokens in zip(range(lo, hi), words(texts[lo:hi]), strict=True):
                     packer.add(ids[i], tokens, first[i])
             yield out()
