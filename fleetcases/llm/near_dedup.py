@@ -37,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcases.llm.common import (NULL_ID, U, WordHash, binary_list, doc_key, mix, pack, slices, small_batches,
-                                   stage, unpack, windows_hash)
+from fleetcases.llm.common import (NULL_ID, U, binary_list, doc_key, keyed, mix, pack, slices, small_batches, stage,
+                                   unpack, windows_hash, word_hashes)
 
 SHINGLE, SIMILAR, BANDS, ROWS, LEAST_AGREE, BLOCK = 5, 0.8, 32, 5, 0.6, 2000
 BLOCK_BYTES = 8 << 20
@@ -119,12 +119,11 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]):
-        words = WordHash()
         for b in it:
             texts = binary_list(b, "text")
             node, sig = [], []
             for lo, hi in slices(texts, 1 << 20):
-                d, v, w = shingles(*words(texts[lo:hi]))
+                d, v, w = shingles(*word_hashes(texts[lo:hi]))
                 got = signatures(d, v, w, hi - lo)
                 cut = np.searchsorted(d, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
@@ -234,24 +233,36 @@ def _across(open_members: DataFrame, least: float, similar: float) -> DataFrame:
         sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
         node = pdf["node"].to_numpy()
         group = pd.factorize(pdf["label"])[0]
-        bags = [_numbered(unpack(x, np.uint64)) for x in pdf["bag"]]
-        sizes = np.array([len(x) for x in bags])
-        cut = np.append(0, np.cumsum(sizes))
-        element = np.unique(np.concatenate(bags), return_inverse=True)[1]
-        mine = np.zeros(int(element.max()) + 1, bool)
-        out = []
+        # signatures alone decide which pairs are looked at; only their multisets are unpacked
+        pairs = []
         for k in np.flatnonzero(own == int(pdf["i"].iloc[0])):
             other = right[group[right] != group[k]]
             if not len(other):
                 continue
             same = sig[other] == sig[k]
+            other, same = other[near := same.mean(axis=1) >= least], same[near]
             bands = same.reshape(len(other), BANDS, ROWS).all(axis=2)
-            other = other[(same.mean(axis=1) >= least) & bands[:, band] & ~bands[:, :band].any(axis=1)]
+            other = other[bands[:, band] & ~bands[:, :band].any(axis=1)]
+            if len(other):
+                pairs.append((k, other))
+        need = np.unique(np.concatenate([np.append(o, k) for k, o in pairs])) if pairs else np.zeros(0, np.int64)
+        place = np.full(len(pdf), -1)
+        place[need] = np.arange(len(need))
+        bags = [_numbered(unpack(pdf["bag"].iloc[x], np.uint64)) for x in need]
+        sizes = np.zeros(len(pdf), np.int64)
+        sizes[need] = [len(x) for x in bags]
+        cut = np.append(0, np.cumsum(sizes[need]))
+        element = np.unique(np.concatenate(bags), return_inverse=True)[1] if bags else need
+        mine = np.zeros(int(element.max(initial=0)) + 1, bool)
+        out = []
+        for k, other in pairs:
+            other = other[group[other] != group[k]]
             if not len(other):
                 continue
-            mine[element[cut[k]:cut[k + 1]]] = True
-            common = np.array([np.count_nonzero(mine[element[cut[x]:cut[x + 1]]]) for x in other])
-            mine[element[cut[k]:cut[k + 1]]] = False
+            own_at = slice(cut[place[k]], cut[place[k] + 1])
+            mine[element[own_at]] = True
+            common = np.array([np.count_nonzero(mine[element[cut[place[x]]:cut[place[x] + 1]]]) for x in other])
+            mine[element[own_at]] = False
             for x in other[common / (sizes[other] + sizes[k] - common) >= similar]:
                 if group[x] != group[k]:
                     out.append((node[k], node[x]))
@@ -336,12 +347,11 @@ def _bags(docs: DataFrame, nodes: DataFrame, need: DataFrame, id_col: str, text_
     j = src.join(which, (F.col("did") == F.col("n_did")) & (F.col("th") == F.col("n_th"))).select("node", "text")
 
     def run(it: Iterator[pa.RecordBatch]):
-        words = WordHash()
         for b in it:
             texts = binary_list(b, "text")
             out = []
             for lo, hi in slices(texts):
-                d, v, w = shingles(*words(texts[lo:hi]))
+                d, v, w = shingles(*word_hashes(texts[lo:hi]))
                 cut = np.searchsorted(d, np.arange(hi - lo + 1))
                 out += [pack(np.repeat(v[a:z], w[a:z])) for a, z in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "bag"])
@@ -350,16 +360,15 @@ def _bags(docs: DataFrame, nodes: DataFrame, need: DataFrame, id_col: str, text_
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``docs``, all columns, with one row of each class: the least doc_id, of exact repeats of a
-    row one. Rows without words all stay."""
-    got = _classes(docs, id_col, text_col, similar).filter("representative")
-    got = got.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("class_size").alias("__n")).distinct()
-    did, th = doc_key(id_col, text_col)
-    kept = docs.join(got, (did == F.col("__did")) & (th == F.col("__th")))
-    twice = got.join(docs.select(did.alias("__d"), th.alias("__t")), (F.col("__did") == F.col("__d")) & (F.col("__th") == F.col("__t"))) \
-        .groupBy("__did", "__th").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
-    out = kept.select(*(docs[c] for c in docs.columns))
+    """``docs``, all columns, with one row of each class: the least doc_id; of rows that repeat its id and
+    text, the one whose columns have the least hash. Rows without words all stay."""
+    got = _classes(docs, id_col, text_col, similar).filter("representative").select("did", "th").distinct()
+    kept = keyed(docs, id_col, text_col).join(got, ["did", "th"], "left_semi")
+    twice = kept.groupBy("did", "th").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
     if twice.head(1):
-        wordless = F.length(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x09-\\x0D]", " "))) == 0
-        out = out.filter(wordless).unionByName(out.filter(~wordless).dropDuplicates([id_col, text_col]))
-    return out
+        text = F.col("row")[text_col]
+        wordless = F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x09-\\x0D]", " "))) == 0
+        one = (kept.filter(~wordless).groupBy("did", "th")
+               .agg(F.min_by("row", F.xxhash64(*(F.col("row")[c] for c in docs.columns))).alias("row")))
+        kept = kept.filter(wordless).select("row").unionByName(one.select("row"))
+    return kept.select("row.*")
