@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcases.llm import decontam, near_dedup, packing, pii, queries, toxicity
-from fleetcases.llm.common import doc_key, stage, table
+from fleetcases.llm.common import keyed, stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without contamination by benchmark passages."""
     hits = decontam.phrase_hits(docs, table(spark, sf_dir, "benchmark"), keys=True)
-    bad = hits.filter(decontam.contaminated()).select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct()
-    did, th = doc_key()
-    return docs.join(bad, (did == F.col("__did")) & (th == F.col("__th")), "left_anti")
+    bad = hits.filter(decontam.contaminated()).select("did", "th").distinct()
+    return keyed(docs).join(bad, ["did", "th"], "left_anti").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetcases.llm.common import doc_key, stage
+from fleetcases.llm.common import doc_key, keyed, stage
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND_KIND = "key"
@@ -170,13 +170,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                                                    F.min_by("kind", F.struct("start", -F.col("end"), "kind")).alias("kind"))
     prev = F.coalesce(F.lag("end").over(W.partitionBy("did", "th").orderBy("part")), F.lit(0))
     lists = parts.withColumn("gap", prev).groupBy("did", "th").agg(
-        F.sort_array(F.collect_list(F.struct("part", "gap", "start", "end", "kind"))).alias("__cut"))
-    did, th = doc_key(id_col, text_col)
-    lists = lists.withColumnsRenamed({"did": "__did", "th": "__th"})
-    j = docs.join(lists, (did == F.col("__did")) & (th == F.col("__th")), "left")
-    t = F.col(text_col)
-    kept = F.transform("__cut", lambda c: F.concat(t.substr((c["gap"] + 1).cast("int"), (c["start"] - c["gap"]).cast("int")),
-                                                   F.lit("<"), F.upper(c["kind"]), F.lit(">")))
-    rest = t.substr((F.element_at("__cut", -1)["end"] + 1).cast("int"), F.length(t))
-    text = F.when(F.col("__cut").isNotNull(), F.concat(F.array_join(kept, ""), rest)).otherwise(t)
-    return j.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+        F.sort_array(F.collect_list(F.struct("part", "gap", "start", "end", "kind"))).alias("cut"))
+    j = keyed(docs, id_col, text_col).join(lists, ["did", "th"], "left")
+    t = F.col("row")[text_col]
+    kept = F.transform("cut", lambda c: F.concat(t.substr((c["gap"] + 1).cast("int"), (c["start"] - c["gap"]).cast("int")),
+                                                 F.lit("<"), F.upper(c["kind"]), F.lit(">")))
+    rest = t.substr((F.element_at("cut", -1)["end"] + 1).cast("int"), F.length(t))
+    text = F.when(F.col("cut").isNotNull(), F.concat(F.array_join(kept, ""), rest)).otherwise(t)
+    return j.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

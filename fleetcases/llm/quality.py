@@ -131,8 +131,8 @@ def _distance(df: DataFrame, est: DataFrame) -> DataFrame:
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   source_col: str = "source", cutoff: float = CUTOFF, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per input row: the statistics, base_failed, distance2 (null where the base rules
-    failed) and kept."""
+    """One row per input row: the statistics, base_failed, kept and distance2 (null where the base
+    rules failed)."""
     base = ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = stage(_stats(docs, id_col, text_col, lang_col, source_col)
                .select("*", base.alias("base_failed"), *(v.alias(x) for x, v in zip(X, _vector(), strict=True))),
@@ -153,8 +153,8 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         near = d.join(cut, d["lang"].eqNullSafe(cut["h_lang"]) & d["source"].eqNullSafe(cut["h_source"])).filter("d2 <= h")
         est = stage(_estimates(near.groupBy("lang", "source").agg(*_sums()), CONSISTENCY), "quality-estimate")
     d = _distance(j, est)
-    judged = d.select("doc_id", *STATS_ONLY, "base_failed", F.col("d2").alias("distance2"),
-                      (F.col("d2") <= cutoff).alias("kept"))
+    judged = d.select("doc_id", *STATS_ONLY, "base_failed", (F.col("d2") <= cutoff).alias("kept"),
+                      F.col("d2").alias("distance2"))
     failed = df.filter("base_failed").select("doc_id", *STATS_ONLY, "base_failed",
-                                             F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
+                                             F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance2"))
     return judged.unionByName(failed)
