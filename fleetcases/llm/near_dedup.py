@@ -32,6 +32,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -212,11 +213,11 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return j.mapInArrow(run, "a binary, b binary")
 
 
-def _across(open_members: DataFrame, least: float, similar: float) -> DataFrame:
+def _across(open_members: DataFrame, lots: int, least: float, similar: float) -> DataFrame:
     """Links (a, b) that join the components meeting in a bucket. ``open_members`` holds bucket, band,
     node, label, sig and bag. A bucket is compared block against block, each pair of blocks in a group of
-    its own; a block has at most ``BLOCK`` members and about ``BLOCK_BYTES`` of multisets. A pair that shares several
-    buckets is compared in the first of them (they all hold its two components, so all are open). Pairs
+    its own; a block has at most ``BLOCK`` members and about ``BLOCK_BYTES`` of multisets, and all pairs of
+    blocks are dealt into ``lots`` groups of about that size. A pair that shares several buckets is compared in the first of them (they all hold its two components, so all are open). Pairs
     are verified where they meet, and no pair within a component is returned: a group of n members
     gives n - 1 links at most."""
     size = open_members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("bag")) / BLOCK_BYTES))
@@ -226,49 +227,59 @@ def _across(open_members: DataFrame, least: float, similar: float) -> DataFrame:
     m = m.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
                  "node", "label", "sig", "bag")
 
-    def run(pdf):
-        import pandas as pd
-        band, own = int(pdf["band"].iloc[0]), pdf["own"].to_numpy()
-        right = np.flatnonzero(own == int(pdf["j"].iloc[0]))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.stack([np.frombuffer(s, np.uint32) for s in pdf["sig"]])
-        node = pdf["node"].to_numpy()
-        group = pd.factorize(pdf["label"])[0]
-        # signatures alone decide which pairs are looked at; only their multisets are unpacked
-        pairs = []
-        for k in np.flatnonzero(own == int(pdf["i"].iloc[0])):
-            other = right[group[right] != group[k]]
-            if not len(other):
-                continue
-            same = sig[other] == sig[k]
-            other, same = other[near := same.mean(axis=1) >= least], same[near]
-            bands = same.reshape(len(other), BANDS, ROWS).all(axis=2)
-            other = other[bands[:, band] & ~bands[:, :band].any(axis=1)]
-            if len(other):
-                pairs.append((k, other))
-        need = np.unique(np.concatenate([np.append(o, k) for k, o in pairs])) if pairs else np.zeros(0, np.int64)
-        place = np.full(len(pdf), -1)
-        place[need] = np.arange(len(need))
-        bags = [_numbered(unpack(pdf["bag"].iloc[x], np.uint64)) for x in need]
-        sizes = np.zeros(len(pdf), np.int64)
-        sizes[need] = [len(x) for x in bags]
-        cut = np.append(0, np.cumsum(sizes[need]))
-        element = np.unique(np.concatenate(bags), return_inverse=True)[1] if bags else need
-        mine = np.zeros(int(element.max(initial=0)) + 1, bool)
+        node, bag, label = pdf["node"].to_numpy(), pdf["bag"].to_numpy(), pd.factorize(pdf["label"])[0]
+        own, i, j, band = (pdf[c].to_numpy() for c in ("own", "i", "j", "band"))
         out = []
-        for k, other in pairs:
-            other = other[group[other] != group[k]]
-            if not len(other):
-                continue
-            own_at = slice(cut[place[k]], cut[place[k] + 1])
-            mine[element[own_at]] = True
-            common = np.array([np.count_nonzero(mine[element[cut[place[x]]:cut[place[x] + 1]]]) for x in other])
-            mine[element[own_at]] = False
-            for x in other[common / (sizes[other] + sizes[k] - common) >= similar]:
-                if group[x] != group[k]:
-                    out.append((node[k], node[x]))
-                    group[group == group[x]] = group[k]
+        for at in pdf.groupby(["bucket", "i", "j"], sort=False).indices.values():
+            out += _links_between(at[own[at] == i[at[0]]], at[own[at] == j[at[0]]], int(band[at[0]]), sig, node, label, bag,
+                                  least, similar)
         return pd.DataFrame(out, columns=["a", "b"])
-    return m.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary")
+
+    # small buckets share a group; two blocks of a large one are dealt like a bucket of their own
+    return (m.withColumn("lot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(lots))).groupBy("lot")
+            .applyInPandas(run, "a binary, b binary"))
+
+
+def _links_between(left, right, band: int, sig, node, label, bag, least: float, similar: float) -> list[tuple]:
+    """Verified links between the members ``left`` and ``right`` of one bucket that join components.
+    Signatures alone decide which pairs are looked at; only their multisets are unpacked."""
+    pairs = []
+    for k in left:
+        other = right[label[right] != label[k]]
+        if not len(other):
+            continue
+        same = sig[other] == sig[k]
+        near = same.mean(axis=1) >= least
+        other, same = other[near], same[near]
+        bands = same.reshape(len(other), BANDS, ROWS).all(axis=2)
+        other = other[bands[:, band] & ~bands[:, :band].any(axis=1)]
+        if len(other):
+            pairs.append((k, other))
+    if not pairs:
+        return []
+    need = np.unique(np.concatenate([np.append(o, k) for k, o in pairs]))
+    bags = [_numbered(unpack(bag[x], np.uint64)) for x in need]
+    sizes = np.array([len(x) for x in bags])
+    cut = np.append(0, np.cumsum(sizes))
+    element = np.unique(np.concatenate(bags), return_inverse=True)[1]
+    mine = np.zeros(int(element.max()) + 1, bool)
+    group = label[need].copy()
+    out = []
+    for k, other in pairs:
+        p, q = int(np.searchsorted(need, k)), np.searchsorted(need, other)
+        q = q[group[q] != group[p]]
+        if not len(q):
+            continue
+        mine[element[cut[p]:cut[p + 1]]] = True
+        common = np.array([np.count_nonzero(mine[element[cut[x]:cut[x + 1]]]) for x in q])
+        mine[element[cut[p]:cut[p + 1]]] = False
+        for x in q[common / (sizes[q] + sizes[p] - common) >= similar]:
+            if group[x] != group[p]:
+                out.append((node[need[p]], node[need[x]]))
+                group[group == group[x]] = group[p]
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -308,8 +319,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
     members = stage(named.join(mixed, "bucket", "left_semi"), "open")
     if members.head(1):
         bags = _bags(docs, nodes, members.select("node"), id_col, text_col)
+        n, size = members.count(), bags.agg(F.avg(F.length("bag"))).first()[0] or 0
+        lots = max(1, math.ceil(n * size / BLOCK_BYTES), -(-n // (4 * BLOCK)))
         members = members.join(nodes.select("node", "sig"), "node").join(bags, "node")
-        more = stage(_across(members, LEAST_AGREE, similar), "links-across")
+        more = stage(_across(members, lots, LEAST_AGREE, similar), "links-across")
         if more.head(1):
             label = components(links.unionByName(more), "links-all")
     # classes are formed on nodes, exact copies being one; written, so that neither join of a large class is
