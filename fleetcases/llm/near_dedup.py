@@ -217,8 +217,8 @@ def _across(open_members: DataFrame, lots: int, least: float, similar: float) ->
     """Links (a, b) that join the components meeting in a bucket. ``open_members`` holds bucket, band,
     node, label, sig and bag. A bucket is compared block against block, each pair of blocks in a group of
     its own; a block has at most ``BLOCK`` members and about ``BLOCK_BYTES`` of multisets, and all pairs of
-    blocks are dealt into ``lots`` groups of about that size. A pair that shares several buckets is compared in the first of them (they all hold its two components, so all are open). Pairs
-    are verified where they meet, and no pair within a component is returned: a group of n members
+    blocks are dealt into ``lots`` groups of about that size. A pair that shares several buckets is compared
+    in the first of them (they all hold its two components, so all are open). Pairs are verified where they meet, and no pair within a component is returned: a group of n members
     gives n - 1 links at most."""
     size = open_members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("bag")) / BLOCK_BYTES))
                                               .cast("int").alias("n_blocks"))
