@@ -29,7 +29,9 @@ def latest_known(history: DataFrame, key: str, value: str, order: str,
         keep = keep & ~v.like(pattern)
     per_value = (history.filter(keep).groupBy(F.col(key).alias("_key"), v.alias("_value"))
                  .agg(F.max(F.col(order).isNull()).alias("_open"), F.max(order).alias("_order")))
-    first = Window.partitionBy("_key").orderBy(F.col("_open").desc(), F.col("_order").desc(), F.col("_value").desc())
+    # values with a row of unknown order are all latest alike: only the value tells them apart
+    latest = F.when(~F.col("_open"), F.col("_order"))
+    first = Window.partitionBy("_key").orderBy(F.col("_open").desc(), latest.desc(), F.col("_value").desc())
     return (per_value.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
             .select(F.col("_key").alias(out_key or key), F.col("_value").alias(out_value or value)))
 

@@ -64,7 +64,7 @@ def test_identities_on_fixture(spark):
     # S07 = S08 (one device type per device on the fixture)
     j = {(r.device_type, r.device_cnt) for r in _q(spark, "single_closed_join").collect()}
     i = {(r.device_type, r.device_cnt) for r in _q(spark, "single_closed_in").collect()}
-    assert j == i and j == {("AMP", 18), ("LMP", 35)}
+    assert j == i and j == {("AMP", 170), ("LMP", 321)}
     # S03 total row = sum of its groups
     s03 = {r.device_type: (r.total_cases, r.heartbeat_missing)
            for r in _q(spark, "cases_by_type_total").collect()}
@@ -79,9 +79,9 @@ def test_identities_on_fixture(spark):
 
 def test_anchor_totals(spark):
     assert tuple(_q(spark, "base_total").first()) == (1200, 392, 451)
-    assert tuple(_q(spark, "repeat_after_reboot").first()) == (49, 55)
-    assert _q(spark, "reboot_span_qc").first().device_cnt == 54
-    assert _q(spark, "reboot_cases").count() == 1059
+    assert tuple(_q(spark, "repeat_after_reboot").first()) == (82, 283)
+    assert _q(spark, "reboot_span_qc").first().device_cnt == 66
+    assert _q(spark, "reboot_cases").count() == 6135
 
 
 def test_devices_and_missing_counts_a_device_once_in_the_total(spark):

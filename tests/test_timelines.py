@@ -76,6 +76,8 @@ def test_latest_known_equals_sorting(spark):
     rng = random.Random(9)
     data = [(rng.choice(["a", "b", "c", None]), rng.choice(["1", "2", "nil", "10", None]),
              None if rng.random() < 0.1 else D0 + dt.timedelta(rng.randrange(5))) for _ in range(80)]
+    # two values of unknown order, the lesser with the later known one
+    data += [("tie", "1", None), ("tie", "1", D0 + dt.timedelta(4)), ("tie", "2", None), ("tie", "2", D0)]
     df = spark.createDataFrame(data, "k string, v string, d date")
     want = {}
     for k, v, d in data:
