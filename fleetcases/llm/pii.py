@@ -1,17 +1,20 @@
 """Operator 10, personal data by bootstrapped contextual extraction (DataFrame functions only).
 
-Base entities (email, ip, card, phone) are found by pattern and check. They and machine-made looking
-values are the seeds. Every candidate value (a run of letters and digits with a digit) is an
-instance; its lexical pattern is the word before it with the mark between them (``password=``,
-``token = "``). Patterns and instances form a bipartite graph over the whole corpus, scored in turns:
-a pattern by the mean score of its different values, a value by the patterns it occurs with. Values
-in high-confidence patterns are found as kind ``key``, whether or not they look like a seed.
+Base entities (email, ip, card, phone) are found by pattern and check. They, and values with a
+machine-made looking run inside, are the seeds. Instances are runs of letters, digits and ``- _ . / + @``
+with a digit; their lexical patterns are the word before them with the mark between (``password=``,
+``token = "``), the bare word before (``passport``) and the word after. Patterns and instances form a
+bipartite graph over the whole corpus, scored in turns until no pattern moves by ``SETTLED``: a pattern by
+the mean score of its different instances, an instance by the patterns it occurs with. A pattern counts
+only with the share of its occurrences, over all texts, that stand beside a value (at least half). Values in high-confidence patterns are found as
+kind ``key``, whether or not they look like a seed. Scores only rise and stay below 1, so the turns end.
 
 Positions are code points, end exclusive. Java's ``split`` and ``regexp_extract_all`` walk the same
 matches, so the running sum of the lengths of pieces and matches gives each match its place.
 
 Results for odd input: null text counts as empty and has no spans; candidates overlapping a base
-span are not added; a pattern needs ``MIN_VALUES`` different values; rows sharing a doc_id keep apart
+span are not added; a pattern needs ``MIN_VALUES`` different values; values have ``LEAST`` characters or more,
+pattern words 2 to 24 letters; rows sharing a doc_id keep apart
 by their text, exact repeats get equal rows; null ids are kept; an empty table gives an empty result.
 Columns other than the named ones are not read (``redact`` keeps them).
 """
@@ -26,7 +29,7 @@ from fleetcases.llm.common import doc_key, keyed, stage
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND_KIND = "key"
-MIN_VALUES, CONFIDENT, ROUNDS = 5, 0.8, 3
+MIN_VALUES, CONFIDENT, LEAST, SETTLED = 5, 0.8, 6, 0.01
 # The patterns of the contract. A local part or a number can only start where a run starts (or a
 # match has just ended), so a long run is walked once, not once from each of its characters; and
 # single separators inside a card number are first turned into one character, so that the
@@ -36,10 +39,16 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = "[0-9][0-9\u0001]++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: a value with the word and mark before it (the mark holds one of = : " # and possibly spaces)
-_LEFT = r"(?<!\p{L})\p{L}{2,24}+ {0,2}[=:#\"][=:#\" ]{0,3}"
-_VALUE = r"(?=[A-Za-z]*+[0-9])[0-9A-Za-z]{6,}+"
-_CONTEXT = _LEFT + _VALUE
+_SET = r"[0-9A-Za-z_./+@-]"
+#: a value: from one bound of its characters to the other, with a digit and long enough
+_TOKEN = rf"(?<!{_SET})[0-9A-Za-z](?:{_SET}*[0-9A-Za-z])?"
+_VALUE = rf"(?<!{_SET})(?={_SET}{{{LEAST}}})(?=[A-Za-z_./+@-]*+[0-9]){_TOKEN}"
+#: the word before with a mark (it holds one of = : " # and possibly spaces), the bare word before, the word after
+_WORD = r"(?<![\p{L}_])[\p{L}_]{2,24}+"
+_MARKED = rf"{_WORD} {{0,2}}[=:#\"][=:#\" ]{{0,3}}(?={_TOKEN})"
+_BEFORE = rf"{_WORD}(?: {{0,2}}[=:#\"][=:#\" ]{{0,3}}| {{1,2}}){_VALUE}"
+_AFTER = rf"{_VALUE}[\"),;]{{0,2}} {{1,2}}[\p{{L}}_]{{2,24}}+(?![\p{{L}}_])"
+CONTEXTS = ("before", "after")
 
 
 def _digits(c: Column) -> Column:
@@ -69,7 +78,8 @@ def _matches(kind: str, text: Column, pattern: str, trigger: Column) -> Column:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, th, kind, start, end, match) of base matches that pass their check, and of contexts."""
+    """(did, th, kind, start, end, match, copies) of base matches that pass their check, and of contexts;
+    copies is the number of equal rows."""
     t = F.col("text")
     single = F.regexp_replace(F.regexp_replace(t, "\u0001", "\u0002"), r"(?<=[0-9])[ -](?=[0-9])", "\u0001")
     src = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text")).filter(
@@ -79,59 +89,90 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _matches("ip", t, _IP, t.rlike(r"[0-9]\.[0-9]")),
         _matches("card", single, _CARD, t.rlike(r"[0-9][0-9 -][0-9]|[0-9][0-9]")),
         _matches("phone", t, _PHONE, t.rlike(r"\+[0-9]")),
-        _matches("context", t, _CONTEXT, t.rlike("[=:#\"] {0,2}[0-9A-Za-z]")))).alias("r")).select("did", "th", "r.*")
+        _matches("before", t, _BEFORE, t.rlike("[0-9]")),
+        _matches("after", t, _AFTER, t.rlike("[0-9]")))).alias("r")).select("did", "th", "r.*")
     # exact repeats of a row have the same matches: keep one of each before adding up
+    rows = rows.groupBy("did", "th", "kind", "idx", "gap", "match").agg(F.count("*").alias("copies"))
     order = W.partitionBy("did", "th", "kind").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     n = F.length("match")
-    placed = rows.distinct().withColumn("end", F.sum(F.col("gap") + n).over(order)).withColumn("start", F.col("end") - n)
+    placed = rows.withColumn("end", F.sum(F.col("gap") + n).over(order)).withColumn("start", F.col("end") - n)
     digits, size = _digits(F.col("match")), F.length(_digits(F.col("match")))
     ok = (F.when(F.col("kind") == "ip", F.col("match").rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"))
           .when(F.col("kind") == "card", F.when(size.between(13, 19), _luhn(digits)).otherwise(False))
           .when(F.col("kind") == "phone", size.between(9, 15)).otherwise(True))
     return placed.filter(ok).select("did", "th", "kind", F.col("start").cast("long").alias("start"),
-                                    F.col("end").cast("long").alias("end"), "match")
-
-
-def learn_patterns(found: DataFrame) -> DataFrame:
-    """(pattern, score, n_values) from the contexts in ``found``: the graph scored in turns."""
-    value = F.regexp_extract("match", "([0-9A-Za-z]+)$", 1)
-    edges = (found.filter("kind = 'context'").select(
-        value.alias("value"), F.lower(F.regexp_replace(F.expr("left(match, length(match) - length(regexp_extract(match, '([0-9A-Za-z]+)$', 1)))"),
-                                                       " +", " ")).alias("pattern")).distinct())
-    digits = F.length(_digits(F.col("value")))
-    base = found.filter(F.col("kind").isin(*KINDS)).select(_alnum(F.col("match")).alias("value")).distinct()
-    # machine-made: long, with letters and digits mixed
-    made = (F.length("value") >= 12) & (digits >= 3) & (F.length("value") - digits >= 3)
-    edges = stage(edges.join(base.withColumn("known", F.lit(True)), "value", "left")
-                  .select("value", "pattern", F.when(made | F.col("known"), 1.0).otherwise(0.0).alias("seed")), "pii-edges")
-    score = edges.select("value", F.col("seed").alias("s")).distinct()
-    patterns = None
-    for _ in range(ROUNDS):
-        patterns = stage(edges.join(score, "value").groupBy("pattern").agg(
-            (F.sum("s") / (F.count("*") + 0.5)).alias("score"), F.count("*").alias("n_values")), "pii-patterns")
-        sure = patterns.filter((F.col("n_values") >= MIN_VALUES) & (F.col("score") >= 0.5))
+                                    F.col("end").cast("long").alias("end"), "match", "copies")
+
+
+def _contexts(found: DataFrame) -> DataFrame:
+    """Contexts as (did, th, start, end, value, pattern, sign, copies): the place of the value; sign is what is counted over all
+    texts, the pattern itself or its bare word."""
+    before = F.col("kind") == "before"
+    value = F.when(before, F.regexp_extract("match", rf"({_TOKEN})$", 1)).otherwise(F.regexp_extract("match", rf"^({_TOKEN})", 1))
+    rest = F.length("match") - F.length("value")
+    side = F.when(before, F.expr("left(match, length(match) - length(value))")).otherwise(
+        F.expr("right(match, length(match) - length(value))"))
+    side = F.regexp_replace(F.lower(side), " +", " ")
+    marked, word = before & side.rlike("[=:#\"]"), F.regexp_extract(side, r"([\p{L}_]+)", 1)
+    bare = F.when(before, F.concat(word, F.lit(" _"))).otherwise(F.concat(F.lit("_ "), word))
+    return found.filter(F.col("kind").isin(*CONTEXTS)).withColumn("value", value).select(
+        "did", "th", F.when(before, F.col("start") + rest).otherwise(F.col("start")).alias("start"),
+        F.when(before, F.col("end")).otherwise(F.col("end") - rest).alias("end"), "value",
+        F.when(marked, side).otherwise(bare).alias("pattern"), F.when(marked, side).otherwise(word).alias("sign"), "copies")
+
+
+def _signs(texts: DataFrame) -> DataFrame:
+    """(sign, in_all): how often every word, and every word with a mark, stands in the texts."""
+    t = F.lower("text")
+    marked = F.transform(F.regexp_extract_all(t, F.lit(_MARKED), F.lit(0)), lambda x: F.regexp_replace(x, " +", " "))
+    none = F.array().cast("array<string>")
+    both = F.concat(F.split(t, r"[^\p{L}_]+"), F.when(t.rlike("[=:#\"]"), marked).otherwise(none))
+    return texts.select(F.explode(both).alias("sign")).groupBy("sign").agg(F.count("*").alias("in_all"))
+
+
+def learn_patterns(contexts: DataFrame, base: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, score, n_values): the graph of ``contexts`` scored in turns. ``base``: the base matches (match), ``texts``: all
+    texts (text), for how often a pattern stands without a value."""
+    run = F.regexp_extract_all("value", F.lit("[0-9A-Za-z]{12,}"), F.lit(0))
+    made = F.exists(run, lambda r: (F.length(_digits(r)) >= 3) & (F.length(r) - F.length(_digits(r)) >= 3))
+    known = base.select(F.col("match").alias("value")).distinct().withColumn("known", F.lit(True))
+    edges = contexts.groupBy("value", "pattern", "sign").agg(F.sum("copies").alias("times"))
+    edges = stage(edges.join(known, "value", "left").select(
+        "value", "pattern", "sign", "times", F.when(made | F.col("known"), 1.0).otherwise(0.0).alias("seed")), "pii-edges")
+    # a pattern with too few values can neither be learned nor vouch for a value
+    many = edges.groupBy("pattern", "sign").agg(F.sum("times").alias("times"), F.count("*").alias("n_values"))
+    many = stage(many.filter(F.col("n_values") >= MIN_VALUES), "pii-many")
+    share = F.least(F.lit(1.0), F.col("times") / F.col("in_all"))
+    shares = stage(many.join(_signs(texts), "sign").select("pattern", "n_values", share.alias("share")).filter("share >= 0.5"),
+                   "pii-shares")
+    edges = stage(edges.select("value", "pattern", "seed").join(shares, "pattern"), "pii-graph")
+    score, last = edges.select("value", F.col("seed").alias("s")).distinct(), None
+    while True:
+        patterns = stage(edges.join(score, "value").groupBy("pattern", "n_values", "share").agg(
+            (F.sum("s") / (F.count("*") + 0.5) * F.col("share")).alias("score")), "pii-patterns")
+        if last is not None:
+            moved = patterns.join(last.select("pattern", F.col("score").alias("was")), "pattern")
+            if moved.filter(F.col("score") > F.col("was") + SETTLED).isEmpty():
+                return patterns.select("pattern", "score", "n_values")
+        last = patterns
         # a value's doubt is the product of its patterns' doubts; seeds keep their score
-        score = edges.join(sure, "pattern", "left").groupBy("value").agg(
-            F.greatest(F.max("seed"), 1 - F.exp(F.sum(F.log(1.0001 - F.coalesce("score", F.lit(0.0)))))).alias("s"))
-    return patterns
-
-
-def _alnum(c: Column) -> Column:
-    return F.regexp_replace(c, "[^0-9A-Za-z]", "")
+        sure = patterns.filter("score >= 0.5").select("pattern", "score")
+        doubt = F.exp(F.sum(F.log(1 - F.coalesce("score", F.lit(0.0)))))
+        score = edges.join(sure, "pattern", "left").groupBy("value").agg(F.greatest(F.max("seed"), 1 - doubt).alias("s"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(did, th, kind, start, end): base spans and those that the learned patterns add."""
     found = stage(_found(docs, id_col, text_col), "pii-found")
-    sure = learn_patterns(found).filter((F.col("n_values") >= MIN_VALUES) & (F.col("score") >= CONFIDENT)).select("pattern")
-    ctx = found.filter("kind = 'context'").withColumn("size", F.length(F.regexp_extract("match", "([0-9A-Za-z]+)$", 1)))
-    ctx = ctx.withColumn("pattern", F.lower(F.regexp_replace(F.expr("left(match, length(match) - size)"), " +", " ")))
-    keys = ctx.join(sure, "pattern").select("did", "th", F.lit(FOUND_KIND).alias("kind"),
-                                            (F.col("end") - F.col("size")).alias("start"), "end")
-    base = found.filter(F.col("kind") != "context").select("did", "th", "kind", "start", "end")
+    is_base = F.col("kind").isin(*KINDS)
+    contexts = stage(_contexts(found), "pii-contexts")
+    sure = learn_patterns(contexts, found.filter(is_base), docs.select(F.col(text_col).alias("text"))).filter(
+        F.col("score") >= CONFIDENT).select("pattern")
+    keys = contexts.join(sure, "pattern").select(
+        "did", "th", F.lit(FOUND_KIND).alias("kind"), "start", "end").distinct()
+    base = found.filter(is_base).select("did", "th", "kind", "start", "end")
     # a key that overlaps a base span is dropped: the ends before and the starts after it tell
     own = W.partitionBy("did", "th").orderBy("start", "end")
-    is_base = F.col("kind") != FOUND_KIND
     both = base.unionByName(keys).withColumns({
         "before": F.max(F.when(is_base, F.col("end"))).over(own.rowsBetween(W.unboundedPreceding, 0)),
         "after": F.min(F.when(is_base, F.col("start"))).over(own.rowsBetween(0, W.unboundedFollowing))})
