@@ -1,4 +1,4 @@
-"""Thin queries over the operators of this subpackage, by name, and SQL for those it can express."""
+"""Thin queries over the operators of this subpackage, by name; their SQL is in ``sql``."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetcases.llm import (decontam, fixity, language, mixing, near_dedup, packing, periodic, pii, quality,
                             substring_dedup, suffix_dedup, toxicity, whitening)
 from fleetcases.llm.common import table
+from fleetcases.llm.sql import ORACLE_SQL  # noqa: F401  (read beside QUERIES)
 
 
 def vocabulary() -> str:
@@ -124,41 +125,3 @@ def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_near_dedup, op4_toxicity, op5_packing,
                                    op6_decontamination, op7_warc_fixity, op8_substring_dedup, op9_quality, op10_pii,
                                    op11_embedding_whitening, op12_periodic_runs, op13_source_mixing)}
-#: DuckDB SQL over the tables, where it can express the query
-ORACLE_SQL: dict[str, str] = {
-    "op7_warc_fixity": """
-WITH r AS (
-  SELECT page_id, left(md5(url), 2) AS d, row_number() OVER () AS k,
-         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-           || chr(13) || chr(10) || 'Content-Length: ' AS head,
-         coalesce(html, '') AS body, chr(13) || chr(10) || chr(13) || chr(10) AS gap
-  FROM pages),
-t AS (SELECT page_id, d, head || strlen(body) || gap || body || gap AS rec,
-             head || (strlen(body) + 1) || gap || body || chr(0) || gap AS bad, head || '0' || gap || gap AS ghost FROM r),
-o AS (SELECT *, sha256(rec) AS leaf, CAST(coalesce(sum(strlen(rec)) OVER (
-        ORDER BY page_id, sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM t)
-SELECT page_id, 'corrupt' AS status, leaf AS expected, sha256(bad) AS found, "offset", strlen(rec) AS length FROM o WHERE d = '00'
-UNION ALL SELECT page_id, 'missing', leaf, NULL, "offset", strlen(rec) FROM o WHERE d = '01'
-UNION ALL SELECT page_id, 'extra', NULL, sha256(ghost), NULL, NULL FROM o WHERE d = '02'""",
-    "op13_source_mixing": r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(text)) AS key FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-             row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM d GROUP BY source),
-w AS (SELECT *, [3, 1, 2][no % 3 + 1] AS weight, 2 * source_size AS cap FROM s),
-f AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5e0 AS budget, CAST(cap AS DOUBLE) / weight AS full_at FROM w),
-v AS (SELECT *, (budget - CAST(coalesce(sum(cap) OVER (ORDER BY full_at, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
-                  / CAST(sum(weight) OVER (ORDER BY full_at, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM f),
-t AS (SELECT source, no, source_size, budget,
-             least(CAST(cap AS DOUBLE), weight * max(CASE WHEN level <= full_at THEN level END) OVER ()) AS target FROM v),
-q AS (SELECT row_number() OVER () AS row, d.*, t.no, t.source_size, t.target, t.budget,
-             CAST(sum(size) OVER (PARTITION BY t.no ORDER BY key, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS queued
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0),
-i AS (SELECT *, queued + turn * source_size AS ends FROM q, (VALUES (0), (1)) AS r(turn)),
-m AS (SELECT *, sum(size) OVER (ORDER BY ends / target, no, ends ROWS UNBOUNDED PRECEDING) AS upto FROM i)
-SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN upto <= budget THEN size ELSE 0 END) AS BIGINT) AS taken
-FROM m GROUP BY row, doc_id, size, source_size, target
-UNION ALL
-SELECT doc_id, size, source_size, target, 0 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size = 0""",
-}
