@@ -4,16 +4,19 @@
    form the lexicon, one voter each, chosen to explain the toxic rows between them; a few patterns (shouting, exclamation runs, drawn-out letters,
    symbol runs) are voters too. A voter fires or abstains on a text.
 2. Label model. A text has a hidden label; a voter fires with one probability on toxic and with
-   another on clean texts (its accuracies). EM estimates them and the labels' posteriors. Voters
-   whose residuals, given the posterior, are correlated say the same thing: the correlation of a
-   group of them divides their evidence, so ten spellings of one word do not count as ten voters.
+   another on clean texts (its accuracies). The given label is one more voter, which errs: its two
+   accuracies are estimated with the others'. EM estimates them and the labels' posteriors. Pairs of
+   voters whose residuals, given the posterior, are correlated say partly the same thing: the
+   squared correlations of a voter divide its evidence, so ten spellings of one word do not count as
+   ten voters.
 3. A linear (logistic) classifier on the lexicon's words and beginnings and the patterns is trained
    on the posteriors and scores every whole text.
 
 What is learned: from at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled rows whose
 crc32(doc_id) mod 5 is not 0 (a documented bound; chosen by the hash of the id, the same on every
 run). The driver gets the ``CANDIDATES`` best features and, of the learning rows, which of
-these they hold.
+these they hold. Each row learned from stands for all labelled ones of its class, so the classes'
+shares, and with them the scores, do not follow the bound.
 
 Results for odd input: null and empty texts get the score of a text without any feature; without
 labelled rows of both kinds every score is 0; several labels of one document count as toxic if any
@@ -39,6 +42,8 @@ from fleetcases.llm.language import held_out
 
 MAX_TOXIC, MAX_CLEAN, CANDIDATES, VOTERS, MIN_TEXTS = 4000, 8000, 2000, 300, 3
 BEGINNINGS = (4, 5, 6)
+#: accuracy the given labels start from, the rows that this start counts as, and the least it may become
+START, BELIEF, LEAST = 0.95, 20.0, 0.6
 _WORD = re.compile(r"[^\W\d_]+")
 #: name -> pattern; a voter fires where it is found
 PATTERNS = {
@@ -67,25 +72,30 @@ def scored(text: str | None) -> set[str]:
 
 
 class LabelModel:
-    """Two-class generative model of voters that fire or abstain."""
+    """Two-class generative model of voters that fire or abstain, and of given labels that err."""
 
-    def __init__(self, prior: float, steps: int = 25, related: float = 0.4):
-        self.prior, self.steps, self.related = prior, steps, related
+    def __init__(self, prior: float, steps: int = 50):
+        self.prior, self.steps = prior, steps
 
-    def fit(self, votes: np.ndarray, marked: np.ndarray, trust: float = 0.99) -> np.ndarray:
-        """Posterior of toxic per row. ``marked``: the rows' given labels, one more voter, whose
-        accuracy ``trust`` is fixed; without it the hidden classes could become languages."""
+    def fit(self, votes: np.ndarray, marked: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """Posterior of toxic per row. ``marked``: the rows' given labels, one more voter, whose two
+        accuracies are estimated with the others' from a start of ``START`` (as if ``BELIEF`` rows
+        had shown it) and never held below ``LEAST``: below a half the classes would change places,
+        and without the labels the hidden classes could become languages. ``weight``: rows each stands for."""
         v = votes.astype(np.float64)
-        said = math.log(trust / (1 - trust)) * (2 * marked - 1)
-        post, share = np.where(marked > 0, trust, 1 - trust), np.ones(v.shape[1])
+        w = np.ones(len(v)) if weight is None else weight
+        post, share = np.where(marked > 0, START, 1 - START), np.ones(v.shape[1])
         for step in range(self.steps):
-            n1, n0 = post.sum(), (1 - post).sum()
-            self.p1 = (post @ v + 0.5) / (n1 + 1)
-            self.p0 = ((1 - post) @ v + 0.5) / (n0 + 1)
+            w1, w0 = w * post, w * (1 - post)
+            self.p1 = (w1 @ v + 0.5) / (w1.sum() + 1)
+            self.p0 = (w0 @ v + 0.5) / (w0.sum() + 1)
+            self.hit = max(LEAST, (w1 @ marked + START * BELIEF) / (w1.sum() + BELIEF))
+            self.miss = min(1 - LEAST, (w0 @ marked + (1 - START) * BELIEF) / (w0.sum() + BELIEF))
             if step in (2, 8):
-                share = self._share(v, post)
+                share = self._share(v, post, w)
             on = np.log(self.p1 / self.p0) * share
             off = np.log((1 - self.p1) / (1 - self.p0)) * share
+            said = np.where(marked > 0, math.log(self.hit / self.miss), math.log((1 - self.hit) / (1 - self.miss)))
             z = math.log(self.prior / (1 - self.prior)) + said + v @ (on - off) + off.sum()
             new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             done = np.abs(new - post).max() < 1e-4
@@ -95,24 +105,26 @@ class LabelModel:
         self.share = share
         return post
 
-    def _share(self, v: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """1 / design effect of each voter's group: residual correlations above ``related`` count."""
+    def _share(self, v: np.ndarray, post: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """1 / how many voters say the same: the squares of a voter's positive residual correlations,
+        each less what chance gives among as many rows (nine times its mean), add up over all voters."""
         res = v - np.outer(post, self.p1) - np.outer(1 - post, self.p0)
-        sd = np.sqrt((res ** 2).mean(axis=0))
-        corr = (res.T @ res) / len(v) / np.maximum(np.outer(sd, sd), 1e-12)
-        np.fill_diagonal(corr, 1.0)
-        return 1 / np.where(corr > self.related, corr, 0).sum(axis=1).clip(1)
+        cov = (res * w[:, None]).T @ res / w.sum()
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        square = np.maximum(cov / np.outer(sd, sd), 0) ** 2 - 9 * (w ** 2).sum() / w.sum() ** 2
+        np.fill_diagonal(square, 1.0)
+        return 1 / np.maximum(square, 0).sum(axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 30) -> np.ndarray:
-    """Weights and bias of a ridge logistic regression on soft labels, by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, steps: int = 30) -> np.ndarray:
+    """Weights and bias of a ridge logistic regression on soft labels and weighted rows, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w = np.zeros(x.shape[1])
     reg = np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + reg * w
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(reg)
+        g = x.T @ (weight * (p - y)) + reg * w
+        h = (x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(reg)
         d = np.linalg.solve(h, g)
         w -= d
         if np.abs(d).max() < 1e-5:
@@ -126,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
              .filter(F.col("y").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
              .filter(~held_out("id")))
+    of = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).filter("y in (0, 1)").collect()}
     pick = None
     for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
@@ -181,8 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r["y"] > 0 for r in got], float)
     chosen = _cover(x, y)
     names, x = [names[i] for i in chosen], x[:, chosen]
-    post = LabelModel(t1 / (t1 + t0)).fit(np.hstack([x, p]), y)
-    w = _logistic(np.hstack([x, p]), post)
+    # rows stand for all labelled documents of their class, so the bounds do not shift the classes' shares
+    stands = np.where(y > 0, max(1.0, of[1] / MAX_TOXIC), max(1.0, of[0] / MAX_CLEAN))
+    prior = (stands @ y) / stands.sum()
+    stands *= len(y) / stands.sum()
+    votes = np.hstack([x, p])
+    w = _logistic(votes, LabelModel(prior).fit(votes, y, stands), stands)
     return {None: float(w[-1])} | {f: float(v) for f, v in zip([*names, *map(_mark, pats)], w[:-1], strict=True)}
 
 
