@@ -79,30 +79,30 @@ def _index_terms(docs: DataFrame, items: DataFrame, width: int, text_col: str) -
 
 def alignments(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """(did, th, ik, iw, delta): item and document laid so that item word i meets document word
+    """(did, th, ik, delta): item and document laid so that item word i meets document word
     delta + i, for every alignment that can hold a window."""
     index = stage(_index_terms(docs, items, width, text_col), "index-terms")
     found = postings(docs, index.select("term").distinct(), id_col, text_col)
     laid = _meet(found, index, "term").select("did", "th", "ik", (F.col("pos") - F.col("offset")).alias("delta"))
     laid = laid.groupBy("did", "th", "ik", "delta").agg(F.count("*").alias("met"))
-    sized = items.select("ik", "iw", F.least(F.lit(RAREST), F.size("iw")).alias("least"))
-    return laid.filter(F.col("met") >= 1).join(sized, "ik").filter("met >= least").select("did", "th", "ik", "iw", "delta")
+    sized = items.select("ik", F.least(F.lit(RAREST), F.size("iw")).alias("least"))
+    return laid.join(sized, "ik").filter("met >= least").select("did", "th", "ik", "delta")
 
 
 def _occurring(width: int) -> Column:
     """Windows of the row's alignments that are equal to the document's words: (ik, start, len)."""
-    def per(c):
+    def per_item(c):
         n = F.size(c["iw"])
         w = F.least(F.lit(width), n)
-        lo = F.greatest(F.lit(0), -c["delta"])
-        hi = F.least(n - w, F.col("n_words") - w - c["delta"])
 
-        def same(s):
-            return F.slice(F.col("dw"), c["delta"] + s + 1, w) == F.slice(c["iw"], s + 1, w)
-        starts = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.filter(starts, same), lambda s: F.struct(
-            c["ik"].alias("ik"), (c["delta"] + s).alias("start"), w.alias("len")))
-    return F.flatten(F.transform("cands", per))
+        def per_alignment(delta):
+            lo = F.greatest(F.lit(0), -delta)
+            hi = F.least(n - w, F.col("n_words") - w - delta)
+            starts = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+            met = F.filter(starts, lambda s: F.slice(F.col("dw"), delta + s + 1, w) == F.slice(c["iw"], s + 1, w))
+            return F.transform(met, lambda s: F.struct(c["ik"].alias("ik"), (delta + s).alias("start"), w.alias("len")))
+        return F.flatten(F.transform(c["deltas"], per_alignment))
+    return F.flatten(F.transform("cands", per_item))
 
 
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
@@ -113,8 +113,10 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_co
     ``keys`` also the row's key (did, th)."""
     items, ids = _items(benchmark, item_id_col, item_text_col)
     items = stage(items, "items")
-    cands = (alignments(docs, items, width, id_col, text_col).groupBy("did", "th")
-             .agg(F.collect_list(F.struct("ik", "iw", "delta")).alias("cands"))
+    # an item's words meet a document once, however many alignments the two have
+    cands = (alignments(docs, items, width, id_col, text_col).groupBy("did", "th", "ik")
+             .agg(F.collect_list("delta").alias("deltas")).join(items, "ik").groupBy("did", "th")
+             .agg(F.collect_list(F.struct("ik", "iw", "deltas")).alias("cands"))
              .withColumnsRenamed({"did": "c_did", "th": "c_th"}))
     src = docs.select(F.col(id_col).alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).alias("text"))
     both = src.join(cands, (F.col("did") == F.col("c_did")) & (F.col("th") == F.col("c_th")), "left")
@@ -122,7 +124,10 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_co
                        F.when(F.col("cands").isNotNull(), words(small(F.col("text")))).alias("dw"))
     hits = both.select("doc_id", "did", "th", "n_words", F.coalesce(_occurring(width), F.array().cast(
         "array<struct<ik:string,start:int,len:int>>")).alias("hits"))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
+    # different (start, len) first, as one number each: a repetitive item meets one place on many alignments
+    places = F.array_distinct(F.transform("hits", lambda h: F.shiftleft(h["start"].cast("long"), 32) + h["len"]))
+    covered = F.array_distinct(F.flatten(F.transform(places, lambda x: F.sequence(
+        F.shiftright(x, 32), F.shiftright(x, 32) + x.bitwiseAND(F.lit(0xFFFFFFFF)) - 1))))
     out = stage(hits.select("doc_id", "did", "th", F.col("n_words").cast("long").alias("n_words"), "hits",
                             F.size(covered).cast("long").alias("n_hit")), "phrase-hits")
     of = (out.select("did", "th", F.explode("hits.ik").alias("ik")).distinct().join(ids, "ik")

@@ -1,0 +1,31 @@
+"""Operator 6 where an item and a document repeat themselves and meet on thousands of alignments."""
+
+import re
+
+from fleetcases.llm import decontam
+
+
+def brute(text, items, width=13):
+    """Hit word positions and ids of occurring items."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    words, hit, ids = split(text), set(), set()
+    for item, it in items:
+        it = split(it)
+        w = min(width, len(it))
+        wins = {tuple(it[i:i + w]) for i in range(len(it) - w + 1)} if it else set()
+        for i in range(len(words) - w + 1):
+            if tuple(words[i:i + w]) in wins:
+                hit.update(range(i, i + w))
+                ids.add(item)
+    return len(words), len(hit), sorted(ids)
+
+
+def test_repetitive_items(spark):
+    items = [("loop", "Tick tock " * 20), ("copy", "tick TOCK " * 20), ("one", "tick"), ("short", "tock tick tock"),
+             ("none", "tick tack " * 20), ("plain", " ".join(f"w{i}" for i in range(30)))]
+    docs = [(1, "tick tock " * 1500), (2, "so " * 50 + "tick tock " * 7 + "so " * 50), (3, "tock"), (4, "tick tack tock " * 40),
+            (5, " ".join(f"w{i}" for i in range(5, 25)) + " tock" * 30), (5, "tick"), (5, "tick"), (None, "TICK tock tick")]
+    got = decontam.phrase_hits(spark.createDataFrame(docs, "doc_id long, text string"),
+                               spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert (sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"])) for r in got)
+            == sorted((str(d), *brute(t, items)) for d, t in docs))
