@@ -113,6 +113,22 @@ def test_inertia_counts_and_projections():
     assert pairs.shape[1] == ((values >= 1) & (values < 4)).sum()
 
 
+@pytest.mark.parametrize("seed", [15, 74, 125])
+def test_eigenvalues_close_beside_an_interval(seed):
+    rng, d = np.random.default_rng(seed), 64
+    g = rng.standard_normal((d, d))
+    v = 64 * (np.eye(d) + (g + g.T) / 2 * np.sqrt(2 / 51282))
+    for _ in range(seed % 3):
+        u = rng.standard_normal(d)
+        u /= np.linalg.norm(u)
+        v += rng.uniform(20, 80) * np.outer(u, u)
+    v = (v + v.T) / 2
+    got, vectors = whitening.components(v, 16)
+    assert np.abs(got - np.linalg.eigvalsh(v)[::-1][:16]).max() < 1e-11
+    assert np.abs(vectors.T @ vectors - np.eye(16)).max() < 1e-13
+    assert np.abs(v @ vectors - vectors * got).max() < 1e-11
+
+
 def test_result_does_not_depend_on_partitions(spark):
     rng = np.random.default_rng(2)
     rows = [(i, v.tolist(), 0, 0, "") for i, v in enumerate(rng.standard_normal((200, 8)))]
