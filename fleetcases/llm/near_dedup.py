@@ -213,13 +213,14 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return j.mapInArrow(run, "a binary, b binary")
 
 
-def _across(open_members: DataFrame, lots: int, least: float, similar: float) -> DataFrame:
+def _across(open_members: DataFrame, least: float, similar: float, lots: int | None = None) -> DataFrame:
     """Links (a, b) that join the components meeting in a bucket. ``open_members`` holds bucket, band,
     node, label, sig and bag. A bucket is compared block against block, each pair of blocks in a group of
     its own; a block has at most ``BLOCK`` members and about ``BLOCK_BYTES`` of multisets, and all pairs of
-    blocks are dealt into ``lots`` groups of about that size. A pair that shares several buckets is compared
+    blocks are dealt into ``lots`` groups of about that size (as many as the shuffle partitions if not given). A pair that shares several buckets is compared
     in the first of them (they all hold its two components, so all are open). Pairs are verified where they meet, and no pair within a component is returned: a group of n members
     gives n - 1 links at most."""
+    lots = lots or int(open_members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = open_members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("bag")) / BLOCK_BYTES))
                                               .cast("int").alias("n_blocks"))
     m = open_members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
@@ -322,7 +323,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float) -> Dat
         n, size = members.count(), bags.agg(F.avg(F.length("bag"))).first()[0] or 0
         lots = max(1, math.ceil(n * size / BLOCK_BYTES), -(-n // (4 * BLOCK)))
         members = members.join(nodes.select("node", "sig"), "node").join(bags, "node")
-        more = stage(_across(members, lots, LEAST_AGREE, similar), "links-across")
+        more = stage(_across(members, LEAST_AGREE, similar, lots), "links-across")
         if more.head(1):
             label = components(links.unionByName(more), "links-all")
     # classes are formed on nodes, exact copies being one; written, so that neither join of a large class is
