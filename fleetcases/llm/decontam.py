@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from fleetcases.llm.common import doc_key, stage
 
 WIDTH, RAREST, BROADCAST_TERMS = 13, 3, 200_000
-#: a word in text as written; A-Z are made small afterwards, which changes no word's limits
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: a word in text as written; A-Z are made small afterwards, which changes no word's limits. The other ASCII
+#: characters are listed one by one: Java looks listed ones up in a table, but tries ranges in turn at every character
+WORD = "[^" + "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

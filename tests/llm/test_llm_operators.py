@@ -183,6 +183,14 @@ def test_blocks_of_a_bucket_link_its_components(spark, monkeypatch, limits):
     assert got and got <= want and groups(got) == groups(want) and 1 < len(groups(want)) < 6
 
 
+def test_word_limits_are_listed_characters(spark):
+    # a range in the pattern is tried at every character of every text, a listed character is looked up
+    assert "-" not in decontam.WORD
+    text = "".join(f"a{chr(c)}" for c in range(256)) + "\u20ac\U0001f600 z"
+    got = spark.createDataFrame([(text,)], "t string").select(decontam.words(F.col("t"))).first()[0]
+    assert got == re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
     path = queries.vocabulary()
