@@ -222,9 +222,11 @@ def enrich_cases(cases: DataFrame, assets: DataFrame, accounts: DataFrame, devic
                           F.col("billing_state_province").alias("state"))
     dev = devices.select(F.col("asset_id").alias("asset_tag"), "client_id",
                          F.col("device_apk_version").alias("software_version")).distinct()
-    out = (cases.join(a, "ams_id", "inner")
+    # assets and devices grow with the fleet: the planner sees the small size of their compressed files and
+    # would send them whole to the driver and every task
+    out = (cases.join(a.hint("merge"), "ams_id", "inner")
            .join(acc, "cmh_id", "left")
-           .join(dev, "asset_tag", "left")
+           .join(dev.hint("merge"), "asset_tag", "left")
            .withColumn("case_duration",
                        days_inclusive("start_date", "close_date", as_of).cast("long")))
     return out.select(*ENRICHED_COLUMNS)

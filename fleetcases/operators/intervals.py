@@ -40,5 +40,6 @@ def points_in_intervals(intervals: DataFrame, points: DataFrame, on: Sequence[st
     left = (intervals.filter(known & (first <= last)).withColumn("_first", first).withColumn("_last", last)
             .withColumn(BIN, F.explode(F.sequence(bin_of(F.col("_first"), width), bin_of(F.col("_last"), width)))))
     right = points if binned else with_bin(points, day, width)
-    return (left.join(right, [*on, BIN]).filter(F.col(day).between(F.col("_first"), F.col("_last")))
+    # both sides grow with the log: dealt by key, whatever the size of their files makes the planner expect
+    return (left.join(right.hint("merge"), [*on, BIN]).filter(F.col(day).between(F.col("_first"), F.col("_last")))
             .drop("_first", "_last", BIN))

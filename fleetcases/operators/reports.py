@@ -106,7 +106,7 @@ def closed_single_case_join(df: DataFrame, key: str = "asset_tag", dim: str = "d
     """
     singles = _single_case_devices(df, key, dim, counted)
     closed = df.filter(F.col(close).isNotNull()).select(key).distinct()
-    return (singles.join(closed, key, "left_semi")
+    return (singles.join(closed.hint("merge"), key, "left_semi")
             .groupBy("case_cnt", dim).agg(F.count(key).alias("device_cnt")))
 
 
@@ -115,7 +115,7 @@ def closed_single_case_in(df: DataFrame, key: str = "asset_tag", dim: str = "dev
     """O10 (S08): closed rows of devices having a single-case (device, dim) group, by dim."""
     singles = _single_case_devices(df, key, dim, counted).select(key)
     return (df.filter(F.col(close).isNotNull())
-            .join(singles, key, "left_semi")
+            .join(singles.hint("merge"), key, "left_semi")
             .groupBy(dim).agg(F.count_distinct(key).alias("device_cnt")))
 
 

@@ -52,7 +52,7 @@ def build_case_table(log: DataFrame, assets: DataFrame, accounts: DataFrame, dev
     joinable = clinic.filter(F.col("asset_tag").isNotNull() & F.col("start_date").isNotNull())
     gaps = missing_signal_days(joinable, heartbeats, polls, first_day, lookback=lookback,
                                strict_days=strict_days, last_day=last_day, days=days)
-    return (clinic.join(gaps.select("asset_tag", "start_date", "days_with_no_heartbeat"),
+    return (clinic.join(gaps.select("asset_tag", "start_date", "days_with_no_heartbeat").hint("merge"),
                         ["asset_tag", "start_date"], "left")
             .select(*CASE_TABLE_COLUMNS)
             .distinct())

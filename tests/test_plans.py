@@ -9,6 +9,7 @@ from conftest import SF_SMALL
 import __spark_entry__ as entry
 from fleetcases.plans.queries import QUERIES
 from fleetcases.operators.cases import build_cases
+from fleetcases.operators.reports import closed_single_case_devices
 from fleetcases.plans.case_table import build_case_table
 from fleetcases.sources.fixtures import PARAMS, Fixtures
 
@@ -74,3 +75,17 @@ def test_signals_reduced_map_side(spark):
     assert len(keys) >= 4, plan
     assert "partial_max(ts" in plan
     assert "RangeJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_only_accounts_are_broadcast(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    ct = build_case_table(fx.issue_log_sparse, fx.assets, fx.accounts, fx.devices, fx.heartbeats,
+                          fx.polls, PARAMS.as_of, staged=False)
+    # what is sent whole to the driver and the tasks: regions, and accounts (made of nations and regions)
+    keys = re.findall(r"BroadcastHashJoin \[([a-z_]+)#", _plan(ct))
+    assert set(keys) <= {"cmh_id", "n_regionkey"}, keys
+    cases = spark.createDataFrame([("A", "LMP", "2020-10-01", "2020-10-02"), ("B", "LMP", "2020-10-01", None)],
+                                  "asset_tag string, device_type string, start_date string, close_date string")
+    for form in ("join", "in"):
+        got = closed_single_case_devices(cases, form)
+        assert "BroadcastHashJoin" not in _plan(got) and [r.device_cnt for r in got.collect()] == [1]
