@@ -13,8 +13,8 @@ fit list, every different x vector once.
    the components asked for lie above a cut.
 4. In every interval a block of vectors is projected onto the eigenspace by Gauss quadrature of the complex
    shifted solves (z I - V)^-1 Q along a circle; Rayleigh-Ritz of V in the block gives pairs; this is repeated
-   until the pairs inside settle and are as many as the inertia counts of the interval's ends say. The block
-   has room for the eigenvalues beside the interval, too, and pairs are told from mixtures by their residuals.
+   until the pairs inside settle and are as many as the inertia counts of the interval's ends say. Pairs are
+   told from mixtures by their residuals; where they do not settle the block gets room for the eigenvalues beside.
    A last Rayleigh-Ritz over all intervals' vectors makes them orthogonal to double precision.
 5. All rows (copies too) are projected by a broadcast matrix of entries x components.
 
@@ -173,15 +173,23 @@ def intervals(diag, off, lo: float, hi: float, wanted: int, eps: float) -> list[
 
 
 def feast(v: np.ndarray, a: float, b: float, count: int, eps: float, near: int = 0) -> np.ndarray:
-    """Unit eigenvectors of ``v``, as columns, for its ``count`` eigenvalues in [a, b). ``near``: how many there are
-    within ``REACH`` half widths of the middle; the block has room for all of them."""
+    """Unit eigenvectors of ``v``, as columns, for its ``count`` eigenvalues in [a, b). Where they do not settle, a
+    second run has room for all ``near`` eigenvalues within ``REACH`` half widths of the middle."""
+    for m in (count + max(4, count), max(count, near) + max(4, count)):
+        got = _settled_pairs(v, a, b, count, eps, min(len(v), m))
+        if got is not None:
+            return got
+    raise RuntimeError(f"interval [{a}, {b}): pairs do not agree with the {count} eigenvalues its inertia counts")
+
+
+def _settled_pairs(v: np.ndarray, a: float, b: float, count: int, eps: float, m: int) -> np.ndarray | None:
+    """The vectors of ``feast`` out of a block of ``m``; None if they do not settle."""
     d = len(v)
-    m = min(d, max(count, near) + max(4, count))
     q = np.random.default_rng(d).standard_normal((d, m))
     nodes, weights = np.polynomial.legendre.leggauss(NODES)
     mid, radius = (a + b) / 2, max((b - a) / 2, eps)
     circle = radius * np.exp(1j * np.pi / 2 * (nodes + 1))       # the upper half; the lower one is conjugate
-    best, settled = None, 0
+    best = None
     for _ in range(ROUNDS):
         filtered = np.zeros((d, m))
         for w, z in zip(weights, circle, strict=True):
@@ -193,13 +201,12 @@ def feast(v: np.ndarray, a: float, b: float, count: int, eps: float, near: int =
         off = np.abs(v @ q - q * ritz).max(axis=0)
         inside = np.flatnonzero((ritz >= a - eps) & (ritz <= b + eps))
         inside = inside[np.argsort(off[inside], kind="stable")[:count]]
+        inside = inside[np.argsort(np.abs(ritz[inside] - mid), kind="stable")]
         met, rest = len(inside) == count, off[inside].max(initial=0.0)
-        # what is settled by chance in one round is not in two more
-        settled = settled + 1 if met and best is not None and best / 2 <= rest <= eps else 0
-        if settled == 3 or (settled and rest <= eps / 16):
+        if met and best is not None and best / 2 <= rest <= eps:
             return q[:, inside]
         best = rest if met else None
-    raise RuntimeError(f"interval [{a}, {b}): pairs do not agree with the {count} eigenvalues its inertia counts")
+    return None
 
 
 def components(v: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
